@@ -288,7 +288,7 @@ def summary_ctes(name: str, equity: str, ledger: str, keys: str = "track") -> di
             coalesce(win_rate, 0) win_rate, coalesce(profit_factor, 0) profit_factor,
             coalesce(avg_trade_return, 0) avg_trade_return, coalesce(median_trade_return, 0) median_trade_return
             FROM (SELECT {k_}, arg_min(equity, date) start_equity, arg_max(equity, date) end_equity,
-              CASE WHEN max(date) > min(date) THEN (max(date) - min(date)) / 365.25 ELSE 1e-9 END years,
+              CASE WHEN max(date) > min(date) THEN (max(date) - min(date)) / 365.25 ELSE 1e-9 END AS years,
               avg(rt) m, stddev_pop(rt) sd, min(dd) max_drawdown, avg(n_positions) avg_positions,
               max(n_positions) max_positions, avg(cash / equity) avg_cash_pct FROM (
               SELECT *, equity / lag(equity) OVER (PARTITION BY {k_} ORDER BY date) - 1 rt,

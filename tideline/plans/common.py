@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property, wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tideline.operators.features import compute_features
 from tideline.operators.ledger import sleeve_equity_curve, trade_ledger
 from tideline.operators.metrics import compute_summary
 from tideline.operators.ranking import no_overlap_selection, score_frame, weekly_topk
+from tideline.session import cut, tune
 from tideline.sources.tables import market_bars, panel_bars
 
 CFG = StudyConfig()
@@ -19,13 +22,74 @@ FLAT = LedgerConfig()
 REAL = LedgerConfig(trailing_stop_pct=0.18, use_impact=True, halt_risk=True)
 
 
+class Study:
+    """The frames of one query, each built once. Bars are cut: everything else starts from them."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+        self.ledgers: dict[LedgerConfig, DataFrame] = {}
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return cut(panel_bars(self.spark, self.d))
+
+    @cached_property
+    def market(self) -> DataFrame:
+        return market_bars(self.spark, self.d)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return compute_features(self.bars, anchor_frame(self.bars, CFG), self.market)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return build_labels(self.bars, CFG)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return no_overlap_selection(weekly_topk(score_frame(self.features, self.labels, 40), 5))
+
+    def ledger(self, cfg: LedgerConfig) -> DataFrame:
+        """Trades are few next to the bars they come from, so they are cut as well."""
+        if cfg not in self.ledgers:
+            self.ledgers[cfg] = cut(trade_ledger(self.chosen, self.bars, cfg))
+        return self.ledgers[cfg]
+
+
+_current: list[Study] = []
+
+
+def study(spark: SparkSession, d: str) -> Study:
+    """The study of the query that is being built."""
+    if not _current:
+        return Study(spark, d)
+    return _current[-1]
+
+
+def per_query(fn):
+    """Give every call of a query its own study, so that nothing is shared between queries."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        _current.append(Study(tune(spark), d))
+        try:
+            return fn(spark, d)
+        finally:
+            _current.pop()
+
+    return run
+
+
+def bars(spark: SparkSession, d: str) -> DataFrame:
+    return study(spark, d).bars
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
-    bars = panel_bars(spark, d)
-    return compute_features(bars, anchor_frame(bars, CFG), market_bars(spark, d))
+    return study(spark, d).features
 
 
 def labels(spark: SparkSession, d: str, prefilter_only: bool = False) -> DataFrame:
-    return build_labels(panel_bars(spark, d), CFG, prefilter_only)
+    return build_labels(bars(spark, d), CFG, True) if prefilter_only else study(spark, d).labels
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -37,20 +101,20 @@ def picks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
-    return no_overlap_selection(picks(spark, d))
+    return study(spark, d).chosen
 
 
 def ledger(spark: SparkSession, d: str, cfg: LedgerConfig = FLAT) -> DataFrame:
-    return trade_ledger(chosen(spark, d), panel_bars(spark, d), cfg)
+    return study(spark, d).ledger(cfg)
 
 
 def equity(spark: SparkSession, d: str, cfg: LedgerConfig = FLAT) -> DataFrame:
-    return sleeve_equity_curve(ledger(spark, d, cfg), panel_bars(spark, d), cfg)
+    return sleeve_equity_curve(ledger(spark, d, cfg), bars(spark, d), cfg)
 
 
 def summary(spark: SparkSession, d: str, cfg: LedgerConfig = FLAT) -> DataFrame:
     led = ledger(spark, d, cfg)
-    return compute_summary(sleeve_equity_curve(led, panel_bars(spark, d), cfg), led)
+    return compute_summary(sleeve_equity_curve(led, bars(spark, d), cfg), led)
 
 
 def rounded(df: DataFrame, cols: list[str], n: int = 6) -> DataFrame:

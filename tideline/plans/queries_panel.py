@@ -89,7 +89,7 @@ def a06(spark, d) -> DataFrame:
 def a07(spark, d) -> DataFrame:
     path = scratch_path(spark, "picks")
     day = F.date_format("anchor_date", "yyyy-MM-dd")
-    A.anchor_frame(T.panel_bars(spark, d)).select(
+    A.anchor_frame(C.bars(spark, d)).select(
         "ticker", "anchor_date", "anchor_close", F.lit(None).cast("double").alias("adv20_usd"),
         F.lit(None).cast("double").alias("score"),
         F.when(F.month("anchor_date") <= 6, day).alias("pick_generated"), F.lit(40).alias("horizon_days"),
@@ -253,7 +253,7 @@ def b09(spark, d) -> DataFrame:
 def b10(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     s = T.table(spark, d, "supplier").select(T.ticker_of("s_suppkey").alias("ticker"), "s_nationkey")
     j = bars.join(s, "ticker")
     old = j.filter("s_nationkey <> 0")
@@ -294,7 +294,7 @@ def c02(spark, d) -> DataFrame:
 
 @query("c03_weekly_anchors", sql("SELECT ticker, date anchor_date, idx anchor_idx FROM weekly"))
 def c03(spark, d) -> DataFrame:
-    return A.weekly_anchors(T.panel_bars(spark, d)).select(
+    return A.weekly_anchors(C.bars(spark, d)).select(
         "ticker", F.col("date").alias("anchor_date"), F.col("idx").alias("anchor_idx"))
 
 
@@ -456,7 +456,7 @@ _NORM = """list_transform(arr, lambda v: least(greatest((ln(greatest(v / arr[1],
 
 
 def _charts(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     return V.chart_vectors(bars, A.anchor_frame(bars))
 
 
@@ -492,7 +492,7 @@ def f03(spark, d) -> DataFrame:
     SELECT ticker, anchor_date, list_transform(varr, lambda v: (v - m) / (s + 1e-9)) z FROM (
     SELECT *, list_avg(varr) m, list_stddev_pop(varr) s FROM feats))"""))
 def f04(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     v = F.col("volume_vector")
     return V.volume_vectors(bars, A.anchor_frame(bars)).select(
         "ticker", "anchor_date", rnd(v[0]).alias("first_z"), rnd(v[251]).alias("last_z"), rnd(F.array_max(v)).alias("max_z"))
@@ -523,7 +523,7 @@ def g02(spark, d) -> DataFrame:
     SELECT u.* FROM univ u SEMI JOIN weekly w ON u.ticker = w.ticker UNION ALL
     SELECT u.ticker, NULL FROM univ u ANTI JOIN weekly w ON u.ticker = w.ticker) GROUP BY active"""))
 def g04(spark, d) -> DataFrame:
-    u, w = T.universe_seed(spark, d), A.weekly_anchors(T.panel_bars(spark, d)).select("ticker").distinct()
+    u, w = T.universe_seed(spark, d), A.weekly_anchors(C.bars(spark, d)).select("ticker").distinct()
     both = u.join(w, "ticker", "left_semi").unionByName(
         u.join(w, "ticker", "left_anti").withColumn("active", F.lit(None).cast("boolean")))
     return both.groupBy("active").agg(F.count("*").alias("n"))
@@ -532,7 +532,7 @@ def g04(spark, d) -> DataFrame:
 @query("g05_next_bar_join", sql("""SELECT a.ticker, a.anchor_date, b.date next_date, b.close next_close
     FROM (SELECT ticker, anchor_date, anchor_date + 56 due FROM outcomes) a ASOF LEFT JOIN bars b ON a.ticker = b.ticker AND a.due <= b.date"""))
 def g05(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     req = A.anchor_frame(bars).select("ticker", "anchor_date", F.date_add("anchor_date", 56).alias("due"))
     return J.next_bar_join(req, bars, "due").drop("due")
 
@@ -540,7 +540,7 @@ def g05(spark, d) -> DataFrame:
 @query("g06_interval_join", sql("""SELECT held AS "day", count(*) n FROM (SELECT ticker, CAST(unnest(generate_series(anchor_date, resolution_date_20d, INTERVAL 1 DAY)) AS DATE) held
     FROM outcomes) WHERE held IN (SELECT date FROM bars) GROUP BY held"""))
 def g06(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     days = J.dates_inside(C.labels(spark, d).select("ticker", "anchor_date", "resolution_date_20d"),
                           "anchor_date", "resolution_date_20d", bars)
     return days.groupBy("day").agg(F.count("*").alias("n"))
@@ -549,6 +549,6 @@ def g06(spark, d) -> DataFrame:
 @query("g07_seeds_by_anchors", sql("""SELECT seed, count(*) n, count(DISTINCT ticker) tickers FROM (
     SELECT ticker, unnest(range(1000, 1020)) seed FROM outcomes) GROUP BY seed"""))
 def g07(spark, d) -> DataFrame:
-    a = J.per_seed(A.anchor_frame(T.panel_bars(spark, d)), 20, 1000)
+    a = J.per_seed(A.anchor_frame(C.bars(spark, d)), 20, 1000)
     return a.groupBy(F.col("seed").cast("bigint").alias("seed")).agg(
         F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"))

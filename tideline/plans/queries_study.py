@@ -59,7 +59,7 @@ def h02(spark, d) -> DataFrame:
 
 @query("h03_embargo", sql("""SELECT anchor_date, CAST(anchor_date - CAST(floor(40 * 1.6) AS INT) AS DATE) edge, count(*) n FROM outcomes GROUP BY ALL"""))
 def h03(spark, d) -> DataFrame:
-    a = A.anchor_frame(T.panel_bars(spark, d))
+    a = A.anchor_frame(C.bars(spark, d))
     return a.groupBy("anchor_date").agg(F.count("*").alias("n")).withColumn(
         "edge", F.date_sub("anchor_date", S.embargo_days(40)))
 
@@ -112,7 +112,7 @@ SMALL = ML.ModelConfig(pca_dim=8, lr_iterations=50, trees=5, max_depth=3, min_le
 
 def _training(spark, d) -> DataFrame:
     """Features, vectors and labels of all anchors, cut so that every fit starts from files."""
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     a = A.anchor_frame(bars)
     keys = ["ticker", "anchor_date"]
     lab = C.labels(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int")).withColumn(
@@ -185,7 +185,7 @@ _USCORE = f"SELECT 'u' track, ticker, anchor_date, {u01(chr(39) + 'score' + chr(
 
 
 def _uscores(spark, d) -> DataFrame:
-    return A.anchor_frame(T.panel_bars(spark, d)).select(
+    return A.anchor_frame(C.bars(spark, d)).select(
         F.lit("u").alias("track"), "ticker", "anchor_date", R.random_score(7).alias("score"))
 
 
@@ -233,7 +233,7 @@ def j08(spark, d) -> DataFrame:
       avg(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) adv, max(date) OVER (PARTITION BY ticker) newest
     FROM bars WHERE date <= DATE '2001-06-15') WHERE date = newest AND idx >= 251"""))
 def j09(spark, d) -> DataFrame:
-    c = A.latest_candidates(T.panel_bars(spark, d), "2001-06-15", prefilter=False).withColumn("score", F.col("ratio_ma250"))
+    c = A.latest_candidates(C.bars(spark, d), "2001-06-15", prefilter=False).withColumn("score", F.col("ratio_ma250"))
     return R.forward_topk(c, 5, 2e6).select("ticker", "anchor_date", rnd("score").alias("score"))
 
 
@@ -253,7 +253,7 @@ def _meta(spark, d) -> DataFrame:
 
 @query("k01_tradable_filter", sql("SELECT ticker, anchor_date FROM outcomes WHERE adv20_usd >= 5e6 AND anchor_close > 0"))
 def k01(spark, d) -> DataFrame:
-    return K.tradable_filter(_meta(spark, d), T.panel_bars(spark, d)).select("ticker", "anchor_date")
+    return K.tradable_filter(_meta(spark, d), C.bars(spark, d)).select("ticker", "anchor_date")
 
 
 @query("k02_position_size", sql(f"SELECT ticker, anchor_date, {r('least(4000.0, adv20_usd * 0.005)', 3)} target_usd FROM outcomes"))
@@ -268,13 +268,13 @@ def k03(spark, d) -> DataFrame:
 
 @query("k04_flat_slippage", sql(f"""SELECT ticker, date, {r('close * (1 + 10.0 / 1e4)', 8)} buy_fill, {r('close * (1 - 10.0 / 1e4)', 8)} sell_fill FROM bars"""))
 def k04(spark, d) -> DataFrame:
-    return T.panel_bars(spark, d).select("ticker", "date", rnd(K.slipped(F.col("close"), F.lit(10.0), "buy"), 8).alias("buy_fill"),
+    return C.bars(spark, d).select("ticker", "date", rnd(K.slipped(F.col("close"), F.lit(10.0), "buy"), 8).alias("buy_fill"),
                                          rnd(K.slipped(F.col("close"), F.lit(10.0), "sell"), 8).alias("sell_fill"))
 
 
 @query("k05_commission", sql(f"SELECT ticker, date, {r('least(volume * 0.005, 0.005 * (volume * close / 100))', 6)} fee FROM bars"))
 def k05(spark, d) -> DataFrame:
-    return T.panel_bars(spark, d).select("ticker", "date", rnd(K.commission(
+    return C.bars(spark, d).select("ticker", "date", rnd(K.commission(
         F.col("volume"), F.col("volume") * F.col("close") / 100), 6).alias("fee"))
 
 
@@ -290,19 +290,19 @@ def k07(spark, d) -> DataFrame:
 
 @query("k08_integer_shares", sql("""SELECT track, ticker, entry_date, shares FROM f_open"""))
 def k08(spark, d) -> DataFrame:
-    return K.open_trades(C.chosen(spark, d), T.panel_bars(spark, d)).select("track", "ticker", "entry_date", "shares")
+    return K.open_trades(C.chosen(spark, d), C.bars(spark, d)).select("track", "ticker", "entry_date", "shares")
 
 
 @query("k09_fixed_exit", sql("""SELECT a.ticker, a.anchor_date entry_date, b.date exit_date, b.close exit_close FROM (
     SELECT ticker, anchor_date, anchor_date + 63 due FROM outcomes) a ASOF LEFT JOIN bars b ON a.ticker = b.ticker AND a.due <= b.date"""))
 def k09(spark, d) -> DataFrame:
     t = _meta(spark, d).select("ticker", F.col("anchor_date").alias("entry_date"), F.date_add("anchor_date", 63).alias("resolution_date"))
-    return K.fixed_exit(t, T.panel_bars(spark, d)).drop("resolution_date")
+    return K.fixed_exit(t, C.bars(spark, d)).drop("resolution_date")
 
 
 @query("k10_trailing_stop", sql("SELECT track, ticker, entry_date, stop_date, stop_close FROM x_hit"))
 def k10(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     t = K.open_trades(C.chosen(spark, d), bars, C.REAL)
     return K.trailing_stop(t, bars, 0.18)
 
@@ -313,7 +313,7 @@ def k10(spark, d) -> DataFrame:
     ASOF LEFT JOIN bars b ON a.ticker = b.ticker AND a.due <= b.date
     LEFT JOIN (SELECT ticker, close FROM bars WHERE date = (SELECT max(date) FROM bars)) f ON f.ticker = a.ticker"""))
 def k11(spark, d) -> DataFrame:
-    bars = T.panel_bars(spark, d)
+    bars = C.bars(spark, d)
     t = _meta(spark, d).select("ticker", F.col("anchor_date").alias("entry_date"), F.col("anchor_close").alias("entry_price"),
                                F.date_add("anchor_date", 500).alias("resolution_date"))
     return K.forced_close(K.fixed_exit(t, bars), bars).select("ticker", "entry_date", "exit_date", "exit_close", "forced_close")
@@ -333,14 +333,14 @@ query("k12_trade_ledger_realistic", _ledger_sql("x_"))(
 
 @query("k13_mark_to_market", sql(f"""SELECT track, ticker, entry_date, date, {r(chr(34) + 'value' + chr(34), 4)} "value" FROM f_mtm"""))
 def k13(spark, d) -> DataFrame:
-    return K.mark_to_market(C.ledger(spark, d), T.panel_bars(spark, d)).select(
+    return K.mark_to_market(C.ledger(spark, d), C.bars(spark, d)).select(
         "track", "ticker", "entry_date", "date", rnd("value", 4).alias("value"))
 
 
 @query("k14_open_positions_by_day", sql("""SELECT k.track, c.date, CAST((SELECT count(*) FROM f_ledger l WHERE l.track = k.track AND l.entry_date < c.date AND l.exit_date > c.date) AS BIGINT) n_positions
     FROM (SELECT DISTINCT track FROM f_ledger) k, (SELECT DISTINCT date FROM bars) c"""))
 def k14(spark, d) -> DataFrame:
-    return K.open_positions_by_day(C.ledger(spark, d), T.panel_bars(spark, d))
+    return K.open_positions_by_day(C.ledger(spark, d), C.bars(spark, d))
 
 
 @query("k15_sleeve_equity_curve", sql(f"""SELECT track, date, {r('equity', 4)} equity, {r('ret', 8)} ret, {r('cash', 4)} cash, n_positions FROM f_equity"""))
@@ -376,7 +376,7 @@ _COUNTS = ["n_trades", "max_positions"]
 def _summary_sql(src: str, cols: list[str] | None = None, keys: str = "track") -> str:
     names = cols or [*_SUM, *_COUNTS]
     return f"SELECT {keys}, " + ", ".join(
-        f"{r(c, _SUM[c])} {c}" if c in _SUM else f"CAST({c} AS BIGINT) {c}" for c in names) + f" FROM {src}"
+        f"{r(c, _SUM[c])} AS {c}" if c in _SUM else f"CAST({c} AS BIGINT) AS {c}" for c in names) + f" FROM {src}"
 
 
 def _summary_out(df: DataFrame, cols: list[str] | None = None, keys: tuple[str, ...] = ("track",)) -> DataFrame:
@@ -411,7 +411,7 @@ _RANDOM = {
 
 
 def _seeds(spark, d) -> DataFrame:
-    return ST.random_portfolios(C.labels(spark, d), T.panel_bars(spark, d), (20, 40), N_SEEDS)[0]
+    return ST.random_portfolios(C.labels(spark, d), C.bars(spark, d), (20, 40), N_SEEDS)[0]
 
 
 @query("l09_vs_random_percentile", sql(f"""SELECT track, {r('end_equity', 2)} end_equity,
@@ -469,8 +469,8 @@ def l13(spark, d) -> DataFrame:
     o_eq="SELECT * FROM f_equity WHERE year(date) = 2001", o_led="SELECT * FROM f_ledger WHERE year(entry_date) = 2001",
     **summary_ctes("o_summary", "o_eq", "o_led")))
 def l14(spark, d) -> DataFrame:
-    led = cut(C.ledger(spark, d))
-    eq = K.sleeve_equity_curve(led, T.panel_bars(spark, d))
+    led = C.ledger(spark, d)
+    eq = K.sleeve_equity_curve(led, C.bars(spark, d))
     return _summary_out(M.oos_report(eq, led, 2001, "final"), keys=("track", "label", "report_type"))
 
 
@@ -563,7 +563,7 @@ def m06(spark, d) -> DataFrame:
     days="""SELECT * FROM (SELECT track, ticker, entry_date, CAST(unnest(generate_series(entry_date, exit_date, INTERVAL 1 DAY)) AS DATE) held
     FROM f_ledger) WHERE isodow(held) <= 5"""))
 def m07(spark, d) -> DataFrame:
-    return C.rounded(I.effective_sample_size(cut(C.ledger(spark, d))), ["n_eff"])
+    return C.rounded(I.effective_sample_size(C.ledger(spark, d)), ["n_eff"])
 
 
 @query("m08_spa_test", sql(f"""SELECT {', '.join(r(f'avg(CAST({k} > top AS INT))') + f' p_{k}' for k in ('lower', 'consistent', 'upper'))},
@@ -579,7 +579,7 @@ def m08(spark, d) -> DataFrame:
 
 
 @query("m09_post_tax_cagr", sql(f"""SELECT track, {r('pow(greatest(1 + g / 100000.0, 0), 1 / y) - 1')} pre_tax_cagr,
-    {r('pow(greatest((100000.0 + g - tax) / 100000.0, 0), 1 / y) - 1')} post_tax_cagr, {r('0.418')} blended_rate, {r('tax', 4)} total_tax, {r('y')} years FROM (
+    {r('pow(greatest((100000.0 + g - tax) / 100000.0, 0), 1 / y) - 1')} post_tax_cagr, {r('0.418')} blended_rate, {r('tax', 4)} total_tax, {r('y')} AS years FROM (
     SELECT track, sum(g) g, sum(greatest(g, 0) * 0.418) tax, CAST(count(*) AS DOUBLE) y FROM (
     SELECT track, year(exit_date) yr, sum(trade_return_pct * cost) g FROM f_ledger GROUP BY ALL) GROUP BY track)"""))
 def m09(spark, d) -> DataFrame:
@@ -603,7 +603,7 @@ def m10(spark, d) -> DataFrame:
     days="""SELECT * FROM (SELECT track, ticker, entry_date, CAST(unnest(generate_series(entry_date, exit_date, INTERVAL 1 DAY)) AS DATE) held
     FROM f_ledger) WHERE isodow(held) <= 5"""))
 def m11(spark, d) -> DataFrame:
-    led = cut(C.ledger(spark, d))
+    led = C.ledger(spark, d)
     n = led.groupBy("track").agg(F.count("*").alias("n_trades"))
     return n.join(I.effective_sample_size(led), "track").select(
         "track", rnd(I.se_widening(F.col("n_trades"), F.col("n_eff"))).alias("se_widen"))
@@ -651,8 +651,8 @@ def n03b(spark, d) -> DataFrame:
 
 @query("n04_report_card_rows")
 def n04(spark, d) -> DataFrame:
-    led = cut(C.ledger(spark, d))
-    eq = cut(K.sleeve_equity_curve(led, T.panel_bars(spark, d)))
+    led = C.ledger(spark, d)
+    eq = cut(K.sleeve_equity_curve(led, C.bars(spark, d)))
     return ST.report_card_rows(M.compute_summary(eq, led), eq, led, T.trial_log(spark, d), "rank_252d_return",
                                "rank_inv_60d_vol", N_BOOT, BLOCK)
 
@@ -675,14 +675,14 @@ _SETTLED = f"""SELECT p.pick_generated, p.ticker, p.horizon_days, p.anchor_date,
 
 @query("o01_settle_picks", sql(_SETTLED, opicks=_PICKS))
 def o01(spark, d) -> DataFrame:
-    return C.rounded(Z.settle_picks(_picks(spark, d), T.panel_bars(spark, d)), ["realized_ret", "score"])
+    return C.rounded(Z.settle_picks(_picks(spark, d), C.bars(spark, d)), ["realized_ret", "score"])
 
 
 @query("o01_settle_counts", sql("""SELECT (SELECT count(*) FROM opicks) picks_seen, (SELECT count(*) FROM settled) newly_settled,
     (SELECT count(*) FROM opicks) - (SELECT count(*) FROM settled) still_pending""", opicks=_PICKS, settled=_SETTLED))
 def o01b(spark, d) -> DataFrame:
     p = _picks(spark, d)
-    return Z.settle_counts(p, None, cut(Z.settle_picks(p, T.panel_bars(spark, d))))
+    return Z.settle_counts(p, None, cut(Z.settle_picks(p, C.bars(spark, d))))
 
 
 def _land(df: DataFrame, path: str) -> None:
@@ -694,7 +694,7 @@ def _land(df: DataFrame, path: str) -> None:
 @query("o02_settle_stream", sql(_SETTLED, opicks=_PICKS))
 def o02(spark, d) -> DataFrame:
     base = scratch_path(spark, "settle")
-    _land(T.panel_bars(spark, d), f"{base}/bars")
+    _land(C.bars(spark, d), f"{base}/bars")
     Z.settle_stream(spark, f"{base}/bars", cut(_picks(spark, d)), f"{base}/realized", f"{base}/ck").awaitTermination()
     return C.rounded(Z.read_realized(spark, f"{base}/realized"), ["realized_ret", "score"])
 
@@ -704,7 +704,7 @@ def o03(spark, d) -> DataFrame:
     from tideline.config import StudyConfig
 
     return ST.weekly_forward_picks(
-        T.panel_bars(spark, d), T.market_bars(spark, d), "2001-06-15", threshold_pct=10, min_adv=1e6,
+        C.bars(spark, d), T.market_bars(spark, d), "2001-06-15", threshold_pct=10, min_adv=1e6,
         study=StudyConfig(min_train=50), models=SMALL, prefilter=False)
 
 
@@ -720,7 +720,7 @@ def o04(spark, d) -> DataFrame:
 
 @query("o05_idempotent_append", sql("SELECT count(*) n, count(DISTINCT pick_generated || ticker || horizon_days) keys FROM settled", opicks=_PICKS, settled=_SETTLED))
 def o05(spark, d) -> DataFrame:
-    new = cut(Z.settle_picks(_picks(spark, d), T.panel_bars(spark, d)))
+    new = cut(Z.settle_picks(_picks(spark, d), C.bars(spark, d)))
     half = new.filter(F.year("anchor_date") < 2000)
     once = Z.append_new(half, new, Z.PICK_KEY)
     twice = Z.append_new(once, new, Z.PICK_KEY)
@@ -735,7 +735,7 @@ def o05(spark, d) -> DataFrame:
     UNION ALL SELECT 5, 'liquid', count(*) FROM outcomes WHERE ratio_ma250 > 1.5 AND adv20_usd >= 5e6
     UNION ALL SELECT 6, 'picked', count(*) FROM chosen WHERE track = 'rank_252d_return'"""))
 def p01(spark, d) -> DataFrame:
-    return P.selection_funnel(T.panel_bars(spark, d), C.labels(spark, d), C.chosen(spark, d).filter("track = 'rank_252d_return'"))
+    return P.selection_funnel(C.bars(spark, d), C.labels(spark, d), C.chosen(spark, d).filter("track = 'rank_252d_return'"))
 
 
 def _with_outcome(spark, d) -> DataFrame:
