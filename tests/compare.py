@@ -16,6 +16,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -42,8 +45,11 @@ def canon(rows, names):
 
 def compare(spark, con, fn, sql: str, sf_dir: str):
     """None when equal, otherwise a short description."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
-    got, gn = canon([tuple(x) for x in df.collect()], df.columns)
+    rows = [tuple(x) for x in df.collect()]
+    TIMES["spark"] = time.time() - t0
+    got, gn = canon(rows, df.columns)
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     want, wn = canon(cur.fetchall(), names)
@@ -76,4 +82,4 @@ if __name__ == "__main__":
                 msg, n = None, fn(spark, sys.argv[1]).count()
         except Exception as e:  # noqa: BLE001
             msg, n = f"{type(e).__name__}: {str(e)[:600]}", -1
-        print(f"{'ok  ' if msg is None else 'FAIL'} {name} rows={n} {time.time() - t0:.1f}s {'' if name in os_ else '(no sql)'} {msg or ''}", flush=True)
+        print(f"{'ok  ' if msg is None else 'FAIL'} {name} rows={n} {time.time() - t0:.1f}s (spark {TIMES.get('spark', 0):.1f}) {'' if name in os_ else '(no sql)'} {msg or ''}", flush=True)
