@@ -35,7 +35,7 @@ def weekly_anchors(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFra
 def ma_extension(window: int = 250) -> Column:
     """close over its moving average, null until the window is full."""
     w = frame(-(window - 1), 0)
-    return F.when(F.count("close").over(w) == window, F.col("close") / F.avg("close").over(w))
+    return F.when(F.count("close").over(w) == window, F.try_divide("close", F.avg("close").over(w)))
 
 
 def adv(window: int = 20) -> Column:
@@ -185,6 +185,6 @@ def latest_candidates(bars: DataFrame, today: str, cfg: StudyConfig = StudyConfi
     )
     ok = finite("anchor_close").isNotNull() & (F.col("anchor_close") > 0) & (F.col("_ma") > 0)
     if prefilter:
-        ok = ok & (F.col("anchor_close") / F.col("_ma") > cfg.ma_extension)
+        ok = ok & (F.try_divide("anchor_close", "_ma") > cfg.ma_extension)
     return g.filter(ok).select("ticker", "anchor_date", "anchor_idx", "anchor_close", "adv20_usd",
-                               (F.col("anchor_close") / F.col("_ma")).alias("ratio_ma250"))
+                               F.try_divide("anchor_close", "_ma").alias("ratio_ma250"))

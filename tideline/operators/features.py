@@ -55,8 +55,10 @@ def align_market(bars: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def log_return() -> Column:
-    prev = F.lag("close", 1).over(by_ticker())
-    return F.when((prev > 0) & (F.col("close") > 0), F.ln(F.col("close") / prev))
+    """Log return; a step from or to a price of zero is infinite, so that it spoils its windows."""
+    prev, c = F.lag("close", 1).over(by_ticker()), F.col("close")
+    return (F.when((prev > 0) & (c > 0), F.ln(c / prev)).when((prev <= 0) & (c > 0), float("inf"))
+            .when((prev > 0) & (c <= 0), float("-inf")).when(prev.isNotNull(), float("nan")))
 
 
 def swing_flag() -> Column:
@@ -90,9 +92,10 @@ def drawdown_fold(path: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["low"], x / peak - 1.0).alias("low"))
+        return F.struct(peak.alias("peak"), F.least(acc["low"], F.try_divide(x, peak) - 1.0).alias("low"))
 
-    return F.aggregate(path, zero, step, lambda acc: acc["low"])
+    # A window that starts at zero has no scale to fall from.
+    return F.when(path[0] > 0, F.aggregate(path, zero, step, lambda acc: acc["low"])).otherwise(0.0)
 
 
 def drawdown_entries(path: Column, enter: float = -0.05, leave: float = -0.005) -> Column:
@@ -101,7 +104,7 @@ def drawdown_entries(path: Column, enter: float = -0.05, leave: float = -0.005)
 
     def step(acc: Column, x: Column) -> Column:
         peak = F.greatest(acc["peak"], x)
-        dd = x / peak - 1.0
+        dd = F.try_divide(x, peak) - 1.0
         entered = (dd <= enter) & (acc["inside"] == 0)
         left = (dd >= leave) & (acc["inside"] == 1)
         return F.struct(
@@ -182,12 +185,12 @@ def _window_aggregates() -> list[Column]:
         "cov_m": F.covar_samp(F.when(pair(63), r), F.when(pair(63), mr)),
         "var_m": F.var_samp(F.when(pair(63), mr)), "n_m": F.count(F.when(pair(63), mr)),
         "above": F.sum(last(53, F.col("w_above200"))),
-        "up": F.sum(F.when((off > -63) & (r > 0), 1.0).otherwise(0.0)),
+        "up": F.sum(F.when((off > -63) & (r > 0) & ~F.isnan(r), 1.0).otherwise(0.0)),
         "slope20": F.regr_slope(last(20, lp), x), "slope60": F.regr_slope(last(60, lp), x),
         "icpt60": F.regr_intercept(last(60, lp), x), "lp0": at(0, lp),
         "syy60": F.regr_syy(last(60, lp), x), "sxx60": F.regr_sxx(last(60, lp), x),
         "swings": F.sum(F.when(off.between(-57, -2), F.col("w_swing"))),
-        "corr_rv": F.corr(last(20, r), last(20, v)),
+        "cov_rv": F.covar_pop(last(20, r), last(20, v)),
         "sd_v20": F.stddev_pop(last(20, v)), "sd_r20": F.stddev_pop(last(20, r)),
         "n_win": F.count(c),
     }
@@ -198,12 +201,12 @@ def _features_from_aggregates() -> dict[str, Column]:
     a = lambda k: F.col(f"_{k}")
     f: dict[str, Column] = {}
     for name, k in RETURN_OFFSETS.items():
-        f[name] = F.when(a(f"c{k}") > 0, F.ln(F.when(a("c0") > 0, a("c0") / a(f"c{k}"))))
+        f[name] = F.when(a(f"c{k}") > 0, F.ln(F.when(a("c0") > 0, a("c0") / a(f"c{k}")))).otherwise(0.0)
     for n, k in (("21d", 21), ("63d", 63), ("252d", 251)):
         f[f"vol_{n}"] = a(f"sd_r{k}") * ANNUAL
-    f["current_dd_from_peak"] = a("c0") / a("hi252") - 1.0
-    f["pct_from_252d_high"] = a("c0") / a("hi252") - 1.0
-    f["pct_from_21d_high"] = a("c0") / a("hi21") - 1.0
+    f["pct_from_252d_high"] = F.try_divide(a("c0"), a("hi252")) - 1.0
+    f["current_dd_from_peak"] = F.when(a("c251") > 0, f["pct_from_252d_high"])
+    f["pct_from_21d_high"] = F.try_divide(a("c0"), a("hi21")) - 1.0
     for n in (20, 50, 200):
         f[f"ratio_ma{n}"] = F.when(a(f"ma{n}") > 0, a("c0") / a(f"ma{n}")).otherwise(1.0)
     f["log_dollar_vol_z252"] = (a("ldv0") - a("ldv_avg")) / (a("ldv_sd") + 1e-9)
@@ -223,12 +226,13 @@ def _features_from_aggregates() -> dict[str, Column]:
     ssr = F.greatest(a("syy60") - a("slope60") * a("slope60") * a("sxx60"), F.lit(0.0))
     f["trendline_residual_z_60"] = (a("lp0") - a("icpt60")) / (F.sqrt(ssr / 60.0) + 1e-12)
     f["r2_log_60"] = 1.0 - ssr / (a("syy60") + 1e-12)
-    f["pct_from_60d_high"] = a("c0") / a("hi60") - 1.0
-    f["pct_from_60d_low"] = a("c0") / a("lo60") - 1.0
+    f["pct_from_60d_high"] = F.try_divide(a("c0"), a("hi60")) - 1.0
+    f["pct_from_60d_low"] = F.try_divide(a("c0"), a("lo60")) - 1.0
     f["swing_count_60d"] = a("swings")
     f["bb_width_pct_20"] = 4.0 * (a("sd20") + 1e-12) / F.greatest(a("ma20"), F.lit(1e-9))
     f["vol_of_vol_ratio_30_120"] = (a("sd_r30") + 1e-12) / (a("sd_r_prior") + 1e-12)
-    f["ret_vol_corr_20"] = F.when((a("sd_r20") > 0) & (a("sd_v20") > 0), a("corr_rv"))
+    f["ret_vol_corr_20"] = F.when(
+        (a("sd_r20") > 0) & (a("sd_v20") > 0), a("cov_rv") / (a("sd_r20") * a("sd_v20")))
     return f
 
 

@@ -21,7 +21,7 @@ def daily_returns(equity: DataFrame, keys: tuple[str, ...] = ("track",), log: bo
         level = F.ln(F.greatest(F.col("equity"), F.lit(1e-9)))
         r = level - F.lag(level).over(w)
     else:
-        r = F.col("equity") / F.lag("equity").over(w) - 1.0
+        r = F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0
     out = equity.withColumn("r", r).filter(F.col("r").isNotNull())
     return out.select(
         *keys, "date", "r", (F.row_number().over(w) - 1).alias("i"),
@@ -65,8 +65,8 @@ def paired_returns(model: DataFrame, base: DataFrame) -> DataFrame:
     j = model.select("date", F.col("equity").alias("equity_m")).join(
         base.select("date", F.col("equity").alias("equity_b")), "date")
     w = Window.orderBy("date")  # one row per calendar day
-    rm = F.col("equity_m") / F.lag("equity_m").over(w) - 1.0
-    rb = F.col("equity_b") / F.lag("equity_b").over(w) - 1.0
+    rm = F.try_divide(F.col("equity_m"), F.lag("equity_m").over(w)) - 1.0
+    rb = F.try_divide(F.col("equity_b"), F.lag("equity_b").over(w)) - 1.0
     d = j.select("date", rm.alias("rm"), rb.alias("rb")).filter("rm IS NOT NULL AND rb IS NOT NULL")
     return d.select("date", "rm", "rb", (F.col("rm") - F.col("rb")).alias("r"),
                     (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"),

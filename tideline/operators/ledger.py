@@ -171,7 +171,8 @@ def sleeve_equity_curve(ledger: DataFrame, bars: DataFrame, cfg: LedgerConfig =
     """Daily equity of a sleeve holding every open trade at a fixed weight, gross at most 100%."""
     mtm = mark_to_market(ledger, bars, keys)
     prev = F.lag("value").over(Window.partitionBy(*keys, "ticker", "entry_date").orderBy("date"))
-    daily = mtm.withColumn("ret", F.col("value") / F.coalesce(prev, "cost") - 1.0)
+    # A trade that was worth nothing the day before has no further return.
+    daily = mtm.withColumn("ret", F.coalesce(F.try_divide(F.col("value"), F.coalesce(prev, "cost")) - 1.0, F.lit(0.0)))
     per_day = daily.groupBy(*keys, "date").agg(
         F.sum("ret").alias("sum_ret"), F.count("*").alias("n_active"),
         F.count_if(F.col("date") < F.col("exit_date")).alias("n_open"))

@@ -22,15 +22,15 @@ def equity_summary(equity: DataFrame, keys: tuple[str, ...] = ("track",)) -> Dat
     w = Window.partitionBy(*keys).orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = equity.withColumns({
-        "_ret": F.col("equity") / F.lag("equity").over(w) - 1.0,
-        "_dd": F.col("equity") / F.max("equity").over(run) - 1.0,
+        "_ret": F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0,
+        "_dd": F.try_divide(F.col("equity"), F.max("equity").over(run)) - 1.0,
     })
     g = e.groupBy(*keys).agg(
         F.min_by("equity", "date").alias("start_equity"), F.max_by("equity", "date").alias("end_equity"),
         F.datediff(F.max("date"), F.min("date")).alias("_days"),
         F.avg("_ret").alias("_mean"), F.stddev_pop("_ret").alias("_sd"), F.min("_dd").alias("max_drawdown"),
         F.avg("n_positions").alias("avg_positions"), F.max("n_positions").alias("max_positions"),
-        F.avg(F.col("cash") / F.col("equity")).alias("avg_cash_pct"))
+        F.avg(F.try_divide("cash", "equity")).alias("avg_cash_pct"))
     years = F.when(F.col("_days") > 0, F.col("_days") / 365.25).otherwise(1e-9)
     daily = F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")).otherwise(0.0)
     return g.withColumn("years", years).select(
@@ -65,7 +65,7 @@ def vs_random_percentile(tracks: DataFrame, null: DataFrame, value: str = "end_e
     """Share of the null runs at or below each track's value. One null value per seed: a parameter's worth."""
     sample = null.agg(F.collect_list(value)).scalar()
     t = tracks.withColumn("_null", sample)
-    share = F.size(F.filter("_null", lambda x: x <= F.col(value))) / F.size("_null")
+    share = F.try_divide(F.size(F.filter("_null", lambda x: x <= F.col(value))), F.size("_null"))
     return t.withColumn("vs_random_pct", share).drop("_null")
 
 

@@ -18,6 +18,7 @@ from tideline.session import cut, tune
 from tideline.sources.tables import market_bars, panel_bars
 
 CFG = StudyConfig()
+LEAN = StudyConfig(horizons=(20, 40), thresholds=(0.10, 0.25))
 FLAT = LedgerConfig()
 REAL = LedgerConfig(trailing_stop_pct=0.18, use_impact=True, halt_risk=True)
 
@@ -45,9 +46,14 @@ class Study:
     def labels(self) -> DataFrame:
         return build_labels(self.bars, CFG)
 
+    @cached_property
+    def lean(self) -> DataFrame:
+        """The same anchors with the outcomes of two horizons only."""
+        return build_labels(self.bars, LEAN)
+
     @cached_property
     def chosen(self) -> DataFrame:
-        return no_overlap_selection(weekly_topk(score_frame(self.features, self.labels, 40), 5))
+        return no_overlap_selection(weekly_topk(score_frame(self.features, self.lean, 40), 5))
 
     def ledger(self, cfg: LedgerConfig) -> DataFrame:
         """Trades are few next to the bars they come from, so they are cut as well."""
@@ -92,8 +98,12 @@ def labels(spark: SparkSession, d: str, prefilter_only: bool = False) -> DataFra
     return build_labels(bars(spark, d), CFG, True) if prefilter_only else study(spark, d).labels
 
 
+def lean(spark: SparkSession, d: str) -> DataFrame:
+    return study(spark, d).lean
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_frame(features(spark, d), labels(spark, d), 40)
+    return score_frame(features(spark, d), lean(spark, d), 40)
 
 
 def picks(spark: SparkSession, d: str) -> DataFrame:

@@ -43,7 +43,7 @@ def _hsql(body: str) -> str:
 
 
 def _folds(spark, d, purge: bool = True) -> DataFrame:
-    lab = C.labels(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int"))
+    lab = C.lean(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int"))
     return S.yearly_folds(lab, YEARS, H, purge=purge)
 
 
@@ -68,7 +68,7 @@ def h03(spark, d) -> DataFrame:
     WHERE year(anchor_date) IN (1998, 1999, 2000) GROUP BY ALL"""))
 def h04(spark, d) -> DataFrame:
     years = S.fold_years(YEARS, lockbox_year=2001)
-    f = S.yearly_folds(C.labels(spark, d), years, H).filter("role = 'test'")
+    f = S.yearly_folds(C.lean(spark, d), years, H).filter("role = 'test'")
     return f.groupBy(F.col("fold_year").cast("bigint").alias("fold_year")).agg(F.count("*").alias("n"))
 
 
@@ -95,7 +95,7 @@ def h07(spark, d) -> DataFrame:
 
 @query("h08_resolved_before", sql("SELECT ticker, anchor_date, resolution_date_40d FROM outcomes WHERE resolution_date_40d < DATE '2001-03-01'"))
 def h08(spark, d) -> DataFrame:
-    return S.resolved_before(C.labels(spark, d), "2001-03-01", H).select("ticker", "anchor_date", "resolution_date_40d")
+    return S.resolved_before(C.lean(spark, d), "2001-03-01", H).select("ticker", "anchor_date", "resolution_date_40d")
 
 
 @query("h09_fold_purge_report", _hsql("""SELECT fold_year, count(*) FILTER (WHERE role = 'train') n_train,
@@ -115,7 +115,7 @@ def _training(spark, d) -> DataFrame:
     bars = C.bars(spark, d)
     a = A.anchor_frame(bars)
     keys = ["ticker", "anchor_date"]
-    lab = C.labels(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int")).withColumn(
+    lab = C.lean(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int")).withColumn(
         "resolution_date", F.col("resolution_date_40d"))
     vec = V.chart_vectors(bars, a).select(*keys, "chart").join(
         V.volume_vectors(bars, a).select(*keys, "volume_vector"), keys)
@@ -151,7 +151,7 @@ def i03(spark, d) -> DataFrame:
 @query("i05_calibration_holdout", sql(f"""SELECT {flag_sql(40, 0.10)} y, {u01("'calib'", '42', 'ticker', "strftime(anchor_date, '%Y-%m-%d')")} < 0.1 holdout,
     count(*) n FROM outcomes GROUP BY ALL"""))
 def i05(spark, d) -> DataFrame:
-    lab = C.labels(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int"))
+    lab = C.lean(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int"))
     return lab.withColumn("holdout", ML.calibration_split(lab)).groupBy("y", "holdout").agg(F.count("*").alias("n"))
 
 
@@ -240,14 +240,14 @@ def j09(spark, d) -> DataFrame:
 @query("j10_entry_window_filter", sql("""SELECT ticker, anchor_date FROM outcomes WHERE ratio_ma250 > 1.5
     AND anchor_date BETWEEN DATE '1999-01-04' AND DATE '2001-02-20' AND resolution_date_40d <= DATE '2001-06-20'"""))
 def j10(spark, d) -> DataFrame:
-    return R.entry_window_filter(C.labels(spark, d), 40, "1999-01-04", "2001-02-20", "2001-06-20").select("ticker", "anchor_date")
+    return R.entry_window_filter(C.lean(spark, d), 40, "1999-01-04", "2001-02-20", "2001-06-20").select("ticker", "anchor_date")
 
 
 # --- K: ledger -----------------------------------------------------------------------------------
 
 
 def _meta(spark, d) -> DataFrame:
-    return C.labels(spark, d).select("ticker", "anchor_date", "anchor_close", "adv20_usd",
+    return C.lean(spark, d).select("ticker", "anchor_date", "anchor_close", "adv20_usd",
                                      F.col("resolution_date_40d").alias("resolution_date"))
 
 
@@ -411,7 +411,7 @@ _RANDOM = {
 
 
 def _seeds(spark, d) -> DataFrame:
-    return ST.random_portfolios(C.labels(spark, d), C.bars(spark, d), (20, 40), N_SEEDS)[0]
+    return ST.random_portfolios(C.lean(spark, d), C.bars(spark, d), (20, 40), N_SEEDS)[0]
 
 
 @query("l09_vs_random_percentile", sql(f"""SELECT track, {r('end_equity', 2)} end_equity,
@@ -735,11 +735,11 @@ def o05(spark, d) -> DataFrame:
     UNION ALL SELECT 5, 'liquid', count(*) FROM outcomes WHERE ratio_ma250 > 1.5 AND adv20_usd >= 5e6
     UNION ALL SELECT 6, 'picked', count(*) FROM chosen WHERE track = 'rank_252d_return'"""))
 def p01(spark, d) -> DataFrame:
-    return P.selection_funnel(C.bars(spark, d), C.labels(spark, d), C.chosen(spark, d).filter("track = 'rank_252d_return'"))
+    return P.selection_funnel(C.bars(spark, d), C.lean(spark, d), C.chosen(spark, d).filter("track = 'rank_252d_return'"))
 
 
 def _with_outcome(spark, d) -> DataFrame:
-    out = C.labels(spark, d).select("ticker", "anchor_date", "fwd_ret_40d")
+    out = C.lean(spark, d).select("ticker", "anchor_date", "fwd_ret_40d")
     return C.picks(spark, d).join(out, ["ticker", "anchor_date"])
 
 
@@ -781,6 +781,6 @@ def p05(spark, d) -> DataFrame:
     {r('(SELECT quantile_cont(end_equity, 0.95) FROM r_summary WHERE hold_days = 40)', 2)} random_p95_eq FROM f_summary""", **_RANDOM))
 def p06(spark, d) -> DataFrame:
     null = M.null_distribution(_seeds(spark, d).filter("hold_days = 40"))
-    out = P.run_summary(C.labels(spark, d), C.summary(spark, d), null, "full")
+    out = P.run_summary(C.lean(spark, d), C.summary(spark, d), null, "full")
     out = C.rounded(out, ["best_cagr", "random_median_cagr"])
     return out.withColumn("best_equity", rnd("best_equity", 2)).withColumn("random_p95_eq", rnd("random_p95_eq", 2))

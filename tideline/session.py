@@ -56,6 +56,8 @@ TUNING = {
     "spark.sql.codegen.maxFields": "400",
     # An anchor window multiplies its input by up to 252, so small shuffle partitions are worth a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # Unions of co-partitioned inputs lose track of their partition count once small partitions are merged.
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -37,9 +37,9 @@ def seed_list_source(spark: SparkSession, path: str) -> DataFrame:
 
 def trial_log_source(spark: SparkSession, path: str, schema: str = TRIAL_SCHEMA) -> DataFrame:
     """JSON lines; blank and malformed lines skipped."""
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt").json(path)
-    return df.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(parsed.alias("p")).select("p.*").filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def picks_source(spark: SparkSession, path: str, schema: str = PICK_SCHEMA) -> DataFrame:
