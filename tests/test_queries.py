@@ -13,7 +13,7 @@ from compare import compare, duck
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["a02_bars_normalize", "b05_delisting_classifier", "b09_partition_fingerprint", "c03_weekly_anchors", "c12_threshold_grid",
+SAMPLE = ["a02_bars_normalize", "b10_snapshot_diff", "b09_partition_fingerprint", "c03_weekly_anchors", "c12_threshold_grid",
           "e01_align_market", "f03_chart_fingerprint", "h02_purge", "k12_trade_ledger_realistic", "l01_compute_summary",
           "n02_first_claim_wins", "n03_compliance_lint", "o01_settle_picks"]
 

@@ -14,6 +14,15 @@ from tideline.operators.quality import has_bars, with_bar_index
 HALT_RATES = {"micro": 0.018, "small": 0.008, "mid": 0.003, "large": 0.001}
 
 
+def bars_of(bars: DataFrame, rows: DataFrame) -> DataFrame:
+    """Bars of the tickers in ``rows`` only.
+
+    Selection leaves a few tickers out of many, so this keeps the panel from being shuffled for them;
+    whether the ticker list is broadcast is left to its measured size.
+    """
+    return bars.join(rows.select("ticker").distinct(), "ticker", "left_semi")
+
+
 def tradable_filter(picks: DataFrame, bars: DataFrame | None, cfg: LedgerConfig = LedgerConfig()) -> DataFrame:
     ok = picks.filter(
         finite("adv20_usd").isNotNull() & (F.col("adv20_usd") >= cfg.min_adv_usd)
@@ -100,10 +109,10 @@ def trailing_stop(trades: DataFrame, bars: DataFrame, pct: float, keys: tuple[st
     return hit.groupBy(*ids).agg(F.min("_d").alias("stop_date"), F.min_by("_c", "_d").alias("stop_close"))
 
 
-def forced_close(trades: DataFrame, bars: DataFrame) -> DataFrame:
+def forced_close(trades: DataFrame, bars: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Trades without an exit bar close on the last day of all bars, at the close or the entry price."""
     last = bars.agg(F.max("date")).scalar()
-    final = bars.filter(F.col("date") == last).select("ticker", F.col("close").alias("_final"))
+    final = bars_of(bars, trades if tickers is None else tickers).filter(F.col("date") == last).select("ticker", F.col("close").alias("_final"))
     j = trades.join(final, "ticker", "left").withColumn("forced_close", F.col("exit_date").isNull())
     return j.withColumns({
         "exit_close": F.when(F.col("forced_close"), F.coalesce("_final", "entry_price")).otherwise(F.col("exit_close")),
@@ -113,15 +122,16 @@ def forced_close(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 def trade_ledger(picks: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
                  keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """All trades with both fills, costs and the return after costs."""
-    t = fixed_exit(open_trades(picks, bars, cfg, keys), bars)
+    """All trades with both fills, costs and the return after costs. Pass cut picks: they are read often."""
+    own = bars_of(bars, picks)
+    t = fixed_exit(open_trades(picks, own, cfg, keys), own)
     if cfg.trailing_stop_pct > 0:
-        stops = trailing_stop(t, bars, cfg.trailing_stop_pct, keys)
+        stops = trailing_stop(t, own, cfg.trailing_stop_pct, keys)
         t = t.join(stops, [*keys, "ticker", "entry_date"], "left").withColumns({
             "exit_close": F.coalesce("stop_close", "exit_close"),
             "exit_date": F.coalesce("stop_date", "exit_date"),
         }).drop("stop_date", "stop_close")
-    t = forced_close(t, bars)
+    t = forced_close(t, bars, picks)
     t = t.withColumn("exit_slippage_bps", slippage_bps(F.col("cost"), F.col("adv20_usd"), cfg))
     t = t.withColumn("exit_price", slipped(F.col("exit_close"), F.col("exit_slippage_bps"), "sell"))
     t = t.withColumn("proceeds", F.col("shares") * F.col("exit_price"))
@@ -139,7 +149,7 @@ def mark_to_market(ledger: DataFrame, bars: DataFrame, keys: tuple[str, ...] = (
     """
     held = ledger.filter(F.col("exit_date") > F.col("entry_date")).withColumn("_from", F.date_add("entry_date", 1))
     days = dates_inside(held, "_from", "exit_date", bars)
-    b = bars.select("ticker", F.col("date").alias("day"), "close")
+    b = bars_of(bars, ledger).select("ticker", F.col("date").alias("day"), "close")
     j = days.join(b, ["ticker", "day"], "left")
     value = F.when(F.col("day") == F.col("exit_date"), F.col("proceeds") - F.col("commission_total")).otherwise(
         F.col("shares") * F.coalesce("close", "entry_price"))

@@ -53,7 +53,8 @@ class Study:
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return no_overlap_selection(weekly_topk(score_frame(self.features, self.lean, 40), 5))
+        """Cut: at most five picks per date and track, read by every step of the ledger."""
+        return cut(no_overlap_selection(weekly_topk(score_frame(self.features, self.lean, 40), 5)))
 
     def ledger(self, cfg: LedgerConfig) -> DataFrame:
         """Trades are few next to the bars they come from, so they are cut as well."""

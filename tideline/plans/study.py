@@ -33,7 +33,7 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
                       for h in horizons])
     base = labels.select("ticker", "anchor_date", "anchor_close", "anchor_idx", "adv20_usd", F.inline(cells))
     scored = per_seed(base, n_seeds, base_seed).withColumn("score", random_score("seed"))
-    picks = no_overlap_selection(weekly_topk(scored, cfg.max_new_per_week, SEED_KEYS), SEED_KEYS)
+    picks = cut(no_overlap_selection(weekly_topk(scored, cfg.max_new_per_week, SEED_KEYS), SEED_KEYS))
     led = cut(trade_ledger(picks, bars, cfg, SEED_KEYS))
     return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS), led, SEED_KEYS), led
 
