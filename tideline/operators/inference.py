@@ -11,6 +11,7 @@ from tideline.functions.exprs import uniforms
 from tideline.functions.normal import norm_cdf
 from tideline.operators.metrics import sharpe_of
 
+# Fixed value: Euler's constant to the digits the threshold was published with.
 EULER_GAMMA = 0.5772156649
 
 

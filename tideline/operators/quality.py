@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.exprs import by_ticker
 
+# Fixed value: a parenthesised group of upper-case symbols.
 SYMBOL_GROUP = r"\(([A-Z][A-Z0-9.\-]{0,9}(?:,\s*[A-Z][A-Z0-9.\-]{0,9})*)\)"
 
 
