@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,16 +25,26 @@ def build_session(app: str = "tideline", cores: int | str = "*", shuffle: int =
     return tune(spark)
 
 
+#: Temporary shared folder of each local application that configures none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: spark.checkpoint.dir, or a temporary one in local mode."""
+    """Folder every executor can reach: spark.checkpoint.dir, or a temporary one in local mode.
+
+    The setting is only read: Spark does not let a running session change it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _LOCAL_DIRS:
+        made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _LOCAL_DIRS[context.applicationId] = made
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
