@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.best_fit_packing import packed_documents
 from tideline.llm.common import documents
+from tideline.llm.golomb_exchange import exact_duplicates
+from tideline.llm.piece_merges import piece_digests
 from tideline.llm.simhash_variants import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +29,27 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_exact_dedup", """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents)
+    WINDOW w AS (PARTITION BY t)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir))
