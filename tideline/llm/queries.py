@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.best_fit_packing import packed_documents
-from tideline.llm.common import documents
+from tideline.llm.common import Stages, documents
 from tideline.llm.golomb_exchange import exact_duplicates
 from tideline.llm.piece_merges import piece_digests
+from tideline.llm.range_coder import read_documents, write_ids
 from tideline.llm.simhash_variants import simhash_components
+from tideline.llm.suffix_sort import repeat_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +52,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(documents(spark, sf_dir))
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir))
+
+
+@query("op10_token_id_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stages(spark, 'ids').root}/files"
+    write_ids(documents(spark, sf_dir), path)
+    return read_documents(spark, path)
