@@ -14,6 +14,7 @@ from tideline.llm.piece_merges import piece_digests
 from tideline.llm.range_coder import read_documents, write_ids
 from tideline.llm.simhash_variants import simhash_components
 from tideline.llm.suffix_sort import repeat_report
+from tideline.llm.weighted_sampling import document_fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
 
+@query("op6_document_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
