@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.llm.best_fit_packing import packed_documents
 from tideline.llm.common import Stages, documents
 from tideline.llm.golomb_exchange import exact_duplicates
+from tideline.llm.maxent_lm import model_scores
 from tideline.llm.piece_merges import piece_digests
 from tideline.llm.range_coder import read_documents, write_ids
 from tideline.llm.simhash_variants import simhash_components
@@ -42,6 +43,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(documents(spark, sf_dir))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
