@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.best_fit_packing import packed_documents
 from tideline.llm.common import Stages, documents
+from tideline.llm.crf_language import languages
 from tideline.llm.golomb_exchange import exact_duplicates
 from tideline.llm.maxent_lm import model_scores
 from tideline.llm.piece_merges import piece_digests
@@ -53,6 +54,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 @query("op6_document_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
