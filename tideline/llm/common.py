@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import shared_dir
@@ -116,3 +116,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     shift = np.asarray(starts, dtype=np.int64) - (np.cumsum(lengths) - lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(shift, lengths)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and everything but the text as struct `row`, so that no column of the caller meets one of ours."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.struct(*others).alias("row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The caller's columns again, with the text of df, and those in `changed` replaced where the caller has them."""
+    changed = {"text": F.col("text")} | (changed or {})
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns))

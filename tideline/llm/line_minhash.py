@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, whole_groups
+from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, unwrapped, whole_groups, wrapped
 from tideline.llm.components import components
 
 WIDTH, BANDS, DEPTH, LIKE, LEAST = 6, 16, 5, 0.8, 10
@@ -250,15 +250,16 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_lines(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
-    """docs with the lines that do not stay cut from text, and n_lines, n_removed (long) added."""
+    """docs (doc_id, text and others) with the lines that do not stay cut from text, and n_lines, n_removed added."""
     stages = stages or Stages(docs.sparkSession, "lines")
     judged = line_components(docs, stages)
     dropped = stages.cut(judged.filter("not kept").groupBy("doc_id", "mark").agg(F.collect_set("line").alias("dropped"))
                          .withColumnRenamed("doc_id", "of_doc")).df
     marked = _marked(docs)
+    text = F.coalesce(marked.text, F.lit(""))
     joined = marked.join(dropped, _same_text(marked, dropped), "left").select(
         *(marked[c] for c in docs.columns), "dropped",
-        (F.length(F.coalesce(marked.text, F.lit(""))) - F.length(F.replace(F.coalesce(marked.text, F.lit("")), F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_removed"))
     return joined.mapInArrow(_without, joined.schema).drop("dropped")
 
@@ -271,8 +272,9 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that do not stay; a document that loses all it had goes. n_chars, where it is a
-    column, follows the text."""
-    out = cut_lines(docs).filter("n_removed = 0 or length(trim(text)) > 0")
+    column, follows a text that changed."""
+    out = cut_lines(wrapped(docs)).filter("n_removed = 0 or length(trim(text)) > 0")
+    changed = {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return unwrapped(out, docs.columns, changed)

@@ -11,6 +11,7 @@ from tideline.llm.best_fit_packing import packed_documents
 from tideline.llm.common import Stages, documents
 from tideline.llm.crf_language import languages
 from tideline.llm.golomb_exchange import exact_duplicates
+from tideline.llm.line_minhash import line_report
 from tideline.llm.maxent_lm import model_scores
 from tideline.llm.piece_merges import piece_digests
 from tideline.llm.range_coder import read_documents, write_ids
@@ -34,6 +35,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 @query("op2_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
            doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stages, column, run_starts, text_bytes, whole_groups
+from tideline.llm.common import Stages, column, run_starts, text_bytes, unwrapped, whole_groups, wrapped
 from tideline.llm.components import components
 
 WIDTH, SEED, DISTANCE = 3, 42, 2
@@ -143,4 +143,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     marks = simhash_components(docs)
     kept = marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    rows = wrapped(docs)
+    return unwrapped(rows.join(kept, rows.doc_id.eqNullSafe(kept.kept_id), "left_semi"), docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, whole_groups
+from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, unwrapped, whole_groups, wrapped
 
 SPAN, GRAM = 400, 32
 WINDOW = SPAN - GRAM + 1
@@ -327,6 +327,7 @@ REMOVED_SCHEMA = "digest binary, n_removed bigint, n_spans bigint, kept_sha256 s
 def _per_row(rows: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
     """Every row with what became of it: whole copies of SPAN bytes or more go, others lose their spans."""
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
+    removed = removed.dropDuplicates(["digest"])  # repeated rows have given theirs twice
     joined = rows.join(texts.select("digest", "copies"), "digest").join(removed, "digest", "left")
     zero = F.lit(0).cast("bigint")
     return joined.withColumns({
@@ -351,12 +352,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stages = Stages(docs.sparkSession, "suffix")
     rows, texts, cut = repeated_spans(docs, stages)
     removed = stages.cut(cut.mapInArrow(_removed, REMOVED_SCHEMA)).df
-    known = _per_row(rows.dropDuplicates(["digest"]), texts, removed).filter("n_removed > 0").select(
-        F.col("digest").alias("own_digest"), "gone", F.expr("try_validate_utf8(cast(kept as string))").alias("valid_text"), "kept")
-    source = docs.withColumn("own_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)))
-    joined = source.join(known, "own_digest", "left").filter("gone is null or (not gone and length(kept) > 0)")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.coalesce("valid_text", F.expr("replace(make_valid_utf8(cast(kept as string)), '\\uFFFD', '')")))
-    out = joined.withColumn("text", text)
+    known = _per_row(rows.dropDuplicates(["digest"]), texts, removed).filter("n_removed > 0").select("digest", "gone", "kept")
+    source = wrapped(docs).withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)))
+    joined = source.join(known, "digest", "left").filter("gone is null or (not gone and length(kept) > 0)")
+    whole = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("\uFFFD"), F.lit(""))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(whole)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("bigint"))
+    return unwrapped(joined, docs.columns, changed)
