@@ -21,6 +21,10 @@ def pick(t, a, r, close=10.0, adv=1e9, score=1.0, track="x"):
     return (track, t, day(a), day(r), close, adv, score)
 
 
+def ledger(picks, bars, cfg=LedgerConfig()):
+    return K.trade_ledger(K.purchases(picks, bars, cfg), bars, cfg)
+
+
 def flat_bars(spark, ticker: str, prices: dict[str, float]):
     rows = [(ticker, day(d), p, p, p, p, 1.0) for d, p in prices.items()]
     return spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
@@ -66,7 +70,7 @@ def test_random_scores_do_not_depend_on_partitioning(spark):
 def test_one_trade_to_the_cent(spark):
     bars = flat_bars(spark, "A", {"2020-01-03": 10.0, "2020-01-06": 11.0, "2020-01-07": 12.0})
     p = spark.createDataFrame([pick("A", "2020-01-03", "2020-01-07")], PICK)
-    r = K.trade_ledger(p, bars).first()
+    r = ledger(p, bars).first()
     fill = 10 * 1.001
     shares = int(4000 // fill)
     cost = shares * fill + min(shares * 0.005, 0.005 * shares * fill)
@@ -81,7 +85,7 @@ def test_exit_waits_for_the_next_bar_and_never_looks_back(spark):
     bars = flat_bars(spark, "A", {"2020-01-03": 10.0, "2020-01-06": 99.0, "2020-01-13": 12.0}).unionByName(
         flat_bars(spark, "B", {"2020-01-07": 1.0, "2020-01-20": 1.0}))
     p = spark.createDataFrame([pick("A", "2020-01-03", "2020-01-07")], PICK)
-    assert K.trade_ledger(p, bars).first()["exit_date"] == day("2020-01-13")
+    assert ledger(p, bars).first()["exit_date"] == day("2020-01-13")
     req = spark.createDataFrame([("A", day("2020-01-06")), ("A", day("2020-01-14"))], "ticker string, due date")
     got = {r["due"].isoformat(): r["next_close"] for r in next_bar_join(req, bars, "due").collect()}
     assert got == {"2020-01-06": 99.0, "2020-01-14": None}
@@ -90,15 +94,15 @@ def test_exit_waits_for_the_next_bar_and_never_looks_back(spark):
 def test_trailing_stop_uses_the_running_peak(spark):
     bars = flat_bars(spark, "A", {"2020-01-03": 10.0, "2020-01-06": 14.0, "2020-01-07": 11.3, "2020-01-08": 20.0, "2020-01-09": 20.0})
     p = spark.createDataFrame([pick("A", "2020-01-03", "2020-01-09")], PICK)
-    stopped = K.trade_ledger(p, bars, LedgerConfig(trailing_stop_pct=0.18)).first()
+    stopped = ledger(p, bars, LedgerConfig(trailing_stop_pct=0.18)).first()
     assert stopped["exit_date"] == day("2020-01-07")
-    assert K.trade_ledger(p, bars, LedgerConfig(trailing_stop_pct=0.25)).first()["exit_date"] == day("2020-01-09")
+    assert ledger(p, bars, LedgerConfig(trailing_stop_pct=0.25)).first()["exit_date"] == day("2020-01-09")
 
 
 def test_unresolved_trades_close_on_the_last_day(spark):
     bars = flat_bars(spark, "A", {"2020-01-03": 10.0}).unionByName(flat_bars(spark, "B", {"2020-01-03": 10.0, "2020-01-08": 9.0}))
     p = spark.createDataFrame([pick("A", "2020-01-03", "2020-03-01"), pick("B", "2020-01-03", "2020-03-01")], PICK)
-    got = {r["ticker"]: r for r in K.trade_ledger(p, bars).collect()}
+    got = {r["ticker"]: r for r in ledger(p, bars).collect()}
     assert all(r["forced_close"] and r["exit_date"] == day("2020-01-08") for r in got.values())
     assert got["B"]["exit_price"] == pytest.approx(9 * 0.999)
     assert got["A"]["exit_price"] == pytest.approx(got["A"]["entry_price"] * 0.999)
@@ -108,7 +112,43 @@ def test_untradable_picks_make_no_trade(spark):
     bars = flat_bars(spark, "A", {"2020-01-03": 10.0, "2020-01-07": 12.0})
     bad = [pick("A", "2020-01-03", "2020-01-07", adv=4e6), pick("A", "2020-01-03", "2020-01-07", adv=float("nan")),
            pick("A", "2020-01-03", "2020-01-07", close=0.0), pick("GHOST", "2020-01-03", "2020-01-07")]
-    assert K.trade_ledger(spark.createDataFrame(bad, PICK), bars).count() == 0
+    assert ledger(spark.createDataFrame(bad, PICK), bars).count() == 0
+
+
+@pytest.mark.parametrize("first, second", [
+    ({"close": float("nan")}, {"adv": float("nan")}), ({"close": 0.0}, {"close": -5.0}), ({"adv": 1e6}, {"adv": 1e4})])
+def test_what_cannot_be_bought_takes_no_place(spark, first, second):
+    bars = flat_bars(spark, "C", {"2020-01-03": 10.0, "2020-01-07": 12.0})
+    for t in "AB":
+        bars = bars.unionByName(flat_bars(spark, t, {"2020-01-03": 10.0, "2020-01-07": 12.0}))
+    rows = [pick("A", "2020-01-03", "2020-01-07", score=3.0, **first), pick("B", "2020-01-03", "2020-01-07", score=2.0, **second),
+            pick("C", "2020-01-03", "2020-01-07", score=1.0)]
+    got = ledger(spark.createDataFrame(rows, PICK), bars, LedgerConfig(max_new_per_week=1)).collect()
+    assert [r["ticker"] for r in got] == ["C"]
+
+
+def test_a_halted_order_takes_no_place(spark):
+    cfg = LedgerConfig(max_new_per_week=1, halt_risk=True, min_adv_usd=0.0)
+    rows = [pick(f"T{i:03d}", "2020-01-03", "2020-01-07", adv=1e6, score=float(1000 - i)) for i in range(400)]
+    picks = spark.createDataFrame(rows, PICK)
+    halted = [r["ticker"] for r in picks.filter(K.halt_draw(cfg.halt_seed, "track")).orderBy("ticker").collect()]
+    assert halted
+    after = f"T{int(halted[0][1:]) + 1:03d}"
+    assert after not in halted
+    pair = picks.filter(F.col("ticker").isin(halted[0], after))
+    bars = flat_bars(spark, halted[0], {"2020-01-03": 10.0, "2020-01-07": 12.0}).unionByName(
+        flat_bars(spark, after, {"2020-01-03": 10.0, "2020-01-07": 12.0}))
+    assert [r["ticker"] for r in ledger(pair, bars, cfg).collect()] == [after]
+
+
+def test_a_stopped_ticker_can_be_bought_again(spark):
+    bars = flat_bars(spark, "A", {"2020-01-03": 10.0, "2020-01-06": 14.0, "2020-01-07": 11.0, "2020-01-10": 12.0, "2020-01-31": 13.0})
+    rows = [pick("A", "2020-01-03", "2020-01-31"), pick("A", "2020-01-06", "2020-01-31", close=14.0), pick("A", "2020-01-10", "2020-01-31", close=12.0)]
+    p = spark.createDataFrame(rows, PICK)
+    got = ledger(p, bars, LedgerConfig(trailing_stop_pct=0.18)).orderBy("entry_date").collect()
+    assert [(r["entry_date"], r["exit_date"]) for r in got] == [
+        (day("2020-01-03"), day("2020-01-07")), (day("2020-01-10"), day("2020-01-31"))]
+    assert ledger(p, bars).count() == 1  # without a stop it is held to the end
 
 
 def test_impact_grows_with_participation_within_bounds(spark):
@@ -124,9 +164,9 @@ def book(spark):
     bars = to_bars(spark, *frames)
     rows = []
     for f in frames:
-        for i in (3, 10, 30):
+        for i in (3, 20, 40):
             rows.append(("x", f["ticker"][0], f["date"][i], f["date"][i + 15], float(f["close"][i]), 1e9, 1.0))
-    led = K.trade_ledger(spark.createDataFrame(rows, PICK), bars)
+    led = ledger(spark.createDataFrame(rows, PICK), bars, LedgerConfig(max_new_per_week=10))
     return bars, led
 
 
@@ -147,7 +187,7 @@ def test_positions_equity_and_summary_agree(spark, book):
     eq = K.sleeve_equity_curve(led, bars)
     e = eq.toPandas().sort_values("date").reset_index(drop=True)
     pos = K.open_positions_by_day(led, bars).toPandas().sort_values("date").reset_index(drop=True)
-    assert list(e["n_positions"]) == list(pos["n_positions"]) and pos["n_positions"].max() == 12
+    assert list(e["n_positions"]) == list(pos["n_positions"]) and pos["n_positions"].max() == 6
     assert e["equity"].iloc[0] == 100_000.0 and (e["cash"] >= 0).all()
     s = M.compute_summary(eq, led).first()
     r = e["equity"].pct_change().dropna()

@@ -9,6 +9,7 @@ from tideline.config import LedgerConfig
 from tideline.functions.exprs import finite, uniform
 from tideline.operators.joins import dates_inside, next_bar_join
 from tideline.operators.quality import has_bars, with_bar_index
+from tideline.operators.ranking import no_overlap_selection, weekly_topk
 
 # Probability that an order of a liquidity tier is missed.
 HALT_RATES = {"micro": 0.018, "small": 0.008, "mid": 0.003, "large": 0.001}
@@ -120,18 +121,35 @@ def forced_close(trades: DataFrame, bars: DataFrame, tickers: DataFrame | None =
     }).drop("_final")
 
 
-def trade_ledger(picks: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
-                 keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """All trades with both fills, costs and the return after costs. Pass cut picks: they are read often."""
-    own = bars_of(bars, picks)
-    t = fixed_exit(open_trades(picks, own, cfg, keys), own)
+def purchases(scores: DataFrame, bars: DataFrame | None, cfg: LedgerConfig = LedgerConfig(),
+              keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """The best candidates of each date among those that can be bought.
+
+    What fails a gate, is too small, is halted or gives no share takes no place: the next candidate moves up.
+    """
+    return weekly_topk(open_trades(scores, bars, cfg, keys), cfg.max_new_per_week, keys, "entry_date")
+
+
+def exits(trades: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(), keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """exit_date, exit_close and forced_close of each trade: the stop, the scheduled bar, or the end of all bars."""
+    own = bars_of(bars, trades)
+    t = fixed_exit(trades, own)
     if cfg.trailing_stop_pct > 0:
         stops = trailing_stop(t, own, cfg.trailing_stop_pct, keys)
         t = t.join(stops, [*keys, "ticker", "entry_date"], "left").withColumns({
             "exit_close": F.coalesce("stop_close", "exit_close"),
             "exit_date": F.coalesce("stop_date", "exit_date"),
         }).drop("stop_date", "stop_close")
-    t = forced_close(t, bars, picks)
+    return forced_close(t, bars, trades)
+
+
+def trade_ledger(bought: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
+                 keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """All trades with both fills, costs and the return after costs. bought: purchases(), cut, as they are read often.
+
+    A purchase of a ticker that is still held is not made; the ticker is free again from its real exit on.
+    """
+    t = no_overlap_selection(exits(bought, bars, cfg, keys), keys, "entry_date", "exit_date")
     t = t.withColumn("exit_slippage_bps", slippage_bps(F.col("cost"), F.col("adv20_usd"), cfg))
     t = t.withColumn("exit_price", slipped(F.col("exit_close"), F.col("exit_slippage_bps"), "sell"))
     t = t.withColumn("proceeds", F.col("shares") * F.col("exit_price"))

@@ -37,29 +37,30 @@ def random_score(seed: str | Column | int = "seed") -> Column:
     return uniform("score", seed, "ticker", F.date_format("anchor_date", "yyyy-MM-dd"))
 
 
-def weekly_topk(scores: DataFrame, k: int = 5, keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """The k best rows of each anchor date, ties by ticker.
+def weekly_topk(scores: DataFrame, k: int = 5, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date") -> DataFrame:
+    """The k best rows of each entry date, ties by ticker.
 
     The rank filter lets Spark keep only k rows per task and date before the shuffle, so a date that
     all tickers share does not land in one task.
     """
-    w = Window.partitionBy(*keys, "anchor_date").orderBy(F.col("score").desc_nulls_last(), "ticker")
+    w = Window.partitionBy(*keys, entry).orderBy(F.col("score").desc_nulls_last(), "ticker")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def no_overlap_selection(picks: DataFrame, keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """A ticker that is still held is not bought again: kept picks of a ticker never overlap.
+def no_overlap_selection(picks: DataFrame, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date",
+                         release: str = "resolution_date") -> DataFrame:
+    """A ticker that is still held is not bought again: it is free from the release date of the kept pick on.
 
     Picks of one ticker (at most one per week, so bounded by the calendar) are folded in date order.
     """
-    rest = [c for c in picks.columns if c not in (*keys, "ticker", "anchor_date", "resolution_date")]
-    row = F.struct("anchor_date", "resolution_date", *rest)
+    rest = [c for c in picks.columns if c not in (*keys, "ticker", entry, release)]
+    row = F.struct(entry, release, *rest)
     g = picks.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(row)).alias("p"))
     start = F.struct(F.to_date(F.lit("0001-01-01")).alias("free"), F.slice("p", 1, 0).alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        taken = F.struct(x["resolution_date"].alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        return F.when(x["anchor_date"] >= acc["free"], taken).otherwise(acc)
+        taken = F.struct(x[release].alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))
+        return F.when(x[entry] >= acc["free"], taken).otherwise(acc)
 
     kept = F.aggregate("p", start, step, lambda acc: acc["kept"])
     return g.select(*keys, "ticker", F.inline(kept)).select(*picks.columns)

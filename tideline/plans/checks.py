@@ -179,12 +179,12 @@ CTES["picks"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trac
 
 
 def no_overlap_ctes(name: str, src: str, keys: str) -> dict[str, str]:
-    """Greedy holding rule by stepping through the picks of each ticker."""
+    """Greedy holding rule by stepping through the purchases of each ticker: free again from the exit date on."""
     return {
-        f"{name}_n": f"SELECT *, row_number() OVER (PARTITION BY {keys}, ticker ORDER BY anchor_date) pn FROM {src}",
-        f"{name}_w": f"""SELECT {keys}, ticker, pn, resolution_date free, true kept FROM {name}_n WHERE pn = 1
+        f"{name}_n": f"SELECT *, row_number() OVER (PARTITION BY {keys}, ticker ORDER BY entry_date) pn FROM {src}",
+        f"{name}_w": f"""SELECT {keys}, ticker, pn, exit_date free, true kept FROM {name}_n WHERE pn = 1
             UNION ALL SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, p.ticker, p.pn,
-            CASE WHEN p.anchor_date >= w.free THEN p.resolution_date ELSE w.free END, p.anchor_date >= w.free
+            CASE WHEN p.entry_date >= w.free THEN p.exit_date ELSE w.free END, p.entry_date >= w.free
             FROM {name}_w w JOIN {name}_n p ON {' AND '.join(f'p.{k.strip()} = w.{k.strip()}' for k in keys.split(','))}
             AND p.ticker = w.ticker AND p.pn = w.pn + 1""",
         name: f"SELECT n.* FROM {name}_n n SEMI JOIN (SELECT * FROM {name}_w WHERE kept) k "
@@ -192,9 +192,6 @@ def no_overlap_ctes(name: str, src: str, keys: str) -> dict[str, str]:
     }
 
 
-CTES |= no_overlap_ctes("chosen", "picks", "track")
-
-
 def impact_sql(pos: str, adv: str, c: LedgerConfig) -> str:
     return (f"CASE WHEN {adv} > 0 AND {pos} > 0 THEN greatest({c.impact_min_bps}, least({c.impact_max_bps}, "
             f"{c.daily_vol * c.impact_eta!r} * pow({pos} / {adv}, {c.impact_beta}) * {1 + c.permanent_frac / 2} * 1e4)) "
@@ -213,7 +210,7 @@ def halt_sql(seed: int, *keys: str) -> str:
 
 
 def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[str, str]:
-    """CTEs {p}open, {p}exit and {p}ledger for a set of picks."""
+    """CTEs {p}open (all that can be bought), {p}top (the best of them per date), {p}exit, {p}held and {p}ledger."""
     ks = [k.strip() for k in keys.split(",")]
     bps = (lambda pos: impact_sql(pos, "adv20_usd", c)) if c.use_impact else (lambda pos: f"{c.slippage_bps}")
     halt = f"AND NOT ({halt_sql(c.halt_seed, *ks)})" if c.halt_risk else ""
@@ -226,7 +223,9 @@ def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[
             SELECT *, least({c.start_equity * c.max_position_pct}, adv20_usd * {c.max_adv_pct}) target_usd FROM {src}
             WHERE adv20_usd >= {c.min_adv_usd} AND anchor_close > 0 {halt})
             WHERE target_usd >= {c.min_position_usd})) WHERE shares > 0""",
-        f"{p}next": f"""SELECT t.*, b.date next_date, b.close next_close FROM {p}open t ASOF LEFT JOIN bars b
+        f"{p}top": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, entry_date ORDER BY score DESC, ticker) rank
+            FROM {p}open) WHERE rank <= {c.max_new_per_week}""",
+        f"{p}next": f"""SELECT t.*, b.date next_date, b.close next_close FROM {p}top t ASOF LEFT JOIN bars b
             ON t.ticker = b.ticker AND t.resolution_date <= b.date""",
     }
     if c.trailing_stop_pct > 0:
@@ -243,11 +242,12 @@ def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[
             stop_date IS NULL AND next_date IS NULL forced_close FROM (
             SELECT t.*, {stop_sel}, f.close final FROM {p}next t {stop_join}
             LEFT JOIN (SELECT ticker, close FROM bars WHERE date = (SELECT max(date) FROM bars)) f ON f.ticker = t.ticker) t"""
+    out |= no_overlap_ctes(f"{p}held", f"{p}exit", keys)
     out[f"{p}ledger"] = f"""SELECT *, (proceeds - commission_total - cost) / cost trade_return_pct FROM (
             SELECT *, {fee('proceeds')} commission_total FROM (
             SELECT *, shares * exit_price proceeds FROM (
             SELECT *, exit_close * (1 - exit_slippage_bps / 1e4) exit_price FROM (
-            SELECT *, {bps('cost')} exit_slippage_bps FROM {p}exit))))"""
+            SELECT *, {bps('cost')} exit_slippage_bps FROM {p}held))))"""
     return out
 
 
@@ -304,8 +304,8 @@ def summary_ctes(name: str, equity: str, ledger: str, keys: str = "track") -> di
 
 FLAT = LedgerConfig()
 REAL = LedgerConfig(trailing_stop_pct=0.18, use_impact=True, halt_risk=True)
-CTES |= ledger_ctes("f_", "chosen", FLAT) | equity_ctes("f_", FLAT)
-CTES |= ledger_ctes("x_", "chosen", REAL) | equity_ctes("x_", REAL)
+CTES |= ledger_ctes("f_", "scores", FLAT) | equity_ctes("f_", FLAT)
+CTES |= ledger_ctes("x_", "scores", REAL) | equity_ctes("x_", REAL)
 
 # --- resampling ----------------------------------------------------------------------------------
 

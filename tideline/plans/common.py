@@ -11,9 +11,9 @@ from tideline.config import LedgerConfig, StudyConfig
 from tideline.functions.exprs import rnd
 from tideline.operators.anchors import anchor_frame, build_labels
 from tideline.operators.features import compute_features
-from tideline.operators.ledger import sleeve_equity_curve, trade_ledger
+from tideline.operators.ledger import purchases, sleeve_equity_curve, trade_ledger
 from tideline.operators.metrics import compute_summary
-from tideline.operators.ranking import no_overlap_selection, score_frame, weekly_topk
+from tideline.operators.ranking import score_frame, weekly_topk
 from tideline.session import cut, tune
 from tideline.sources.tables import market_bars, panel_bars
 
@@ -28,6 +28,7 @@ class Study:
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
+        self.purchased: dict[LedgerConfig, DataFrame] = {}
         self.ledgers: dict[LedgerConfig, DataFrame] = {}
 
     @cached_property
@@ -52,14 +53,19 @@ class Study:
         return build_labels(self.bars, LEAN)
 
     @cached_property
-    def chosen(self) -> DataFrame:
-        """Cut: at most five picks per date and track, read by every step of the ledger."""
-        return cut(no_overlap_selection(weekly_topk(score_frame(self.features, self.lean, 40), 5)))
+    def scores(self) -> DataFrame:
+        return score_frame(self.features, self.lean, 40)
+
+    def bought(self, cfg: LedgerConfig) -> DataFrame:
+        """Cut: at most five purchases per date and track, read by every step of the ledger."""
+        if cfg not in self.purchased:
+            self.purchased[cfg] = cut(purchases(self.scores, self.bars, cfg))
+        return self.purchased[cfg]
 
     def ledger(self, cfg: LedgerConfig) -> DataFrame:
         """Trades are few next to the bars they come from, so they are cut as well."""
         if cfg not in self.ledgers:
-            self.ledgers[cfg] = cut(trade_ledger(self.chosen, self.bars, cfg))
+            self.ledgers[cfg] = cut(trade_ledger(self.bought(cfg), self.bars, cfg))
         return self.ledgers[cfg]
 
 
@@ -104,15 +110,16 @@ def lean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_frame(features(spark, d), lean(spark, d), 40)
+    return study(spark, d).scores
 
 
 def picks(spark: SparkSession, d: str) -> DataFrame:
+    """The best scores of each date, whether they can be bought or not."""
     return weekly_topk(scores(spark, d), 5)
 
 
-def chosen(spark: SparkSession, d: str) -> DataFrame:
-    return study(spark, d).chosen
+def bought(spark: SparkSession, d: str, cfg: LedgerConfig = FLAT) -> DataFrame:
+    return study(spark, d).bought(cfg)
 
 
 def ledger(spark: SparkSession, d: str, cfg: LedgerConfig = FLAT) -> DataFrame:

@@ -20,7 +20,7 @@ from tideline.plans import common as C
 from tideline.plans import reports as P
 from tideline.plans import study as ST
 from tideline.plans.checks import (CTES, FLAT, PHI, REAL, TIER, draws_cte, equity_ctes, flag_sql, halt_sql, impact_sql,
-                                   ledger_ctes, no_overlap_ctes, r, returns_cte, sql, summary_ctes, u01)
+                                   ledger_ctes, r, returns_cte, sql, summary_ctes, u01)
 from tideline.plans.registry import query
 from tideline.session import cut, scratch_path
 from tideline.sources import bars as B, tables as T
@@ -221,9 +221,10 @@ def j07(spark, d) -> DataFrame:
     return R.weekly_topk(C.scores(spark, d), 2).select("track", "ticker", "anchor_date", rnd("score").alias("score"), "rank")
 
 
-@query("j08_no_overlap_selection", sql("SELECT track, ticker, anchor_date, resolution_date FROM chosen"))
+@query("j08_no_overlap_selection", sql("SELECT track, ticker, entry_date, exit_date FROM x_held"))
 def j08(spark, d) -> DataFrame:
-    return C.chosen(spark, d).select("track", "ticker", "anchor_date", "resolution_date")
+    closed = K.exits(C.bought(spark, d, C.REAL), C.bars(spark, d), C.REAL)
+    return R.no_overlap_selection(closed, entry="entry_date", release="exit_date").select("track", "ticker", "entry_date", "exit_date")
 
 
 @query("j09_forward_topk", sql(f"""SELECT ticker, anchor_date, {r('score')} score FROM (SELECT ticker, date anchor_date, close / ma score, adv
@@ -290,7 +291,7 @@ def k07(spark, d) -> DataFrame:
 
 @query("k08_integer_shares", sql("""SELECT track, ticker, entry_date, shares FROM f_open"""))
 def k08(spark, d) -> DataFrame:
-    return K.open_trades(C.chosen(spark, d), C.bars(spark, d)).select("track", "ticker", "entry_date", "shares")
+    return K.open_trades(C.scores(spark, d), C.bars(spark, d)).select("track", "ticker", "entry_date", "shares")
 
 
 @query("k09_fixed_exit", sql("""SELECT a.ticker, a.anchor_date entry_date, b.date exit_date, b.close exit_close FROM (
@@ -302,9 +303,7 @@ def k09(spark, d) -> DataFrame:
 
 @query("k10_trailing_stop", sql("SELECT track, ticker, entry_date, stop_date, stop_close FROM x_hit"))
 def k10(spark, d) -> DataFrame:
-    bars = C.bars(spark, d)
-    t = K.open_trades(C.chosen(spark, d), bars, C.REAL)
-    return K.trailing_stop(t, bars, 0.18)
+    return K.trailing_stop(C.bought(spark, d, C.REAL), C.bars(spark, d), 0.18)
 
 
 @query("k11_forced_close", sql("""SELECT a.ticker, a.anchor_date entry_date, coalesce(b.date, (SELECT max(date) FROM bars)) exit_date,
@@ -397,16 +396,14 @@ query("l05_trade_summary", sql(_summary_sql("f_summary", _cols)))(
     lambda spark, d, c=_cols: _summary_out(M.trade_summary(C.ledger(spark, d)), c))
 
 # Random portfolios: two holding periods, each seed a row.
-N_SEEDS = 12
+N_SEEDS = 200
 SK = "hold_days, seed"
 _RSCORE = u01("'score'", "seed", "ticker", "strftime(anchor_date, '%Y-%m-%d')")
 _RANDOM = {
     "rbase": f"""SELECT hold_days, seed, ticker, anchor_date, anchor_idx, anchor_close, adv20_usd, resolution_date, {_RSCORE} score FROM (
         SELECT *, unnest(range(0, {N_SEEDS})) seed FROM (
         SELECT 20 hold_days, *, resolution_date_20d resolution_date FROM outcomes UNION ALL SELECT 40, *, resolution_date_40d FROM outcomes))""",
-    "rpicks": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {SK}, anchor_date ORDER BY score DESC, ticker) rank FROM rbase) WHERE rank <= 5""",
-    **no_overlap_ctes("rchosen", "rpicks", SK),
-    **ledger_ctes("r_", "rchosen", ST.FREE, SK), **equity_ctes("r_", ST.FREE, SK),
+    **ledger_ctes("r_", "rbase", ST.FREE, SK), **equity_ctes("r_", ST.FREE, SK),
 }
 
 
@@ -733,9 +730,9 @@ def o05(spark, d) -> DataFrame:
 @query("p01_selection_funnel", sql("""SELECT 1 step, 'bars' stage, count(*) n FROM bars UNION ALL SELECT 2, 'eligible', count(*) FROM elig
     UNION ALL SELECT 3, 'anchors', count(*) FROM outcomes UNION ALL SELECT 4, 'prefilter', count(*) FROM outcomes WHERE ratio_ma250 > 1.5
     UNION ALL SELECT 5, 'liquid', count(*) FROM outcomes WHERE ratio_ma250 > 1.5 AND adv20_usd >= 5e6
-    UNION ALL SELECT 6, 'picked', count(*) FROM chosen WHERE track = 'rank_252d_return'"""))
+    UNION ALL SELECT 6, 'picked', count(*) FROM f_held WHERE track = 'rank_252d_return'"""))
 def p01(spark, d) -> DataFrame:
-    return P.selection_funnel(C.bars(spark, d), C.lean(spark, d), C.chosen(spark, d).filter("track = 'rank_252d_return'"))
+    return P.selection_funnel(C.bars(spark, d), C.lean(spark, d), C.ledger(spark, d).filter("track = 'rank_252d_return'"))
 
 
 def _with_outcome(spark, d) -> DataFrame:
