@@ -17,7 +17,7 @@ brackets). Null counts as empty. Rows with the same doc_id and text are treated
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,34 +125,61 @@ def _prefix(hashes: np.ndarray) -> np.ndarray:
     return ordered[: len(ordered) - int(np.ceil(LIKE * len(ordered) - 1e-9)) + 1]
 
 
+def _links_within(roots: list[int], sets: list[set[str]], prefixes: list[list[int]]) -> list[tuple[int, int]]:
+    """Links between the components in a bucket, by position.
+
+    Members outside the largest component are indexed by their prefixes as they come. Members of the largest one only
+    look for those that are not yet in it, so a bucket that soon is one component soon ends.
+    """
+    joined: dict[int, int] = {}
+    found: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while x in joined:
+            joined[x] = joined.get(joined[x], joined[x])
+            x = joined[x]
+        return x
+
+    def look(i: int) -> None:
+        own = root(roots[i])
+        for j in sorted({j for h in prefixes[i] for j in index[h] if root(roots[j]) != own}):
+            other = root(roots[j])
+            if other != own and similarity(sets[i], sets[j]) >= LIKE:
+                joined[other] = own
+                found.append((i, j))
+
+    index: dict[int, list[int]] = defaultdict(list)
+    largest = Counter(roots).most_common(1)[0][0]
+    few = [i for i, r in enumerate(roots) if r != largest]
+    for i in few:
+        look(i)
+        for h in prefixes[i]:
+            index[h].append(i)
+    apart = {root(roots[i]) for i in few} - {root(largest)}
+    for i in (i for i, r in enumerate(roots) if r == largest):
+        if not apart:
+            break
+        before = len(found)
+        look(i)
+        if len(found) > before:
+            apart = {root(x) for x in apart} - {root(largest)}
+            for h in prefixes[i]:
+                index[h] = [j for j in index[h] if root(roots[j]) != root(largest)]
+    return found
+
+
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["bucket", "part"]):
         at = run_starts(column(table, "bucket"), column(table, "part"))
         ids, roots, texts = column(table, "id"), column(table, "root"), table.column("text").to_pylist()
-        found: list[tuple[int, int]] = []
+        pairs = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            index: dict[int, list[int]] = defaultdict(list)
-            joined: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while x in joined:
-                    x = joined[x]
-                return x
-
             hashes, count = shingle_hashes(texts[a:b])
-            ends = np.cumsum(count)
-            sets = [shingles(t) for t in texts[a:b]]
-            for i in range(b - a):
-                prefix = _prefix(hashes[ends[i] - count[i]: ends[i]]).tolist()
-                for j in sorted({j for h in prefix for j in index[h]}):
-                    x, y = root(int(roots[a + i])), root(int(roots[a + j]))
-                    if x != y and similarity(sets[i], sets[j]) >= LIKE:
-                        joined[x] = y
-                        found.append((int(ids[a + i]), int(ids[a + j])))
-                for h in prefix:
-                    index[h].append(i)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            ends = np.cumsum(count).tolist()
+            prefixes = [_prefix(hashes[e - n: e]).tolist() for e, n in zip(ends, count.tolist(), strict=True)]
+            pairs += [(ids[a + i], ids[a + j]) for i, j in _links_within(roots[a:b].tolist(), [shingles(t) for t in texts[a:b]], prefixes)]
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
