@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import kept_lines
 
@@ -40,6 +41,17 @@ def test_bands_are_shared_by_alike_lines():
     assert (a == b).any(axis=1).mean() > 0.99 and not (a == np.roll(b, 1, axis=0)).any()
 
 
+def test_members_across_batches():
+    r = random.Random(3)
+    rows = sorted({(r.randrange(12), r.randrange(40)) for _ in range(60)})
+    want = sorted((b, i, min(j for c, j in rows if c == b)) for b, i in rows if sum(c == b for c, _ in rows) > 1)
+    for size in (1, 2, 3, 7, 100):
+        parts = [rows[a: a + size] for a in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in p]), pa.array([x[1] for x in p])], ["bucket", "id"]) for p in parts]
+        got = [tuple(row.values()) for batch in M._members(iter(batches)) for row in batch.to_pylist()]
+        assert sorted(got) == want, size
+
+
 def test_odd_rows(spark, odd, empty):
     report = {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in M.line_report(odd).collect()}
     assert (1, 1, 0) in report and (4, 3, 0) in report and M.line_report(odd).count() == odd.count()

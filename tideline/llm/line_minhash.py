@@ -108,14 +108,23 @@ def shingles(line: str) -> set[str]:
     return {line[i: i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1))}
 
 
+def alike(a: set[int], b: set[int], a_text: str, b_text: str) -> bool:
+    """Exact similarity of LIKE or more; sets of shingle hashes turn most pairs down before strings are compared."""
+    if min(len(a), len(b)) < LIKE * max(len(a), len(b)) - 1e-9 or similarity(a, b) < LIKE:
+        return False
+    return similarity(shingles(a_text), shingles(b_text)) >= LIKE
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[str, set[str]] = ("", set())
+    last: tuple[str, set[int]] = ("", set())
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
+        a_texts, b_texts = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
+        hashes, count = shingle_hashes(b_texts)
+        for a, b, end, n in zip(a_texts, b_texts, np.cumsum(count).tolist(), count.tolist(), strict=True):
             if a != last[0]:
-                last = (a, shingles(a))
-            keep.append(similarity(last[1], shingles(b)) >= LIKE)
+                last = (a, set(shingle_hashes([a])[0].tolist()))
+            keep.append(alike(last[1], set(hashes[end - n: end].tolist()), a, b))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -125,47 +134,68 @@ def _prefix(hashes: np.ndarray) -> np.ndarray:
     return ordered[: len(ordered) - int(np.ceil(LIKE * len(ordered) - 1e-9)) + 1]
 
 
-def _links_within(roots: list[int], sets: list[set[str]], prefixes: list[list[int]]) -> list[tuple[int, int]]:
-    """Links between the components in a bucket, by position.
-
-    Members outside the largest component are indexed by their prefixes as they come. Members of the largest one only
-    look for those that are not yet in it, so a bucket that soon is one component soon ends.
-    """
-    joined: dict[int, int] = {}
-    found: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while x in joined:
-            joined[x] = joined.get(joined[x], joined[x])
-            x = joined[x]
-        return x
-
-    def look(i: int) -> None:
-        own = root(roots[i])
-        for j in sorted({j for h in prefixes[i] for j in index[h] if root(roots[j]) != own}):
-            other = root(roots[j])
-            if other != own and similarity(sets[i], sets[j]) >= LIKE:
-                joined[other] = own
-                found.append((i, j))
-
-    index: dict[int, list[int]] = defaultdict(list)
-    largest = Counter(roots).most_common(1)[0][0]
-    few = [i for i, r in enumerate(roots) if r != largest]
-    for i in few:
-        look(i)
-        for h in prefixes[i]:
-            index[h].append(i)
-    apart = {root(roots[i]) for i in few} - {root(largest)}
-    for i in (i for i, r in enumerate(roots) if r == largest):
-        if not apart:
-            break
-        before = len(found)
-        look(i)
-        if len(found) > before:
-            apart = {root(x) for x in apart} - {root(largest)}
-            for h in prefixes[i]:
-                index[h] = [j for j in index[h] if root(roots[j]) != root(largest)]
-    return found
+class Bucket:
+    """The nodes of a bucket, with sets and prefixes computed when they are asked for."""
+
+    def __init__(self, roots: list[int], texts: list[str]):
+        self.roots, self.texts = roots, texts
+        hashes, count = shingle_hashes(texts)
+        self.parts = np.split(hashes, np.cumsum(count)[:-1])
+        self.sets: dict[int, set[int]] = {}
+        self.prefixes: dict[int, list[int]] = {}
+
+    def prefix(self, i: int) -> list[int]:
+        if i not in self.prefixes:
+            self.prefixes[i] = _prefix(self.parts[i]).tolist()
+        return self.prefixes[i]
+
+    def alike(self, i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in self.sets:
+                self.sets[k] = set(self.parts[k].tolist())
+        return alike(self.sets[i], self.sets[j], self.texts[i], self.texts[j])
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links between the components, by position.
+
+        Nodes outside the largest component are indexed by their prefixes as they come. Nodes of the largest one only
+        look for those that are not yet in it, so a bucket that soon is one component soon ends.
+        """
+        joined: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+        index: dict[int, list[int]] = defaultdict(list)
+
+        def root(x: int) -> int:
+            while x in joined:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        def look(i: int) -> None:
+            own = root(self.roots[i])
+            for j in sorted({j for h in self.prefix(i) if h in index for j in index[h] if root(self.roots[j]) != own}):
+                other = root(self.roots[j])
+                if other != own and self.alike(i, j):
+                    joined[other] = own
+                    found.append((i, j))
+
+        largest = Counter(self.roots).most_common(1)[0][0]
+        few = [i for i, r in enumerate(self.roots) if r != largest]
+        for i in few:
+            look(i)
+            for h in self.prefix(i):
+                index[h].append(i)
+        apart = {root(self.roots[i]) for i in few} - {root(largest)}
+        for i in (i for i, r in enumerate(self.roots) if r == largest):
+            if not apart:
+                break
+            before = len(found)
+            look(i)
+            if len(found) > before:
+                apart = {root(x) for x in apart} - {root(largest)}
+                for h in list(index):
+                    index[h] = [j for j in index[h] if root(self.roots[j]) != root(largest)]
+        return found
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +204,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, roots, texts = column(table, "id"), column(table, "root"), table.column("text").to_pylist()
         pairs = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            hashes, count = shingle_hashes(texts[a:b])
-            ends = np.cumsum(count).tolist()
-            prefixes = [_prefix(hashes[e - n: e]).tolist() for e, n in zip(ends, count.tolist(), strict=True)]
-            pairs += [(ids[a + i], ids[a + j]) for i, j in _links_within(roots[a:b].tolist(), [shingles(t) for t in texts[a:b]], prefixes)]
+            pairs += [(ids[a + i], ids[a + j]) for i, j in Bucket(roots[a:b].tolist(), texts[a:b]).links()]
         found = np.array(pairs, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
@@ -200,6 +227,31 @@ def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
         "least <> most").select(*keys, "n")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, id and the bucket's least id for buckets of two nodes or more, from rows sorted by bucket and id."""
+    held = (None, 0, False)  # the last bucket, its least id, whether that node has been given
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ids = column(batch, "bucket"), column(batch, "id")
+        at = run_starts(bucket)
+        least, sizes = ids[at[:-1]].copy(), np.diff(at)
+        goes_on = bucket[0] == held[0]
+        if goes_on:
+            least[0] = held[1]
+        many = sizes > 1
+        take = np.repeat(many, sizes)
+        rows_bucket, rows_id, rows_least = bucket[take], ids[take], np.repeat(least, sizes)[take]
+        if goes_on:
+            extra = [] if held[2] else [held[1]]
+            extra += [] if many[0] else [int(ids[0])]
+            rows_bucket = np.concatenate([np.full(len(extra), bucket[0]), rows_bucket])
+            rows_id, rows_least = np.concatenate([np.array(extra, np.int64), rows_id]), np.concatenate([np.full(len(extra), held[1]), rows_least])
+        only_held = goes_on and len(sizes) == 1
+        held = (bucket[-1], int(least[-1]), bool(many[-1]) or only_held)
+        yield pa.RecordBatch.from_arrays([pa.array(rows_bucket), pa.array(rows_id), pa.array(rows_least)], ["bucket", "id", "least"])
+
+
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = [], []
@@ -222,14 +274,16 @@ def _same_text(left: DataFrame, right: DataFrame) -> Column:
 def line_components(docs: DataFrame, stages: Stages) -> DataFrame:
     """doc_id, mark (of the text), line, component (a node), kept for every line of at least LEAST characters."""
     source = docs.select(F.col("doc_id").cast("bigint"), text_bytes())
-    lines = stages.cut(source.mapInArrow(_lines, LINE_SCHEMA)).df
+    hashed = stages.cut(source.mapInArrow(_lines, LINE_SCHEMA))
     place = F.struct("doc_id", "mark", "line")
-    nodes = stages.cut(lines.groupBy("digest").agg(F.min(place).alias("place"), F.any_value("bands").alias("bands"))
+    nodes = stages.cut(hashed.df.groupBy("digest").agg(F.min(place).alias("place"), F.any_value("bands").alias("bands"))
                        .withColumn("id", F.monotonically_increasing_id())).df
+    lines = stages.cut(hashed.df.drop("bands")).df
+    hashed.drop()
 
-    spread = nodes.select("id", F.explode("bands").alias("bucket")).repartition("bucket")
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
-    members = stages.cut(spread.join(shared, "bucket")).df
+    spread = nodes.select("id", F.explode("bands").alias("bucket"))
+    members = stages.cut(spread.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(
+        _members, "bucket bigint, id bigint, least bigint")).df
 
     wanted = nodes.join(members.select("id").distinct(), "id").groupBy("place.doc_id", "place.mark").agg(
         F.collect_list(F.struct("id", "place.line")).alias("wanted")).withColumnRenamed("doc_id", "of_doc")
@@ -261,7 +315,7 @@ def line_components(docs: DataFrame, stages: Stages) -> DataFrame:
         "digest", "place", F.coalesce("v", "id").alias("component"))
     first = named.groupBy("component").agg(F.min("place").alias("first"))
     named = stages.cut(named.join(first, "component").select("digest", "component", "first")).df
-    return lines.drop("bands").join(named, "digest").select(
+    return lines.join(named, "digest").select(
         "doc_id", "mark", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
 
 
