@@ -1,7 +1,7 @@
 """Language of texts by a linear-chain conditional random field over words.
 
 Each word of a chain has a language as its label. A word's features are the word itself, its prefixes and suffixes, its
-character n-grams and its script, hashed to FEATURES rows of weights, and the lexicon: the share of each language among
+character n-grams and the block of its code points, hashed to FEATURES rows of weights, and the lexicon: the share of each language among
 the sampled training texts that hold the word. Transitions between neighbours are learned with them. Training chains
 splice pieces of texts of different languages, so that code-switching is seen. Forward-backward gives each word's
 distribution, and a text's language is the one with the largest sum over its words; the score is that sum's share.
@@ -19,12 +19,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +32,7 @@ FOLDS, HELD = 3, 1
 FEATURES = 1 << 17
 SAMPLE, SAMPLE_BYTES = 400, 20_000
 CHAIN, EPOCHS, RATE = 64, 4, 0.3
+AFFIX, LONGEST = 4, 40
 BATCH = 1 << 22
 UNKNOWN = "und"
 
@@ -44,22 +43,47 @@ def is_held(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed rows of a word's own features."""
-    w = word[:40].lower()
-    marked = f"<{w}>"
-    names = [f"w{w}", *(f"p{w[:k]}" for k in (1, 2, 3, 4)), *(f"s{w[-k:]}" for k in (1, 2, 3, 4))]
-    names += [f"{n}{marked[i: i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)]
-    names.append("script" + "".join(sorted({_script(c) for c in w})))
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
+def _hashed(values: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (values + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(29))) % np.uint64(FEATURES)).astype(np.int64)
 
 
-@lru_cache(4096)
-def _script(c: str) -> str:
-    for name in ("Latin", "Greek", "Cyrillic", "Han", "Arabic", "Hebrew", "Hangul", "Hiragana", "Katakana", "Devanagari"):
-        if regex.match(rf"\p{{Script={name}}}", c):
-            return name[:2]
-    return "o" if c.isalpha() else ""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature rows of the words, one word after the other, and how many each has.
+
+    Of a word in lower case between two marks: all of it, the block of code points its first character is in, prefixes and
+    suffixes of one to AFFIX characters, and all pairs and triples of neighbouring characters.
+    """
+    marked = [f"<{w[:LONGEST].lower()}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(lengths) - lengths
+    base = np.uint64(0x100000001B3)
+    with np.errstate(over="ignore"):
+        place = ranges(np.zeros(len(words)), lengths)
+        powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(lengths.max(initial=1)), base)))
+        fixed = [_hashed(np.add.reduceat(points * powers[place], start), 1), _hashed(points[start + 1] >> np.uint64(7), 2)]
+        head, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+        for k in range(1, AFFIX + 1):
+            inside = k < lengths - 1
+            head = np.where(inside, head * base + points[np.minimum(start + k, len(points) - 1)], head)
+            tail = np.where(inside, tail * base + points[np.maximum(start + lengths - 1 - k, 0)], tail)
+            fixed += [_hashed(head, 10 + k), _hashed(tail, 20 + k)]
+        pairs = points[:-1] * base + points[1:]
+        triples = pairs[:-1] * base + points[2:]
+    grams = [(2, _hashed(pairs, 30)), (3, _hashed(triples, 31))]
+    counts = len(fixed) + sum(np.maximum(0, lengths - n + 1) for n, _ in grams)
+    rows, at = np.empty(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+    for i, values in enumerate(fixed):
+        rows[at + i] = values
+    at = at + len(fixed)
+    for n, values in grams:
+        many = np.maximum(0, lengths - n + 1)
+        rows[ranges(at, many)] = values[ranges(start, many)]
+        at = at + many
+    return rows, counts
 
 
 def _words(data: bytes) -> list[str]:
@@ -80,15 +104,13 @@ class Field:
 
     def states(self, words: list[str]) -> np.ndarray:
         """State scores of each word."""
-        rows = [word_features(w) for w in words]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((r for x in rows for r in x), np.int64, int(sizes.sum()))
+        flat, sizes = word_features(words)
         return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] * 8.0 + self.listed(words) * self.trust
 
     def listed(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)))
         for i, w in enumerate(words):
-            shares = self.lexicon.get(w[:40].lower())
+            shares = self.lexicon.get(w[:LONGEST].lower())
             if shares is not None:
                 out[i] = shares
         return out
@@ -141,13 +163,12 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 11) -> Field:
     k = len(labels)
     holds: dict[str, Counter] = defaultdict(Counter)
     for y, words in texts:
-        for w in {w[:40].lower() for w in words}:
+        for w in {w[:LONGEST].lower() for w in words}:
             holds[w][y] += 1
     for w, by in holds.items():
         if sum(by.values()) > 1:
             field.lexicon[w] = (np.array([by[i] for i in range(k)]) + 0.5 / k) / (sum(by.values()) + 0.5)
     pieces = [(y, words[a: a + CHAIN // 2]) for y, words in texts for a in range(0, len(words), CHAIN // 2)]
-    known: dict[str, np.ndarray] = {}
     squares, move_squares = np.full(FEATURES, 1.0, np.float32), np.ones((k, k))
     first_squares, trust_square = np.ones(k), np.ones(1)
     for _ in range(EPOCHS):
@@ -159,12 +180,7 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 11) -> Field:
             gold = np.concatenate([np.full(len(part), y) for pair in chains for y, part in pair])
             sizes = np.array([sum(len(part) for _, part in pair) for pair in chains])
             distinct, of = np.unique(np.array(words, object), return_inverse=True)
-            for w in distinct:
-                if w not in known:
-                    known[w] = np.array(word_features(w))
-            rows = [known[w] for w in distinct]
-            counts = np.array([len(r) for r in rows])
-            flat, listed = np.concatenate(rows), field.listed(list(distinct))
+            (flat, counts), listed = word_features(list(distinct)), field.listed(list(distinct))
             per = np.add.reduceat(field.weights[flat], np.cumsum(counts) - counts, axis=0) / counts[:, None] * 8.0 + listed * field.trust
             mask = np.arange(int(sizes.max()))[:, None] < sizes
             states, spots = np.zeros((*mask.shape, k)), np.zeros(mask.shape, np.int64)
