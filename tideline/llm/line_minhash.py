@@ -5,7 +5,7 @@
    Equal lines become one node, named by its first place (doc_id, text mark, line number).
 2. In each band bucket the nodes are paired with the smallest one, and the pairs' exact Jaccard similarity is taken.
    This joins most groups at linear cost, however large they are.
-3. Buckets that still hold several components are searched whole, so no link that banding offers is lost: shingles in
+3. Buckets whose other nodes are still of several components are searched whole, so no link that banding offers is lost: shingles in
    hash order, an index of prefixes (two sets this alike share one of the first shingles), exact similarity for what meets.
    Buckets of more than CROWD nodes are dealt again by prefix shingle.
 4. Components of all links; the line with the smallest place of each component stays, other lines go.
@@ -31,7 +31,7 @@ from tideline.llm.components import components
 
 WIDTH, BANDS, DEPTH, LIKE, LEAST = 6, 16, 5, 0.8, 10
 CROWD = 20_000
-BATCH = 1 << 21
+BATCH, CACHED = 1 << 21, 1 << 16
 
 LINE_SCHEMA = "doc_id bigint, mark bigint, line int, digest binary, bands array<bigint>"
 _MULTIPLIERS = (np.random.default_rng(7).integers(1, 2**31, BANDS * DEPTH).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -65,15 +65,20 @@ def bands(lines: list[str]) -> np.ndarray:
     if not lines:
         return out
     hashes, count = shingle_hashes(lines)
-    h, start = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(count) - count
-    buffer = np.empty_like(h)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for k in range(band * DEPTH, (band + 1) * DEPTH):
-            np.multiply(h, _MULTIPLIERS[k], out=buffer)
-            with np.errstate(over="ignore"):
-                key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(buffer, start))
-        out[:, band] = key.view(np.int64)
+    ends = np.cumsum(count)
+    part = (ends - count) // CACHED
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lines)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # parts that stay in the processor's cache
+        begin = ends[a] - count[a]
+        h, start = (hashes[begin: ends[b - 1]] >> np.uint64(32)).astype(np.uint32), ends[a:b] - count[a:b] - begin
+        buffer = np.empty_like(h)
+        for band in range(BANDS):
+            key = np.full(b - a, band + 1, np.uint64)
+            for k in range(band * DEPTH, (band + 1) * DEPTH):
+                np.multiply(h, _MULTIPLIERS[k], out=buffer)
+                with np.errstate(over="ignore"):
+                    key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(buffer, start))
+            out[a:b, band] = key.view(np.int64)
     return out
 
 
@@ -116,15 +121,19 @@ def alike(a: set[int], b: set[int], a_text: str, b_text: str) -> bool:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[str, set[int]] = ("", set())
     for batch in batches:
-        keep = []
         a_texts, b_texts = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-        hashes, count = shingle_hashes(b_texts)
-        for a, b, end, n in zip(a_texts, b_texts, np.cumsum(count).tolist(), count.tolist(), strict=True):
-            if a != last[0]:
-                last = (a, set(shingle_hashes([a])[0].tolist()))
-            keep.append(alike(last[1], set(hashes[end - n: end].tolist()), a, b))
+        number = {t: i for i, t in enumerate(dict.fromkeys(a_texts))}
+        hashes, count = shingle_hashes([*number, *b_texts])
+        parts = np.split(hashes, np.cumsum(count)[:-1])
+        sets: dict[int, set[int]] = {}
+        keep = []
+        for k, (a, b) in enumerate(zip(a_texts, b_texts, strict=True), start=len(number)):
+            i = number[a]
+            if i not in sets:
+                sets[i] = set(parts[i].tolist())
+            few = len(parts[k]) < LIKE * len(sets[i]) - 1e-9  # even if all its shingles were different
+            keep.append(not few and alike(sets[i], set(parts[k].tolist()), a, b))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -297,7 +306,8 @@ def line_components(docs: DataFrame, stages: Stages) -> DataFrame:
     links = stages.cut(pairs.select("u", "v", "a_text", "b_text").mapInArrow(_alike, "u bigint, v bigint")).df
     united = components(stages, links).df
 
-    rooted = members.select("bucket", "id").join(united.withColumnRenamed("u", "id"), "id", "left").select(
+    # Pairs with a bucket's least node are done, so that node takes no part.
+    rooted = members.filter("id <> least").select("bucket", "id").join(united.withColumnRenamed("u", "id"), "id", "left").select(
         "bucket", "id", F.coalesce("v", "id").alias("root"))
     rooted = stages.cut(rooted).df
     open_buckets = stages.cut(_several(rooted, ["bucket"])).df
