@@ -155,6 +155,31 @@ def test_streams_equal_the_batch_and_survive_a_rerun(spark, tmp_path):
     assert run() == 4 == Z.settle_picks(picks, bars).count()
 
 
+def test_a_bar_that_is_emitted_again_does_not_shift_the_exit(spark, tmp_path):
+    base, a = str(tmp_path), walk("A", 10, 3)
+    bars = to_bars(spark, a)
+    picks = spark.createDataFrame([("p", "A", 4, a["date"][1], 0.5, "t")], PICKS)
+    bars.filter(F.col("date") <= F.lit(a["date"][3])).coalesce(1).write.mode("append").parquet(f"{base}/bars")
+    again = bars.filter(F.col("date") == F.lit(a["date"][3])).withColumn("close", F.lit(14.0))
+    Z.settle_stream(spark, f"{base}/bars", picks, f"{base}/out", f"{base}/ck").awaitTermination()
+    for part in (again, bars.filter(F.col("date") > F.lit(a["date"][3]))):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/bars")
+        Z.settle_stream(spark, f"{base}/bars", picks, f"{base}/out", f"{base}/ck").awaitTermination()
+    got = Z.read_realized(spark, f"{base}/out").collect()
+    assert [(r["exit_date"], r["exit_close"]) for r in got] == [(a["date"][5], pytest.approx(a["close"][5]))]
+
+
+def test_versions_are_switched_when_written(spark, tmp_path):
+    base, key = str(tmp_path / "v"), ["k"]
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    assert Z.newest_version(spark, base) is None
+    Z.append_version(spark, base, first, key)
+    Z.append_version(spark, base, first.unionByName(spark.createDataFrame([(3, "c")], "k int, v string")), key)
+    assert sorted(r["k"] for r in Z.newest_version(spark, base).collect()) == [1, 2, 3]
+    (tmp_path / "v" / "version=000009").mkdir()  # a write that did not end
+    assert Z.newest_version(spark, base).count() == 3
+
+
 def test_corrected_bars_replace_old_ones(spark, tmp_path):
     base = str(tmp_path)
     bars = to_bars(spark, walk("A", 5, 1)).withColumn("seq", F.lit(0))

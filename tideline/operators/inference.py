@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.exprs import uniforms
 from tideline.functions.normal import norm_cdf
 from tideline.operators.metrics import sharpe_of
+from tideline.session import cut
 
 # Fixed value: Euler's constant to the digits the threshold was published with.
 EULER_GAMMA = 0.5772156649
@@ -49,14 +50,22 @@ def bootstrap_draws(returns: DataFrame, n_resamples: int, block: int, seed: int
         "n", "resample", "t", F.pmod(base + F.col("t"), F.col("n")).cast("int").alias("i"))
 
 
-def resampled(returns: DataFrame, n_resamples: int, block: int, seed: int = 42) -> DataFrame:
-    return bootstrap_draws(returns, n_resamples, block, seed).join(returns.drop("date"), ["n", "i"])
+def resampled(returns: DataFrame, n_resamples: int, block: int, seed: int = 42,
+              keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """(keys, n, resample, t, r). A curve is one array with a value per day; draws are looked up where they lie.
+
+    The arrays are written first, so the join with them is planned on their real size; groups by (keys, n, resample)
+    need no further shuffle.
+    """
+    curves = cut(returns.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("c")))
+    draws = bootstrap_draws(returns, n_resamples, block, seed)
+    return draws.join(curves, "n").select(*keys, "n", "resample", "t", F.get("c.r", F.col("i")).alias("r"))
 
 
 def stationary_bootstrap_sharpe(returns: DataFrame, n_resamples: int, block: int, seed: int = 42,
                                 keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """Annualised Sharpe of every resample."""
-    g = resampled(returns, n_resamples, block, seed).groupBy(*keys, "resample").agg(
+    g = resampled(returns, n_resamples, block, seed, keys).groupBy(*keys, "n", "resample").agg(
         F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"))
     return g.select(*keys, "resample", sharpe_of(F.col("_m"), F.col("_s")).alias("sharpe"))
 
@@ -95,12 +104,12 @@ def bootstrap_ci(equity: DataFrame, n_resamples: int, block: int = 40, seed: int
                  keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """Intervals of CAGR, Sharpe and maximum drawdown; curves below five rows give zeros."""
     rets = daily_returns(equity, keys, log=True)
-    rs = resampled(rets, n_resamples, block, seed)
-    w = Window.partitionBy(*keys, "resample").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rs = resampled(rets, n_resamples, block, seed, keys)
+    w = Window.partitionBy(*keys, "n", "resample").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rs = rs.withColumn("cum", F.sum("r").over(w))
     rs = rs.withColumn("dd", F.exp(F.col("cum") - F.max("cum").over(w)) - 1.0)
-    g = rs.groupBy(*keys, "resample").agg(
-        F.max("n").alias("n"), F.sum("r").alias("_sum"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"),
+    g = rs.groupBy(*keys, "n", "resample").agg(
+        F.sum("r").alias("_sum"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"),
         F.min("dd").alias("maxdd"))
     years = F.greatest(F.col("n") / 252.0, F.lit(1e-9))
     g = g.select(*keys, "n", (F.exp(F.col("_sum") / years) - 1.0).alias("cagr"),
@@ -114,7 +123,7 @@ def bootstrap_ci(equity: DataFrame, n_resamples: int, block: int = 40, seed: int
 def paired_gap(pair: DataFrame, n_resamples: int, block: int = 40, seed: int = 42) -> DataFrame:
     """Annualised mean daily gap, its interval and p(gap <= 0); below six dates a neutral result."""
     rs = resampled(pair.select("track", "date", "r", "i", "n"), n_resamples, block, seed)
-    per = rs.groupBy("resample").agg((F.avg("r") * 252.0).alias("ann"))
+    per = rs.groupBy("n", "resample").agg((F.avg("r") * 252.0).alias("ann"))
     boot = per.agg(*_ci("ann", "gap"), F.avg(F.when(F.col("ann") <= 0, 1.0).otherwise(0.0)).alias("p_value_gap_le_0"))
     obs = pair.agg((F.avg("r") * 252.0).alias("gap_annualized"), F.count("*").alias("n_obs"))
     j = obs.withColumn("_k", F.lit(1)).join(boot.withColumn("_k", F.lit(1)), "_k").drop("_k")
@@ -170,7 +179,8 @@ def spa_test(returns: DataFrame, n_resamples: int, block: int = 10, seed: int =
     ``returns`` holds (track, i, n, r) with r the excess over the benchmark. The spread of each mean is
     taken from the same stationary bootstrap. Curves below 50 rows give nulls.
     """
-    boot = resampled(returns, n_resamples, block, seed).groupBy("track", "resample").agg(F.avg("r").alias("m"))
+    # Read three times, and one row per track and resample.
+    boot = cut(resampled(returns, n_resamples, block, seed).groupBy("track", "n", "resample").agg(F.avg("r").alias("m")).drop("n"))
     obs = returns.groupBy("track").agg(F.avg("r").alias("mean"), F.max("n").alias("n"))
     spread = boot.groupBy("track").agg(F.stddev_pop("m").alias("se"))
     # One row per track.

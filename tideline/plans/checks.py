@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import re
 
-from tideline.config import HORIZONS, THRESHOLDS, BARRIER_PAIRS, LedgerConfig, pct_tag
+from tideline.config import BARRIER_PAIRS, HORIZONS, THRESHOLDS, LedgerConfig, pct_tag
 from tideline.functions.normal import norm_cdf_sql
-from tideline.operators.ledger import HALT_RATES
-from tideline.operators.ranking import BASELINES
+
+# Fixed values, written out again so that an error in the engine's tables shows.
+HALT_RATES = {"micro": 0.018, "small": 0.008, "mid": 0.003, "large": 0.001}
+BASELINES = {
+    "rank_252d_return": "ret_252d",
+    "rank_60d_return": "ret_63d",
+    "rank_ma250_extension": "ratio_ma200",
+    "rank_52w_high_distance": "-abs(pct_from_252d_high)",
+    "rank_inv_60d_vol": "-vol_63d",
+}
+LEDGER = {
+    "start_equity": 100_000.0, "max_position_pct": 0.04, "max_new_per_week": 5, "max_adv_pct": 0.005, "min_adv_usd": 5_000_000.0,
+    "min_position_usd": 100.0, "slippage_bps": 10.0, "commission_per_share": 0.005, "commission_cap": 0.005, "trailing_stop_pct": 0.0,
+    "use_impact": False, "impact_eta": 0.142, "impact_beta": 0.5, "permanent_frac": 0.5, "daily_vol": 0.03, "impact_min_bps": 1.0,
+    "impact_max_bps": 500.0, "halt_risk": False, "halt_seed": 42}
 
 
 def r(x: str, n: int = 6) -> str:
@@ -302,8 +315,8 @@ def summary_ctes(name: str, equity: str, ledger: str, keys: str = "track") -> di
     }
 
 
-FLAT = LedgerConfig()
-REAL = LedgerConfig(trailing_stop_pct=0.18, use_impact=True, halt_risk=True)
+FLAT = LedgerConfig(**LEDGER)
+REAL = LedgerConfig(**LEDGER | {"trailing_stop_pct": 0.18, "use_impact": True, "halt_risk": True})
 CTES |= ledger_ctes("f_", "scores", FLAT) | equity_ctes("f_", FLAT)
 CTES |= ledger_ctes("x_", "scores", REAL) | equity_ctes("x_", REAL)
 

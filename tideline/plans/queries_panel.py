@@ -464,12 +464,21 @@ def _sums(col: str):
     return F.aggregate(col, F.lit(0.0), lambda a, x: a + x)
 
 
+def _list_md5(name: str) -> str:
+    """Hash of all values of a list, to four digits."""
+    return f"md5(array_to_string(list_transform({name}, lambda y: CAST(round(y * 10000) AS BIGINT)), ','))"
+
+
+def _array_md5(name: str):
+    return F.md5(F.array_join(F.transform(name, lambda y: F.round(y * 10000).cast("bigint").cast("string")), ",").cast("binary"))
+
+
 @query("f01_chart_vector", sql(f"""SELECT ticker, anchor_date, {r('n[1]')} first_y, {r('n[252]')} last_y, {r('list_sum(n)', 5)} sum_y,
-    {r('list_max(n)')} max_y FROM (SELECT ticker, anchor_date, {_NORM} n FROM feats)"""))
+    {r('list_max(n)')} max_y, {_list_md5('n')} whole FROM (SELECT ticker, anchor_date, {_NORM} n FROM feats)"""))
 def f01(spark, d) -> DataFrame:
     return _charts(spark, d).select(
         "ticker", "anchor_date", rnd(F.col("chart")[0]).alias("first_y"), rnd(F.col("chart")[251]).alias("last_y"),
-        rnd(_sums("chart"), 5).alias("sum_y"), rnd(F.array_max("chart")).alias("max_y"))
+        rnd(_sums("chart"), 5).alias("sum_y"), rnd(F.array_max("chart")).alias("max_y"), _array_md5("chart").alias("whole"))
 
 
 _PIX = f"list_transform({_NORM}, lambda y: CAST(round((1.0 - y) * 223) AS INT))"
@@ -488,14 +497,15 @@ def f03(spark, d) -> DataFrame:
     return _charts(spark, d).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
-@query("f04_volume_vector", sql(f"""SELECT ticker, anchor_date, {r('z[1]')} first_z, {r('z[252]')} last_z, {r('list_max(z)')} max_z FROM (
+@query("f04_volume_vector", sql(f"""SELECT ticker, anchor_date, {r('z[1]')} first_z, {r('z[252]')} last_z, {r('list_max(z)')} max_z, {_list_md5('z')} whole FROM (
     SELECT ticker, anchor_date, list_transform(varr, lambda v: (v - m) / (s + 1e-9)) z FROM (
     SELECT *, list_avg(varr) m, list_stddev_pop(varr) s FROM feats))"""))
 def f04(spark, d) -> DataFrame:
     bars = C.bars(spark, d)
     v = F.col("volume_vector")
     return V.volume_vectors(bars, A.anchor_frame(bars)).select(
-        "ticker", "anchor_date", rnd(v[0]).alias("first_z"), rnd(v[251]).alias("last_z"), rnd(F.array_max(v)).alias("max_z"))
+        "ticker", "anchor_date", rnd(v[0]).alias("first_z"), rnd(v[251]).alias("last_z"), rnd(F.array_max(v)).alias("max_z"),
+        _array_md5("volume_vector").alias("whole"))
 
 
 @query("f05_vector_explain")

@@ -148,11 +148,14 @@ def i03(spark, d) -> DataFrame:
     return ML.class_weights(e, "target").groupBy("target").agg(F.count("*").alias("n"), rnd(F.max("weight")).alias("weight"))
 
 
-@query("i05_calibration_holdout", sql(f"""SELECT {flag_sql(40, 0.10)} y, {u01("'calib'", '42', 'ticker', "strftime(anchor_date, '%Y-%m-%d')")} < 0.1 holdout,
-    count(*) n FROM outcomes GROUP BY ALL"""))
+_CALIB = f"""SELECT {flag_sql(40, 0.10)} y, {u01("'calib'", '42', 'ticker', "strftime(anchor_date, '%Y-%m-%d')")} u FROM outcomes"""
+
+
+@query("i05_calibration_holdout", sql("""SELECT c.y, u <= bound holdout, count(*) n FROM calib c JOIN (
+    SELECT y, quantile_cont(u, 0.1) bound FROM calib GROUP BY y) b ON b.y = c.y GROUP BY ALL""", calib=_CALIB))
 def i05(spark, d) -> DataFrame:
     lab = C.lean(spark, d).withColumn("y", F.col("ret_40d_ge_10pct").cast("int"))
-    return lab.withColumn("holdout", ML.calibration_split(lab)).groupBy("y", "holdout").agg(F.count("*").alias("n"))
+    return ML.calibration_split(lab, "y").groupBy("y", "holdout").agg(F.count("*").alias("n"))
 
 
 def _scores(spark, d, *tracks: str) -> DataFrame:
@@ -479,7 +482,7 @@ def l15(spark, d) -> DataFrame:
 
 # --- M: statistics -------------------------------------------------------------------------------
 
-N_BOOT = 200
+N_BOOT = 2000
 BLOCK = 40
 
 
@@ -682,17 +685,22 @@ def o01b(spark, d) -> DataFrame:
     return Z.settle_counts(p, None, cut(Z.settle_picks(p, C.bars(spark, d))))
 
 
-def _land(df: DataFrame, path: str) -> None:
-    """The panel in three files by time, as a feed would deliver it."""
+FEED_FILES = 100_000  # a delivery is taken in one trigger, however many files it has
+
+
+def _feed(df: DataFrame, path: str, stream) -> None:
+    """The panel in three deliveries by time, each written by as many tasks as it has and then streamed."""
     for lo, hi in ((0, 1998), (1999, 2000), (2001, 9999)):
-        df.filter(F.year("date").between(lo, hi)).coalesce(1).write.mode("append").parquet(path)
+        df.filter(F.year("date").between(lo, hi)).write.mode("append").parquet(path)
+        stream().awaitTermination()
 
 
 @query("o02_settle_stream", sql(_SETTLED, opicks=_PICKS))
 def o02(spark, d) -> DataFrame:
     base = scratch_path(spark, "settle")
-    _land(C.bars(spark, d), f"{base}/bars")
-    Z.settle_stream(spark, f"{base}/bars", cut(_picks(spark, d)), f"{base}/realized", f"{base}/ck").awaitTermination()
+    picks = cut(_picks(spark, d))
+    _feed(C.bars(spark, d), f"{base}/bars", lambda: Z.settle_stream(
+        spark, f"{base}/bars", picks, f"{base}/realized", f"{base}/ck", FEED_FILES))
     return C.rounded(Z.read_realized(spark, f"{base}/realized"), ["realized_ret", "score"])
 
 
@@ -710,8 +718,8 @@ def o03(spark, d) -> DataFrame:
 def o04(spark, d) -> DataFrame:
     base = scratch_path(spark, "feed")
     raw = T.raw_bars(spark, d)
-    _land(raw.toDF(*[c.lower() for c in raw.columns]), f"{base}/in")
-    Z.bars_dedupe_stream(spark, f"{base}/in", f"{base}/store", f"{base}/ck").awaitTermination()
+    _feed(raw.toDF(*[c.lower() for c in raw.columns]), f"{base}/in", lambda: Z.bars_dedupe_stream(
+        spark, f"{base}/in", f"{base}/store", f"{base}/ck", FEED_FILES))
     return Z.bars_current(spark, f"{base}/store")
 
 
@@ -719,9 +727,10 @@ def o04(spark, d) -> DataFrame:
 def o05(spark, d) -> DataFrame:
     new = cut(Z.settle_picks(_picks(spark, d), C.bars(spark, d)))
     half = new.filter(F.year("anchor_date") < 2000)
-    once = Z.append_new(half, new, Z.PICK_KEY)
-    twice = Z.append_new(once, new, Z.PICK_KEY)
-    return twice.agg(F.count("*").alias("n"), F.count_distinct(*Z.PICK_KEY).alias("keys"))
+    base = scratch_path(spark, "settled")
+    for rows in (half, new, new):
+        Z.append_version(spark, base, rows, Z.PICK_KEY)
+    return Z.newest_version(spark, base).agg(F.count("*").alias("n"), F.count_distinct(*Z.PICK_KEY).alias("keys"))
 
 
 # --- P: reports ----------------------------------------------------------------------------------

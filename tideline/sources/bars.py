@@ -47,19 +47,20 @@ def bars_sink(df: DataFrame, path: str, skip_existing: bool = True, requested: D
     """Append bars of tickers that are not stored yet and return the counts.
 
     ``layout='ticker'`` makes one folder per ticker; ``'bucket'`` hashes tickers into a fixed number
-    of folders, which is what a panel of many millions of tickers needs. The counts come from the
-    listing of stored tickers before and after, so nothing is counted on the driver.
+    of folders, which is what a panel of many millions of tickers needs. Rows are dealt by ranges of
+    (bucket, ticker, date), so as many tasks write as the input fills, whatever the number of folders.
+    The counts come from the listing of stored tickers before and after, so nothing is counted on the driver.
     """
     spark = df.sparkSession
     asked = (requested if requested is not None else df).select("ticker").distinct()
     stored = _stored_tickers(spark, path)
     new = df.join(stored, "ticker", "left_anti") if skip_existing else df
     if layout == "ticker":
-        out, part = new.repartition("ticker"), "ticker"
+        out, part = new.repartitionByRange("ticker", "date"), "ticker"
     else:
         out = new.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"))
-        out, part = out.repartition("bucket"), "bucket"
-    out.sortWithinPartitions("ticker", "date").write.mode("append").partitionBy(part).parquet(path)
+        out, part = out.repartitionByRange("bucket", "ticker", "date"), "bucket"
+    out.sortWithinPartitions(part, "ticker", "date").write.mode("append").partitionBy(part).parquet(path)
     had = stored.withColumn("had", F.lit(1))
     have = _stored_tickers(spark, path).withColumn("have", F.lit(1))
     # Stored tickers of earlier runs that nobody asked for still count towards the total.

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tideline.operators.quality import with_bar_index
 
+# The key and the output columns of settled picks.
 PICK_KEY = ["pick_generated", "ticker", "horizon_days"]
 REALIZED_COLS = ["pick_generated", "ticker", "horizon_days", "anchor_date", "entry_close", "exit_date",
                  "exit_close", "realized_ret", "score", "track"]
@@ -21,6 +22,7 @@ def settle_picks(picks: DataFrame, bars: DataFrame, settled: DataFrame | None =
     later. A key is settled once. Picks are few: the joins send them to the bars, not the reverse.
     """
     todo = picks if settled is None else picks.join(settled.select(*PICK_KEY), PICK_KEY, "left_anti")
+    bars = bars.join(todo.select("ticker").distinct(), "ticker", "left_semi")
     b = with_bar_index(bars).select("ticker", "date", "close", "idx")
     entry = b.select("ticker", F.col("date").alias("anchor_date"), F.col("close").alias("entry_close"),
                      F.col("idx").alias("_i"))
@@ -45,29 +47,58 @@ def settle_counts(picks: DataFrame, settled: DataFrame | None, new: DataFrame) -
 
 
 def append_new(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows plus the new ones whose key is not there yet; write it to a new version folder."""
+    """Existing rows plus the new ones whose key is not there yet."""
     fresh = new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
     return existing.unionByName(fresh)
 
 
+def append_version(spark: SparkSession, base: str, new: DataFrame, key: list[str]) -> str:
+    """Write the newest version plus the new rows to the next version folder and return it.
+
+    Readers take the newest finished folder (see newest_version), so they switch at once and a failed write leaves the
+    old version in place. Appending the same rows again adds nothing.
+    """
+    number, path = _newest(spark, base)
+    rows = append_new(spark.read.parquet(path), new, key) if path else new.dropDuplicates(key)
+    target = f"{base}/version={number + 1:06d}"
+    rows.write.mode("overwrite").parquet(target)
+    return target
+
+
+def newest_version(spark: SparkSession, base: str) -> DataFrame | None:
+    path = _newest(spark, base)[1]
+    return spark.read.parquet(path) if path else None
+
+
+def _newest(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """Number and path of the newest version that was written to the end; 0 and None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = files.globStatus(hadoop(f"{base}/version=*/_SUCCESS"))
+    paths = sorted(str(x.getPath().getParent()) for x in done or [])
+    return (int(paths[-1].rpartition("=")[2]), paths[-1]) if paths else (0, None)
+
+
 def settle_stream(spark: SparkSession, bars_dir: str, picks: DataFrame, realized_dir: str, checkpoint: str,
-                  files_per_trigger: int = 1) -> StreamingQuery:
+                  files_per_trigger: int = 1, log_dir: str | None = None) -> StreamingQuery:
     """Settle picks as bar files arrive.
 
-    A trigger looks at the picks of the tickers it received and at the bars seen so far. It owns one
-    output folder, which a retry overwrites, so a pick is written once even if a trigger is repeated.
+    A trigger adds its bars to a log and settles the picks of its tickers on the newest emission of each bar, so a bar
+    that is emitted again neither counts twice nor shifts the exit. A trigger owns one output folder and one log folder,
+    which a retry overwrites, so a pick is written once even if a trigger is repeated.
     """
+    log = log_dir or f"{checkpoint.rstrip('/')}-bars"
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
         done = _realized(session, realized_dir).filter(F.col("batch") < batch_id)
         touched = batch.select("ticker").distinct()
-        seen = session.read.schema(BAR_SCHEMA).parquet(bars_dir)
-        # Files of later triggers may be there already; settling with them is correct as well.
-        mine = picks.join(touched, "ticker", "left_semi")
-        new = settle_picks(mine, seen.join(touched, "ticker", "left_semi"), done)
+        seen = bars_current(session, log, touched, batch_id)
+        new = settle_picks(picks.join(touched, "ticker", "left_semi"), seen, done)
         new.write.mode("overwrite").parquet(f"{realized_dir}/batch={batch_id}")
 
-    stream = (spark.readStream.schema(BAR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    stream = (spark.readStream.schema(BAR_SCHEMA + ", seq int").option("maxFilesPerTrigger", files_per_trigger)
               .parquet(bars_dir))
     return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -101,9 +132,13 @@ def bars_dedupe_stream(spark: SparkSession, source_dir: str, store_dir: str, che
             .trigger(availableNow=True).start())
 
 
-def bars_current(spark: SparkSession, store_dir: str) -> DataFrame:
-    """The newest emission of every bar of the log."""
+def bars_current(spark: SparkSession, store_dir: str, tickers: DataFrame | None = None, last_batch: int | None = None) -> DataFrame:
+    """The newest emission of every bar of the log, of the given tickers and up to a batch if asked."""
     log = spark.read.schema(BAR_SCHEMA + ", seq int, batch bigint").parquet(store_dir)
+    if last_batch is not None:
+        log = log.filter(F.col("batch") <= last_batch)
+    if tickers is not None:
+        log = log.join(tickers, "ticker", "left_semi")
     cols = ["open", "high", "low", "close", "volume"]
     order = F.struct("batch", "seq")
     return log.filter("close IS NOT NULL").groupBy("ticker", "date").agg(
