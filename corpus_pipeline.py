@@ -14,6 +14,9 @@ from tideline.llm.suffix_sort import remove_repeats
 #: Least share of the words of a text that its language must have.
 LANGUAGE_SHARE = 0.4
 
+#: Words of the shortest passages that go where they are repeated.
+PASSAGE = 51
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a leading language go."""
@@ -31,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that also start elsewhere go; documents of which nothing is left go."""
-    return remove_repeats(docs)
+    """Passages of over 50 words, or of 400 bytes or more, that also start elsewhere go; documents of which nothing is left go."""
+    return remove_repeats(docs, PASSAGE)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +102,38 @@ def test_texts_after_removal(spark):
             assert hashlib.sha256(got[i].encode()).hexdigest() == sha
 
 
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_passages_by_words(spark, monkeypatch, crowd):
+    """Shared passages of 51 short words go at any white space, those of 50 stay; 400 bytes in fewer words go as before."""
+    monkeypatch.setattr(S, "CROWD", crowd)
+    r = random.Random(12)
+
+    def words(n: int, letters: int = 4) -> list[str]:
+        return ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, letters))) for _ in range(n)]
+
+    texts = []
+    for n, copies in ((51, 2), (50, 2), (51, 5), (70, 2), (50, 4)):
+        shared = words(n)
+        for k in range(copies):
+            texts.append(r.choice(" \n").join([*words(r.randint(0, 30)), *shared, *words(r.randint(0, 30))]))
+            assert n > 60 or len(" ".join(shared)) < 400
+    equal, wide = " ".join(words(55)), " ".join("".join(r.choices("abcdefgh", k=40)) for _ in range(12))
+    texts += [equal, equal, "first " + wide, wide + " last", " ".join(["ha"] * 60), "", "a b"]
+    seen = Counter(tuple(x[i: i + 51]) for x in map(str.split, texts) for i in range(len(x) - 50))
+    got = {row["doc_id"]: row["text"] for row in S.remove_repeats(
+        spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3), 51).collect()}
+    want = {}
+    for i, (text, by_bytes) in enumerate(zip(texts, repeats([t.encode() for t in texts]), strict=True)):
+        x, places = text.split(), [m.span() for m in re.finditer(r"\S+", text)]
+        gone = [j for j in range(len(x) - 50) if seen[tuple(x[j: j + 51])] > 1]
+        if not by_bytes[1] or gone:
+            out = [not any(places[j][0] <= at < places[j + 50][1] for j in gone) for at in range(len(text))]
+            want[i] = "".join(c for c, stays in zip(text, out, strict=True) if stays)
+    kept = {i: got[i] for i in got if i in want}
+    assert kept == {i: t for i, t in want.items() if t or not texts[i]}
+    assert "first " in got.values() and " last" in got.values() and equal not in got.values()
+
+
 def test_blind_trie_sorts():
     r = random.Random(8)
     for _ in range(200):

@@ -15,30 +15,38 @@ anchors at equal places, so equal strings meet where anchors with the same gram
 
 Grams shared by more than CROWD anchors are not gathered: their strings are counted by digest instead (blake2b, 128 bits).
 
+With a least number of words the same search also runs over texts in which each word (what white space parts) is its
+WORD-byte hash: strings of that many words that also start elsewhere go too, however few bytes they have and whatever white
+space lies between their words. A shared string that begins inside a hash is cut to the whole words in it.
+
 Null counts as empty. Repeated rows are copies of each other. A text with long runs of one byte has an anchor per byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, unwrapped, whole_groups, wrapped
 
 SPAN, GRAM = 400, 32
-WINDOW = SPAN - GRAM + 1
+WORD = 8  #: bytes of a word's hash
 SHALLOW = 16  #: bytes ordered by multikey steps
 CROWD = 50_000
 BATCH = 1 << 21
 
-ANCHOR_SCHEMA = "doc_id bigint, digest binary, n_bytes bigint, anchors array<struct<gram:bigint,at:int,low:int,high:int>>"
+ANCHOR_SCHEMA = "doc_id bigint, digest binary, n_bytes bigint, long boolean, anchors array<struct<gram:bigint,at:int,low:int,high:int>>"
 CONTEXT_SCHEMA = "gram bigint, digest binary, at int, low int, high int, left binary, right binary"
 FOUND_SCHEMA = "digest binary, start int, stop int"
+CUT_SCHEMA = "digest binary, text binary, spans array<struct<start:int,stop:int>>"
 EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -65,16 +73,22 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1: n])
 
 
-def anchors(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+def word_hashes(text: bytes) -> bytes:
+    """WORD bytes for each word."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words)).tobytes()
+
+
+def anchors(data: bytes, lengths: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """For joined texts: text number, gram hash, place in the text, and the least and greatest distance from the start
-    of the SPAN-byte strings that the place is the anchor of."""
+    of the span-byte strings that the place is the anchor of."""
     none = np.empty(0, np.int64)
-    if len(data) < SPAN:
+    if len(data) < span:
         return none, none, none, none, none
     hashes = gram_hashes(np.frombuffer(data, np.uint8))
-    least = window_least((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), WINDOW)
+    least = window_least((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), span - GRAM + 1)
     ends = np.cumsum(lengths)
-    strings = np.maximum(0, lengths - SPAN + 1)
+    strings = np.maximum(0, lengths - span + 1)
     start = ranges(ends - lengths, strings)
     text = np.repeat(np.arange(len(lengths)), strings)
     at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -87,21 +101,23 @@ def anchors(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, hashes[at].view(np.int64), at - begin, at - start[last], at - start[first]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", BATCH):
             texts = batch.column("text").to_pylist()
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            text, gram, at, low, high = anchors(b"".join(texts), lengths)
+            coded = [word_hashes(t) for t in texts] if words else texts
+            n_bytes, lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (texts, coded))
+            text, gram, at, low, high = anchors(b"".join(coded), lengths, span)
             fields = pa.StructArray.from_arrays(
                 [pa.array(gram), *(pa.array(x.astype(np.int32)) for x in (at, low, high))], ["gram", "at", "low", "high"])
             offsets = np.searchsorted(text, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(lengths),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)], ["doc_id", "digest", "n_bytes", "anchors"])
+                [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(n_bytes),
+                 pa.array((n_bytes >= SPAN) | (lengths >= span)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)],
+                ["doc_id", "digest", "n_bytes", "long", "anchors"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -> Iterator[pa.RecordBatch]:
     names = ["gram", "digest", "at", "low", "high", "left", "right"]
     for whole in batches:
         for batch in slices(whole, "text", BATCH):
@@ -111,8 +127,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields = lists.flatten()
             gram, at, low, high = (fields.field(n).to_numpy() for n in ("gram", "at", "low", "high"))
             texts = batch.column("text").to_pylist()
+            texts = [word_hashes(t) for t in texts] if words else texts
             left = [texts[r][a - h: a][::-1] for r, a, h in zip(row.tolist(), at.tolist(), high.tolist(), strict=True)]
-            right = [texts[r][a + GRAM: a - d + SPAN] for r, a, d in zip(row.tolist(), at.tolist(), low.tolist(), strict=True)]
+            right = [texts[r][a + GRAM: a - d + span] for r, a, d in zip(row.tolist(), at.tolist(), low.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram), batch.column("digest").take(pa.array(row)), pa.array(at), pa.array(low), pa.array(high),
                  pa.array(left, pa.binary()), pa.array(right, pa.binary())], names)
@@ -188,10 +205,11 @@ def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, n
     return order, common
 
 
-def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray,
+             span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest distance at which a context's string is another context's too; least > greatest: none."""
     n = len(group)
-    least, most = np.full(n, SPAN), np.full(n, -1)
+    least, most = np.full(n, span), np.full(n, -1)
     right_order, right_common = deep_shallow(group, right)
     left_order, left_common = deep_shallow(group, left)
     starts = run_starts(group)
@@ -203,7 +221,7 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.n
         reach = np.maximum(a_right[pair], a_right[pair + 1]) + GRAM
         back = np.maximum(a_left[pair], a_left[pair + 1])
         for i in (pair, pair + 1):
-            least[i] = np.maximum(low[i], SPAN - reach)
+            least[i] = np.maximum(low[i], span - reach)
             most[i] = np.minimum(high[i], back)
     larger = np.repeat(sizes > 2, sizes)
     if larger.any():
@@ -213,7 +231,7 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.n
             if len(here) < 2:
                 continue
             to_right, to_left = np.empty(n, np.int64), np.empty(n, np.int64)
-            to_right[right_order] = np.cumsum(right_common < SPAN - d - GRAM)
+            to_right[right_order] = np.cumsum(right_common < span - d - GRAM)
             to_left[left_order] = np.cumsum(left_common < d)
             code = to_right[here] * (n + 1) + to_left[here]
             order = np.argsort(code, kind="stable")
@@ -227,41 +245,55 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.n
     return least, most
 
 
-def _found(digest, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+def _found(digest, at: np.ndarray, least: np.ndarray, most: np.ndarray, span: int) -> pa.RecordBatch:
     some = np.flatnonzero(least <= most)
     digest = digest.take(pa.array(some))
     digest = digest.combine_chunks() if isinstance(digest, pa.ChunkedArray) else digest
     return pa.RecordBatch.from_arrays(
-        [digest, pa.array((at[some] - most[some]).astype(np.int32)), pa.array((at[some] - least[some] + SPAN).astype(np.int32))],
+        [digest, pa.array((at[some] - most[some]).astype(np.int32)), pa.array((at[some] - least[some] + span).astype(np.int32))],
         ["digest", "start", "stop"])
 
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["gram"]):
         gram, at, low, high = (column(table, n).astype(np.int64) for n in ("gram", "at", "low", "high"))
         runs = run_starts(gram)
         group = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
-        least, most = repeated(group, table.column("left").to_pylist(), table.column("right").to_pylist(), low, high)
-        yield _found(table.column("digest"), at, least, most)
+        least, most = repeated(group, table.column("left").to_pylist(), table.column("right").to_pylist(), low, high, span)
+        yield _found(table.column("digest"), at, least, most, span)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Every string of a context by its digest."""
     for batch in batches:
         grams, digests, at, low, high = (batch.column(n).to_pylist() for n in ("gram", "digest", "at", "low", "high"))
         for i, (a, b) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
             text, gram = a[::-1], grams[i].to_bytes(8, "big", signed=True)
-            rows = [(hashlib.blake2b(gram + text[high[i] - d:] + b"|" + b[: SPAN - GRAM - d], digest_size=16, salt=d.to_bytes(2, "big")).digest(), d)
+            rows = [(hashlib.blake2b(gram + text[high[i] - d:] + b"|" + b[: span - GRAM - d], digest_size=16, salt=d.to_bytes(2, "big")).digest(), d)
                     for d in range(low[i], high[i] + 1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([digests[i]] * len(rows), pa.binary()),
                  pa.array([at[i] - r[1] for r in rows], pa.int32())], ["string", "digest", "start"])
 
 
-def repeated_spans(docs: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three written tables: doc_id, digest, n_bytes of every row; digest, copies, rep (a doc_id) of every distinct text;
-    digest, text, spans (unmerged start and stop) of the texts in which something is repeated."""
-    rows = stages.cut(docs.select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(_anchored, ANCHOR_SCHEMA)).df
+def _in_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Spans over word hashes as spans of the text, from the first to the last whole word; shorter ones go."""
+    for batch in batches:
+        spans = []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            places = [m.span() for m in re.finditer(rb"\S+", text)]
+            whole = {(-(-s["start"] // WORD), s["stop"] // WORD) for s in found}
+            spans.append([{"start": places[a][0], "stop": places[b - 1][1]} for a, b in whole if b - a >= words])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.array(spans, kind)], ["digest", "text", "spans"])
+
+
+def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three written tables: doc_id, digest, n_bytes, long (whole copies go) of every row; digest, copies, rep (a doc_id) of every distinct text;
+    digest, text, spans (unmerged start and stop) of the texts in which something is repeated: SPAN bytes or, where words
+    is given, so many words instead."""
+    span = words * WORD if words else SPAN
+    rows = stages.cut(docs.select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(partial(_anchored, words=words, span=span), ANCHOR_SCHEMA)).df
     texts = stages.cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))).df
     own = rows.join(texts.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id <=> rep")).dropDuplicates(["digest"])
     each = stages.cut(own.select("digest", "rep", F.explode("anchors").alias("a")).select("digest", "rep", "a.*"))
@@ -275,19 +307,20 @@ def repeated_spans(docs: DataFrame, stages: Stages) -> tuple[DataFrame, DataFram
     texts_wanted = stages.cut(found)
     crowds = stages.cut(each.df.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("gram"))
     each.drop()
-    contexts = texts_wanted.df.mapInArrow(_contexts, CONTEXT_SCHEMA)
+    contexts = texts_wanted.df.mapInArrow(partial(_contexts, words=words, span=span), CONTEXT_SCHEMA)
     crowded = not crowds.df.isEmpty()
     few = contexts.join(crowds.df, "gram", "left_anti") if crowded else contexts
-    spans = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted, FOUND_SCHEMA)
+    spans = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted, span=span), FOUND_SCHEMA)
     if crowded:
-        strings = stages.cut(contexts.join(crowds.df, "gram", "left_semi").mapInArrow(_strings, "string binary, digest binary, start int")).df
+        strings = stages.cut(contexts.join(crowds.df, "gram", "left_semi").mapInArrow(partial(_strings, span=span), "string binary, digest binary, start int")).df
         twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-        spans = spans.unionByName(strings.join(twice, "string").select("digest", "start", (F.col("start") + SPAN).alias("stop")))
+        spans = spans.unionByName(strings.join(twice, "string").select("digest", "start", (F.col("start") + span).alias("stop")))
     per_text = stages.cut(spans.groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    cut = stages.cut(texts_wanted.df.select("digest", "text").join(per_text.df, "digest")).df
+    found = texts_wanted.df.select("digest", "text").join(per_text.df, "digest")
+    cut = stages.cut(found.mapInArrow(partial(_in_bytes, words=words), CUT_SCHEMA) if words else found).df
     texts_wanted.drop()
     per_text.drop()
-    return rows.select("doc_id", "digest", "n_bytes"), texts, cut
+    return rows.select("doc_id", "digest", "n_bytes", "long"), texts, cut
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -325,8 +358,8 @@ REMOVED_SCHEMA = "digest binary, n_removed bigint, n_spans bigint, kept_sha256 s
 
 
 def _per_row(rows: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
-    """Every row with what became of it: whole copies of SPAN bytes or more go, others lose their spans."""
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
+    """Every row with what became of it: whole copies of SPAN bytes (or the words) or more go, others lose their spans."""
+    gone = (F.col("copies") > 1) & F.col("long")
     removed = removed.dropDuplicates(["digest"])  # repeated rows have given theirs twice
     joined = rows.join(texts.select("digest", "copies"), "digest").join(removed, "digest", "left")
     zero = F.lit(0).cast("bigint")
@@ -346,11 +379,15 @@ def repeat_report(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
     return _per_row(rows, texts, removed).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with what is repeated cut from their texts; a document of which nothing is left goes, one that was
-    empty before stays. n_chars, where it is a column, follows the text. Halves of a character at a cut go too."""
+def remove_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """The documents with what is repeated, SPAN bytes or (where given) so many words, cut from their texts; a document of
+    which nothing is left goes, one that was empty before stays. n_chars, where it is a column, follows the text. Halves of a character at a cut go too."""
     stages = Stages(docs.sparkSession, "suffix")
     rows, texts, cut = repeated_spans(docs, stages)
+    if words:
+        rows, texts, by_words = repeated_spans(docs, stages, words)
+        both = cut.unionByName(by_words).groupBy("digest")
+        cut = both.agg(F.first("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"))
     removed = stages.cut(cut.mapInArrow(_removed, REMOVED_SCHEMA)).df
     known = _per_row(rows.dropDuplicates(["digest"]), texts, removed).filter("n_removed > 0").select("digest", "gone", "kept")
     source = wrapped(docs).withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)))
