@@ -33,6 +33,12 @@ def test_lines_stay_as_brute_force_says(spark, monkeypatch, crowd):
     assert got == {k: t for k, t in want.items() if k not in lost}
 
 
+def test_short_lines_go_and_blank_ones_stay(spark):
+    given = [(1, "Les.\n\nAnd ornd.\nx\n \nthe first document has this"), (2, "Les.\n\nAnd ornd.\ny\n \nanother line of its own"), (3, "Les.\nLes\nx\nz")]
+    got = dict(M.dedup_lines(spark.createDataFrame(given, "doc_id long, text string")).collect())
+    assert got == {1: given[0][1], 2: "\ny\n \nanother line of its own", 3: "Les\nz"}
+
+
 def test_bands_are_shared_by_alike_lines():
     r = random.Random(1)
     lines = ["".join(r.choices("abcdefghijklmnop ", k=300)) for _ in range(300)]

@@ -10,8 +10,8 @@
    Buckets of more than CROWD nodes are dealt again by prefix shingle.
 4. Components of all links; the line with the smallest place of each component stays, other lines go.
 
-Only texts of lines in some shared bucket are gathered. Lines of fewer than LEAST characters are left alone (blank lines,
-brackets). Null counts as empty. Rows with the same doc_id and text are treated alike; null doc_ids come first.
+Only texts of lines in some shared bucket are gathered. Lines of fewer than LEAST characters without the white space around
+them (blank lines) are left alone. Null counts as empty. Rows with the same doc_id and text are treated alike; null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, unwrapped, whole_groups, wrapped
 from tideline.llm.components import components
 
-WIDTH, BANDS, DEPTH, LIKE, LEAST = 6, 16, 5, 0.8, 10
+WIDTH, BANDS, DEPTH, LIKE, LEAST = 6, 16, 5, 0.8, 1
 CROWD = 20_000
 BATCH, CACHED = 1 << 21, 1 << 16
 
@@ -90,7 +90,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.fromiter(map(len, split), np.int64, len(split))
             flat = [x for lines in split for x in lines]
             decoded = [x.decode("utf-8") for x in flat]
-            eligible = np.flatnonzero(np.fromiter((len(x) >= LEAST for x in decoded), bool, len(decoded)))
+            eligible = np.flatnonzero(np.fromiter((len(x.strip()) >= LEAST for x in decoded), bool, len(decoded)))
             row = np.repeat(np.arange(len(texts)), count)[eligible]
             number = ranges(np.zeros(len(count)), count)[eligible]
             coded = pa.array([flat[i] for i in eligible.tolist()], pa.binary()).dictionary_encode()
@@ -281,7 +281,7 @@ def _same_text(left: DataFrame, right: DataFrame) -> Column:
 
 
 def line_components(docs: DataFrame, stages: Stages) -> DataFrame:
-    """doc_id, mark (of the text), line, component (a node), kept for every line of at least LEAST characters."""
+    """doc_id, mark (of the text), line, component (a node), kept for every line that is not blank."""
     source = docs.select(F.col("doc_id").cast("bigint"), text_bytes())
     hashed = stages.cut(source.mapInArrow(_lines, LINE_SCHEMA))
     place = F.struct("doc_id", "mark", "line")
