@@ -57,6 +57,26 @@ def test_code_switched_words(small):
     assert labels[:30].count("en") > 24 and labels[30:].count("de") > 24
 
 
+def test_texts_without_blanks():
+    r = random.Random(5)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(300)) for _ in range(n))
+    latin = lambda n: [("".join(r.choices("abcdefgh", k=r.randint(2, 8)))) for _ in range(n)]
+    field = C.fit([x for _ in range(30) for x in (("en", " ".join(latin(80)).encode()), ("zh", han(500).encode()))])
+    texts = ["".join(latin(20))[:40] + han(3000), " ".join([*latin(4), han(3000)]), " ".join(latin(50)), han(30), " ".join([*latin(60), han(100)])]
+    best, score = C.labelled(field, pa.array([t.encode() for t in texts], pa.binary()))
+    assert [field.labels[i] for i in best] == ["zh", "zh", "en", "zh", "en"] and score[0] > 0.9 and score[1] > 0.9
+    assert "".join(w for w, _, _ in C.label_words(field, texts[0])) == texts[0]
+
+
+def test_long_training_texts_are_cut(spark):
+    text = "漢字かな交じり文" * 6000
+    rows = [(i, text if i % 2 else "some words of a short text", "ja" if i % 2 else "en") for i in range(30)]
+    sample = C.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = [t for label, t in sample if label == "ja"]
+    assert {label for label, _ in sample} == {"en", "ja"} and all(0 < len(t) <= C.SAMPLE_BYTES and t.decode() in text for t in long)
+    assert len(long) == sum(-(-len(text.encode()) // C.SAMPLE_BYTES) for i in range(30) if i % 2 and not C.is_held(i))
+
+
 def test_language_of_odd_rows(odd, empty):
     got = {r["doc_id"]: r for r in C.languages(odd).collect()}
     assert all(got[k]["lang_pred"] == C.UNKNOWN and got[k]["score"] == 0 for k in (1, 3, 6, 8)) and got[2]["lang_pred"] in ("en", "es", "fr")

@@ -1,13 +1,14 @@
 """Language of texts by a linear-chain conditional random field over words.
 
-Each word of a chain has a language as its label. A word's features are the word itself, its prefixes and suffixes, its
+Each word of a chain has a language as its label. What stands between white space is a word; if it is longer than LONGEST
+characters (scripts without blanks), each LONGEST characters of it are a word of their own. A word's features are the word itself, its prefixes and suffixes, its
 character n-grams and the block of its code points, hashed to FEATURES rows of weights, and the lexicon: the share of each language among
 the sampled training texts that hold the word. Transitions between neighbours are learned with them. Training chains
 splice pieces of texts of different languages, so that code-switching is seen. Forward-backward gives each word's
 distribution, and a text's language is the one with the largest sum over its words; the score is that sum's share.
 
-The field is fitted in numpy on a bounded sample: per language the SAMPLE labelled texts of up to SAMPLE_BYTES bytes that
-come first by a hash of doc_id. Every text is then labelled whole, in chains of up to CHAIN words; a word's features are
+The field is fitted in numpy on a bounded sample: per language the SAMPLE labelled texts that come first by a hash of
+doc_id and text; of texts over SAMPLE_BYTES bytes each piece of that size counts as a text. Every text is then labelled whole, in chains of up to CHAIN words; a word's features are
 computed once per batch. Labels are whatever non-null values the training rows have, in sorted order.
 
 A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned. A null doc_id
@@ -56,7 +57,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Of a word in lower case between two marks: all of it, the block of code points its first character is in, prefixes and
     suffixes of one to AFFIX characters, and all pairs and triples of neighbouring characters.
     """
-    marked = [f"<{w[:LONGEST].lower()}>" for w in words]
+    marked = [f"<{w.lower()}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     start = np.cumsum(lengths) - lengths
@@ -86,8 +87,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows, counts
 
 
-def _words(data: bytes) -> list[str]:
-    return data.decode("utf-8", "replace").split()
+def _cut(word: str) -> list[str]:
+    """A word in consecutive parts of up to LONGEST characters."""
+    return [word[a: a + LONGEST] for a in range(0, len(word), LONGEST)]
+
+
+def _words(text: str) -> list[str]:
+    return [part for w in text.split() for part in _cut(w)]
 
 
 class Field:
@@ -110,7 +116,7 @@ class Field:
     def listed(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)))
         for i, w in enumerate(words):
-            shares = self.lexicon.get(w[:LONGEST].lower())
+            shares = self.lexicon.get(w.lower())
             if shares is not None:
                 out[i] = shares
         return out
@@ -158,12 +164,12 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 11) -> Field:
     labels = sorted({label for label, _ in samples})
     field, number = Field(labels), {label: i for i, label in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    texts = [(number[label], _words(text)) for label, text in samples]
+    texts = [(number[label], _words(text.decode("utf-8", "replace"))) for label, text in samples]
     texts = [(y, words) for y, words in texts if words]
     k = len(labels)
     holds: dict[str, Counter] = defaultdict(Counter)
     for y, words in texts:
-        for w in {w[:LONGEST].lower() for w in words}:
+        for w in {w.lower() for w in words}:
             holds[w][y] += 1
     for w, by in holds.items():
         if sum(by.values()) > 1:
@@ -222,8 +228,12 @@ def labelled(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts, b"").cast(pa.string()))
     flat = split.flatten()
     real = np.asarray(pc.greater(pc.binary_length(flat), 0))
-    lengths = np.bincount(np.repeat(np.arange(n), np.asarray(pc.list_value_length(split)))[real], minlength=n)
-    coded = flat.filter(pa.array(real)).dictionary_encode()
+    owner, flat = np.repeat(np.arange(n), np.asarray(pc.list_value_length(split)))[real], flat.filter(pa.array(real))
+    parts = -(-np.asarray(pc.utf8_length(flat)) // LONGEST)
+    if (parts > 1).any():
+        owner, flat = np.repeat(owner, parts), pa.array([part for w in flat.to_pylist() for part in _cut(w)], pa.string())
+    lengths = np.bincount(owner, minlength=n)
+    coded = flat.dictionary_encode()
     distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     letters = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
     best, score = np.full(n, -1), np.zeros(n)
@@ -270,8 +280,8 @@ def _only_marginals(states: np.ndarray, field: Field, mask: np.ndarray) -> np.nd
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, str, float]]:
-    """Each word of a text with its most likely language and that probability."""
-    words = text.split()
+    """Each word of a text (long ones in parts) with its most likely language and that probability."""
+    words = _words(text)
     if not words or not field.labels:
         return []
     begin, size = _chained(np.array([len(words)]))
@@ -283,17 +293,22 @@ def label_words(field: Field, text: str) -> list[tuple[str, str, float]]:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """The bounded sample of labelled training texts: at most SAMPLE per label, each of at most SAMPLE_BYTES bytes."""
+    """The bounded sample of labelled training texts: at most SAMPLE per label. Texts of over SAMPLE_BYTES bytes are there in pieces."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).cast("binary")) % FOLDS
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD)).filter(
-        F.octet_length("text").between(1, SAMPLE_BYTES))
+        F.octet_length("text") > 0)
+    count = F.ceil(F.octet_length("text") / SAMPLE_BYTES)
+    pieces = F.expr(f"transform(sequence(0L, (octet_length(text) - 1) div {SAMPLE_BYTES}), "
+                    f"i -> substring(cast(text as binary), cast(i * {SAMPLE_BYTES} + 1 as int), {SAMPLE_BYTES}))")
+    cut = usable.select("lang", F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(pieces).alias("text"))
     # Of a common label only about twice the sample by a uniform hash is ranked, so what moves does not grow with the data.
-    drawn = usable.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("h"))
-    many = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = cut.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    many = usable.groupBy("lang").agg(F.sum(count).alias("n"))
     near = drawn.join(F.broadcast(many), "lang").filter(F.shiftrightunsigned("h", 11) * 2.0**-53 < 2.0 * SAMPLE / F.col("n"))
     by = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "text")
     rows = near.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= SAMPLE).select("lang", "text", "nth")
-    return [(r["lang"], bytes(r["text"])) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["nth"]))]
+    # Halves of a character at a cut go.
+    return [(r["lang"], bytes(r["text"]).decode("utf-8", "ignore").encode()) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["nth"]))]
 
 
 def _predicted(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
