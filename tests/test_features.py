@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import to_bars, walk
+from panel_data import to_bars, walk
 from pyspark.sql import functions as F
 
 from tideline.operators import features as X

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day, to_bars, walk
+from panel_data import day, to_bars, walk
 from pyspark.sql import functions as F
 
 from tideline.functions.normal import norm_cdf

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
-from conftest import day, to_bars, walk
+from panel_data import day, to_bars, walk
 from pyspark.sql import functions as F
 
 from tideline.config import LedgerConfig
