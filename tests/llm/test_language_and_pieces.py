@@ -122,6 +122,6 @@ def test_pieces_of_documents(small, odd, empty):
 
 
 @pytest.mark.parametrize("text", ["x" * 5000, "\n" * 3000])
-def test_texts_without_blanks(text):
+def test_pieces_of_texts_without_blanks(text):
     library = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
     assert S.load().encode(pa.array([text.encode()], pa.binary()))[0].tolist() == library.encode(text)
