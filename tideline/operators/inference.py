@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.exprs import uniforms
 from tideline.functions.normal import norm_cdf
-from tideline.operators.metrics import sharpe_of
+from tideline.operators.metrics import NOISE, sharpe_of
 from tideline.session import cut
 
 # Fixed value: Euler's constant to the digits the threshold was published with.
@@ -184,7 +184,7 @@ def spa_test(returns: DataFrame, n_resamples: int, block: int = 10, seed: int =
     obs = returns.groupBy("track").agg(F.avg("r").alias("mean"), F.max("n").alias("n"))
     spread = boot.groupBy("track").agg(F.stddev_pop("m").alias("se"))
     # One row per track.
-    par = obs.join(spread, "track").filter("se > 0").withColumns({
+    par = obs.join(spread, "track").filter(F.col("se") > NOISE).withColumns({
         "g_lower": F.greatest(F.col("mean"), F.lit(0.0)),
         "g_consistent": F.when(F.col("mean") >= -F.col("se") * F.sqrt(2.0 * F.ln(F.ln("n"))), F.col("mean")).otherwise(0.0),
         "g_upper": F.col("mean"),

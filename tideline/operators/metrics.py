@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 ANNUAL = math.sqrt(252.0)
 
+#: A spread of returns below this is rounding noise, not risk: such a series has no Sharpe ratio (zero).
+NOISE = 1e-12
+
 
 def cagr(start: Column, end: Column, years: Column) -> Column:
     return F.when(start > 0, F.pow(end / start, 1.0 / years) - 1.0).otherwise(0.0)
 
 
 def sharpe_of(mean: Column, sd: Column) -> Column:
-    return F.when(sd > 0, mean / sd * ANNUAL).otherwise(0.0)
+    return F.when(sd > NOISE, mean / sd * ANNUAL).otherwise(0.0)
 
 
 def equity_summary(equity: DataFrame, keys: tuple[str, ...] = ("track",)) -> DataFrame:
@@ -32,7 +35,7 @@ def equity_summary(equity: DataFrame, keys: tuple[str, ...] = ("track",)) -> Dat
         F.avg("n_positions").alias("avg_positions"), F.max("n_positions").alias("max_positions"),
         F.avg(F.try_divide("cash", "equity")).alias("avg_cash_pct"))
     years = F.when(F.col("_days") > 0, F.col("_days") / 365.25).otherwise(1e-9)
-    daily = F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")).otherwise(0.0)
+    daily = F.when(F.col("_sd") > NOISE, F.col("_mean") / F.col("_sd")).otherwise(0.0)
     return g.withColumn("years", years).select(
         *keys, "start_equity", "end_equity",
         (F.col("end_equity") / F.col("start_equity") - 1.0).alias("total_return"), "years",
@@ -89,10 +92,14 @@ def per_horizon_aggregate(seeds: DataFrame) -> DataFrame:
 
 
 def leaderboard(summary: DataFrame) -> DataFrame:
-    """Tracks by end equity with the best by CAGR and the best simple baseline marked; a row per track."""
+    """Tracks by end equity with the best by CAGR and the best simple baseline marked; a row per track.
+
+    Places compare cents and millionths, so tracks that made the same trades tie, and ties go by name.
+    """
     is_base = F.col("track").startswith("rank_")
+    digits = {"end_equity": 2, "cagr": 6}
     rank = lambda part, col: F.row_number().over(
-        Window.partitionBy(part).orderBy(F.col(col).desc(), "track"))
+        Window.partitionBy(part).orderBy(F.round(col, digits[col]).desc(), "track"))
     one = F.lit(1)
     return summary.select(
         "track", "end_equity", "cagr",

@@ -295,8 +295,8 @@ def summary_ctes(name: str, equity: str, ledger: str, keys: str = "track") -> di
     return {
         name: f"""SELECT {', '.join('e.' + k for k in ks)}, start_equity, end_equity, end_equity / start_equity - 1 total_return,
             years, pow(end_equity / start_equity, 1 / years) - 1 cagr,
-            CASE WHEN sd > 0 THEN m / sd * sqrt(252) ELSE 0 END sharpe_annualized,
-            CASE WHEN sd > 0 THEN m / sd ELSE 0 END sharpe_daily,
+            CASE WHEN sd > 1e-12 THEN m / sd * sqrt(252) ELSE 0 END sharpe_annualized,
+            CASE WHEN sd > 1e-12 THEN m / sd ELSE 0 END sharpe_daily,
             max_drawdown, avg_positions, max_positions, avg_cash_pct, coalesce(n_trades, 0) n_trades,
             coalesce(win_rate, 0) win_rate, coalesce(profit_factor, 0) profit_factor,
             coalesce(avg_trade_return, 0) avg_trade_return, coalesce(median_trade_return, 0) median_trade_return

@@ -451,9 +451,9 @@ def l11b(spark, d) -> DataFrame:
 
 
 @query("l12_leaderboard", sql(f"""SELECT track, {r('end_equity', 2)} end_equity, {r('cagr')} cagr,
-    CAST(row_number() OVER (ORDER BY end_equity DESC, track) AS INT) place,
-    CAST(row_number() OVER (ORDER BY cagr DESC, track) = 1 AS INT) best_by_cagr,
-    CAST(row_number() OVER (ORDER BY end_equity DESC, track) = 1 AS INT) best_baseline FROM f_summary"""))
+    CAST(row_number() OVER (ORDER BY round(end_equity, 2) DESC, track) AS INT) place,
+    CAST(row_number() OVER (ORDER BY round(cagr, 6) DESC, track) = 1 AS INT) best_by_cagr,
+    CAST(row_number() OVER (ORDER BY round(end_equity, 2) DESC, track) = 1 AS INT) best_baseline FROM f_summary"""))
 def l12(spark, d) -> DataFrame:
     return M.leaderboard(C.summary(spark, d)).withColumn("end_equity", rnd("end_equity", 2)).withColumn("cagr", rnd("cagr"))
 
@@ -500,7 +500,7 @@ _PAIR = {
         SELECT x.date, x.equity a, y.equity b FROM f_equity x JOIN f_equity y ON x.date = y.date
         AND x.track = 'rank_252d_return' AND y.track = 'rank_inv_60d_vol')) WHERE rm IS NOT NULL""",
     "draws": draws_cte("rets", N_BOOT, BLOCK), "samples": _BOOT["samples"]}
-_SR = "CASE WHEN stddev_pop({0}) > 0 THEN avg({0}) / stddev_pop({0}) * sqrt(252) ELSE 0 END"
+_SR = "CASE WHEN stddev_pop({0}) > 1e-12 THEN avg({0}) / stddev_pop({0}) * sqrt(252) ELSE 0 END"
 
 
 def _pair(spark, d) -> DataFrame:
@@ -573,7 +573,7 @@ def m07(spark, d) -> DataFrame:
       greatest(max((m - mean) / se), 0) upper FROM boot JOIN par USING (track) GROUP BY resample)""", **_BOOT,
     boot="SELECT track, resample, avg(r) m FROM samples GROUP BY ALL",
     par="""SELECT * FROM (SELECT track, avg(r) mean, max(n) n FROM rets GROUP BY track)
-      JOIN (SELECT track, stddev_pop(m) se FROM boot GROUP BY track) USING (track) WHERE se > 0"""))
+      JOIN (SELECT track, stddev_pop(m) se FROM boot GROUP BY track) USING (track) WHERE se > 1e-12"""))
 def m08(spark, d) -> DataFrame:
     return C.rounded(I.spa_test(cut(I.daily_returns(C.equity(spark, d))), N_BOOT, BLOCK), ["p_lower", "p_consistent", "p_upper"])
 
@@ -767,7 +767,7 @@ def p03(spark, d) -> DataFrame:
 
 @query("p04_ranked_curves", sql(f"""SELECT e.track, CAST(date_trunc('month', date) AS DATE) "month", {r('arg_max(equity, date)', 4)} equity,
     {r('any_value(final_equity)', 4)} final_equity, CAST(any_value(place) AS INT) place FROM f_equity e JOIN (
-    SELECT track, end_equity final_equity, row_number() OVER (ORDER BY end_equity DESC, track) place FROM f_summary) f ON f.track = e.track
+    SELECT track, end_equity final_equity, row_number() OVER (ORDER BY round(end_equity, 2) DESC, track) place FROM f_summary) f ON f.track = e.track
     GROUP BY e.track, date_trunc('month', date)"""))
 def p04(spark, d) -> DataFrame:
     p = P.ranked_curves(cut(C.equity(spark, d)))
@@ -782,9 +782,10 @@ def p05(spark, d) -> DataFrame:
 
 
 @query("p06_run_summary", sql(f"""SELECT 'full' tag, (SELECT count(DISTINCT ticker) FROM outcomes) n_tickers, (SELECT count(*) FROM outcomes) n_anchors,
-    arg_max(track, end_equity) best_track, {r('max(end_equity)', 2)} best_equity, {r('arg_max(cagr, end_equity)')} best_cagr,
+    track best_track, {r('end_equity', 2)} best_equity, {r('cagr')} best_cagr,
     {r('(SELECT median(cagr) FROM r_summary WHERE hold_days = 40)')} random_median_cagr,
-    {r('(SELECT quantile_cont(end_equity, 0.95) FROM r_summary WHERE hold_days = 40)', 2)} random_p95_eq FROM f_summary""", **_RANDOM))
+    {r('(SELECT quantile_cont(end_equity, 0.95) FROM r_summary WHERE hold_days = 40)', 2)} random_p95_eq FROM f_summary
+    ORDER BY round(end_equity, 2) DESC, track LIMIT 1""", **_RANDOM))
 def p06(spark, d) -> DataFrame:
     null = M.null_distribution(_seeds(spark, d).filter("hold_days = 40"))
     out = P.run_summary(C.lean(spark, d), C.summary(spark, d), null, "full")

@@ -46,7 +46,7 @@ def ranked_curves(equity: DataFrame) -> DataFrame:
     """Month-end equity of each track with its final place; a row per track and day goes in."""
     final = equity.groupBy("track").agg(F.max_by("equity", "date").alias("final_equity"))
     final = final.withColumn("place", F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy(F.col("final_equity").desc(), "track")))
+        Window.partitionBy(F.lit(1)).orderBy(F.round("final_equity", 2).desc(), "track")))
     month = equity.groupBy("track", F.trunc("date", "month").alias("month")).agg(
         F.max_by("equity", "date").alias("equity"))
     return month.join(F.broadcast(final), "track")  # one row per track
@@ -60,10 +60,10 @@ def base_rates(labels: DataFrame, horizon: int, thresholds: tuple[int, ...]) ->
 
 
 def run_summary(labels: DataFrame, summary: DataFrame, null: DataFrame, tag: str) -> DataFrame:
-    """One line per run: sizes, best track and the null's median."""
+    """One line per run: sizes, best track (equal to the cent: the first by name) and the null's median."""
     head = labels.agg(F.count_distinct("ticker").alias("n_tickers"), F.count("*").alias("n_anchors"))
-    best = summary.agg(F.max_by("track", "end_equity").alias("best_track"), F.max("end_equity").alias("best_equity"),
-                       F.max_by("cagr", "end_equity").alias("best_cagr"))
+    best = summary.agg(F.min_by(F.struct("track", "end_equity", "cagr"), F.struct(-F.round("end_equity", 2), "track")).alias("b"))
+    best = best.select(F.col("b.track").alias("best_track"), F.col("b.end_equity").alias("best_equity"), F.col("b.cagr").alias("best_cagr"))
     key = lambda df: df.withColumn("tag", F.lit(tag))
     nul = null.select(F.col("median_cagr").alias("random_median_cagr"), F.col("p95_end_equity").alias("random_p95_eq"))
     return key(head).join(key(best), "tag").join(key(nul), "tag")
