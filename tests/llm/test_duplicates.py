@@ -134,6 +134,44 @@ def test_passages_by_words(spark, monkeypatch, crowd):
     assert "first " in got.values() and " last" in got.values() and equal not in got.values()
 
 
+def test_report_of_passages_by_words(spark):
+    """Bytes in repeated runs of 51 words, next to the removal by bytes, which stays as it is."""
+    r = random.Random(14)
+
+    def words(n: int) -> list[str]:
+        return ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 5))) for _ in range(n)]
+
+    texts = passages()
+    for n, copies in ((51, 2), (50, 3), (80, 3), (200, 2)):
+        shared = words(n)
+        texts += [" ".join([*words(r.randint(0, 40)), *shared, *words(r.randint(0, 40))]) for _ in range(copies)]
+    texts += [(t := " \n " + " ".join(words(60)) + " "), t, " ".join(["ha"] * 60), "a b", ""]
+    seen = Counter(tuple(x[i: i + 51]) for x in map(str.split, texts) for i in range(len(x) - 50))
+    got = {row["doc_id"]: row for row in S.repeat_report(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3), 51).collect()}
+    for i, (text, by_bytes) in enumerate(zip(texts, repeats([t.encode() for t in texts]), strict=True)):
+        data = text.encode()
+        x, places = text.split(), [m.span() for m in re.finditer(rb"\S+", data)]
+        if len(x) != len(places):
+            continue
+        gone = bytearray(len(data))
+        for j in range(len(x) - 50):
+            if seen[tuple(x[j: j + 51])] > 1:
+                gone[places[j][0]: places[j + 50][1]] = b"\1" * (places[j + 50][1] - places[j][0])
+        row = got[i]
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == by_bytes
+        assert row["n_passage"] == sum(gone), (i, text[:50])
+        assert row["n_passages"] == len(re.findall(rb"\x01+", bytes(gone)))
+
+
+def test_multikey_order_sorts():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 400):
+        group = np.sort(r.integers(0, 1 + n // 20, n))
+        symbols = r.integers(0, 3, (n, 2)).astype(np.uint64) << np.uint64(60)
+        order = S.multikey_order(group, symbols)
+        assert np.array_equal(order, np.lexsort((symbols[:, 1], symbols[:, 0], group)))
+
+
 def test_blind_trie_sorts():
     r = random.Random(8)
     for _ in range(200):

@@ -31,6 +31,7 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tideline-{operator}-{uuid.uuid4().hex}"
         self._n = 0
+        self.made: list[Stage] = []
 
     def cut(self, df: DataFrame, compression: str = "snappy") -> Stage:
         self._n += 1
@@ -41,7 +42,15 @@ class Stages:
             df.write.option("compression", compression).parquet(path)
         finally:
             self.spark.conf.set(_CLEAN, before)
-        return Stage(self.spark, path, self.spark.read.schema(df.schema).parquet(path))
+        self.made.append(Stage(self.spark, path, self.spark.read.schema(df.schema).parquet(path)))
+        return self.made[-1]
+
+    def only(self, *kept: Stage) -> None:
+        """Drops every table but these."""
+        for stage in self.made:
+            if not any(stage is k for k in kept):
+                stage.drop()
+        self.made = list(kept)
 
 
 class Stage:

@@ -7,13 +7,15 @@ anchors at equal places, so equal strings meet where anchors with the same gram
 1. Anchors (about one per 185 bytes) with the range of strings they stand for. Texts that are equal as a whole are taken
    once; with SPAN bytes or more they go entirely.
 2. Anchors whose gram occurs once are dropped; the others get their context, the bytes that their strings cover.
-3. The suffixes at the anchors of one gram are sorted to the right of it and, mirrored, to the left: multikey steps of
-   eight bytes to a shallow depth, then a blind trie for each group that is still equal, which also gives the common
-   prefix of neighbours. At every distance d from start to anchor, strings are equal exactly if they share the class of
+3. The suffixes at the anchors of one gram are sorted to the right of it and, mirrored, to the left: multikey quicksort
+   (symbols of eight bytes, three-way splits, all segments of a round at once) to a shallow depth, then a blind trie for
+   each group that is still equal, which also gives the common prefix of neighbours. At every distance d from start to anchor, strings are equal exactly if they share the class of
    common prefixes SPAN - d to the right and d to the left.
 4. Spans per text are merged and cut.
 
-Grams shared by more than CROWD anchors are not gathered: their strings are counted by digest instead (blake2b, 128 bits).
+Grams shared by more than CROWD anchors are set apart before anything is joined on the gram and are not gathered: their
+strings are counted by digest instead (blake2b, 128 bits). There are fewer of them than anchors / CROWD; the list is
+broadcast up to CROWDED_MOST and joined by shuffle beyond.
 
 With a least number of words the same search also runs over texts in which each word (what white space parts) is its
 WORD-byte hash: strings of that many words that also start elsewhere go too, however few bytes they have and whatever white
@@ -39,11 +41,12 @@ from tideline.llm.common import Stages, column, ranges, run_starts, slices, text
 
 SPAN, GRAM = 400, 32
 WORD = 8  #: bytes of a word's hash
-SHALLOW = 16  #: bytes ordered by multikey steps
+SHALLOW = 16  #: bytes ordered by multikey quicksort
 CROWD = 50_000
+CROWDED_MOST = 200_000  #: grams in a broadcast list
 BATCH = 1 << 21
 
-ANCHOR_SCHEMA = "doc_id bigint, digest binary, n_bytes bigint, long boolean, anchors array<struct<gram:bigint,at:int,low:int,high:int>>"
+ANCHOR_SCHEMA = "doc_id bigint, digest binary, n_bytes bigint, long boolean, wordy boolean, anchors array<struct<gram:bigint,at:int,low:int,high:int>>"
 CONTEXT_SCHEMA = "gram bigint, digest binary, at int, low int, high int, left binary, right binary"
 FOUND_SCHEMA = "digest binary, start int, stop int"
 CUT_SCHEMA = "digest binary, text binary, spans array<struct<start:int,stop:int>>"
@@ -107,14 +110,15 @@ def _anchored(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -
             texts = batch.column("text").to_pylist()
             coded = [word_hashes(t) for t in texts] if words else texts
             n_bytes, lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (texts, coded))
+            trimmed = np.fromiter((len(t.strip()) for t in texts), np.int64, len(texts)) if words else n_bytes
             text, gram, at, low, high = anchors(b"".join(coded), lengths, span)
             fields = pa.StructArray.from_arrays(
                 [pa.array(gram), *(pa.array(x.astype(np.int32)) for x in (at, low, high))], ["gram", "at", "low", "high"])
             offsets = np.searchsorted(text, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(n_bytes),
-                 pa.array((n_bytes >= SPAN) | (lengths >= span)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)],
-                ["doc_id", "digest", "n_bytes", "long", "anchors"])
+                [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(trimmed),
+                 pa.array((n_bytes >= SPAN) | (lengths >= span)), pa.array(lengths >= span), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)],
+                ["doc_id", "digest", "n_bytes", "long", "wordy", "anchors"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -> Iterator[pa.RecordBatch]:
@@ -188,10 +192,38 @@ def blind_trie_order(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, common
 
 
+def multikey_order(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Order of the rows of symbols within ascending groups, by multikey quicksort.
+
+    A segment is split around its middle row's symbol at the segment's depth into less, equal and greater; only the
+    equal part goes one symbol deeper. Every round splits all open segments at once.
+    """
+    n, depth_end = symbols.shape
+    order = np.arange(n)
+    starts = run_starts(group)
+    first, size = starts[:-1], np.diff(starts)
+    depth = np.zeros(len(first), np.int64)
+    while True:
+        open_ = (size > 1) & (depth < depth_end)
+        first, size, depth = first[open_], size[open_], depth[open_]
+        if not len(first):
+            return order
+        places, segment = ranges(first, size), np.repeat(np.arange(len(first)), size)
+        key = symbols[order[places], depth[segment]]
+        pivot = symbols[order[first + size // 2], depth][segment]
+        code = segment * 3 + (key >= pivot) + (key > pivot)
+        by = np.argsort(code, kind="stable")
+        order[places] = order[places][by]
+        cuts = run_starts(code[by])
+        part = code[by][cuts[:-1]]
+        depth = depth[part // 3] + (part % 3 == 1)
+        first, size = places[cuts[:-1]], np.diff(cuts)
+
+
 def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within ascending groups, and the common prefix with the string before (-1: a new group)."""
     head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), ">u8").reshape(-1, SHALLOW // 8).astype(np.uint64)
-    order = np.lexsort((*head.T[::-1], group))
+    order = multikey_order(group, head)
     common = np.full(len(order), -1, np.int64)
     starts = run_starts(group[order], *head[order].T)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -225,15 +257,20 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.n
             most[i] = np.minimum(high[i], back)
     larger = np.repeat(sizes > 2, sizes)
     if larger.any():
-        chosen = np.flatnonzero(larger)
+        chosen = np.flatnonzero(larger)  # from here on only members of groups of three or more, by their own numbers
+        number, m = np.cumsum(larger) - 1, len(chosen)
+        from_right, from_left = larger[right_order], larger[left_order]
+        right_order, right_common = number[right_order[from_right]], right_common[from_right]
+        left_order, left_common = number[left_order[from_left]], left_common[from_left]
+        to_right, to_left = np.empty(m, np.int64), np.empty(m, np.int64)
         for d in range(int(low[chosen].min()), int(high[chosen].max()) + 1):
-            here = chosen[(low[chosen] <= d) & (d <= high[chosen])]
-            if len(here) < 2:
+            own = np.flatnonzero((low[chosen] <= d) & (d <= high[chosen]))
+            if len(own) < 2:
                 continue
-            to_right, to_left = np.empty(n, np.int64), np.empty(n, np.int64)
+            here = chosen[own]
             to_right[right_order] = np.cumsum(right_common < span - d - GRAM)
             to_left[left_order] = np.cumsum(left_common < d)
-            code = to_right[here] * (n + 1) + to_left[here]
+            code = to_right[own] * (m + 1) + to_left[own]
             order = np.argsort(code, kind="stable")
             same = code[order][1:] == code[order][:-1]
             twice = np.zeros(len(here), bool)
@@ -289,7 +326,8 @@ def _in_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three written tables: doc_id, digest, n_bytes, long (whole copies go) of every row; digest, copies, rep (a doc_id) of every distinct text;
+    """Three written tables: doc_id, digest, n_bytes (by words: without white space at the ends), long (whole copies go), wordy (of
+    the least length or more) of every row; digest, copies, rep (a doc_id) of every distinct text;
     digest, text, spans (unmerged start and stop) of the texts in which something is repeated: SPAN bytes or, where words
     is given, so many words instead."""
     span = words * WORD if words else SPAN
@@ -297,22 +335,27 @@ def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) ->
     texts = stages.cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))).df
     own = rows.join(texts.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id <=> rep")).dropDuplicates(["digest"])
     each = stages.cut(own.select("digest", "rep", F.explode("anchors").alias("a")).select("digest", "rep", "a.*"))
-    shared = each.df.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = each.df.join(shared, "gram").groupBy("digest", "rep").agg(
-        F.collect_list(F.struct("gram", "at", "low", "high")).alias("anchors"))
+    counts = stages.cut(each.df.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    crowds = counts.df.filter(F.col("n") > CROWD).select("gram")
+    crowded = crowds.count()
+    if crowded:
+        crowds = F.broadcast(crowds) if crowded <= CROWDED_MOST else crowds
+    several = counts.df.filter(F.col("n") <= CROWD).select("gram")
+    shared = (each.df.join(crowds, "gram", "left_anti") if crowded else each.df).join(several, "gram", "left_semi")
+    if crowded:
+        shared = shared.unionByName(each.df.join(crowds, "gram", "left_semi"))
+    wanted = shared.groupBy("digest", "rep").agg(F.collect_list(F.struct("gram", "at", "low", "high")).alias("anchors"))
     whole = docs.select(F.col("doc_id").cast("bigint").alias("rep"), text_bytes())
     whole = whole.withColumn("digest", F.unhex(F.sha2("text", 256)))
     found = whole.join(wanted.withColumnRenamed("rep", "r"), (whole.digest == wanted.digest) & whole.rep.eqNullSafe(F.col("r"))).select(
         whole.digest, "text", "anchors")
     texts_wanted = stages.cut(found)
-    crowds = stages.cut(each.df.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("gram"))
     each.drop()
     contexts = texts_wanted.df.mapInArrow(partial(_contexts, words=words, span=span), CONTEXT_SCHEMA)
-    crowded = not crowds.df.isEmpty()
-    few = contexts.join(crowds.df, "gram", "left_anti") if crowded else contexts
+    few = contexts.join(crowds, "gram", "left_anti") if crowded else contexts
     spans = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted, span=span), FOUND_SCHEMA)
     if crowded:
-        strings = stages.cut(contexts.join(crowds.df, "gram", "left_semi").mapInArrow(partial(_strings, span=span), "string binary, digest binary, start int")).df
+        strings = stages.cut(contexts.join(crowds, "gram", "left_semi").mapInArrow(partial(_strings, span=span), "string binary, digest binary, start int")).df
         twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
         spans = spans.unionByName(strings.join(twice, "string").select("digest", "start", (F.col("start") + span).alias("stop")))
     per_text = stages.cut(spans.groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
@@ -320,7 +363,7 @@ def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) ->
     cut = stages.cut(found.mapInArrow(partial(_in_bytes, words=words), CUT_SCHEMA) if words else found).df
     texts_wanted.drop()
     per_text.drop()
-    return rows.select("doc_id", "digest", "n_bytes", "long"), texts, cut
+    return rows.select("doc_id", "digest", "n_bytes", "long", "wordy"), texts, cut
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -371,12 +414,29 @@ def _per_row(rows: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame
     })
 
 
-def repeat_report(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    stages = stages or Stages(docs.sparkSession, "suffix")
+def repeat_report(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row. With words also n_passage and n_passages: bytes and
+    number of the passages of so many words or more that start elsewhere too, each from its first to its last word."""
+    stages = Stages(docs.sparkSession, "suffix")
     rows, texts, cut = repeated_spans(docs, stages)
     removed = cut.mapInArrow(_removed, REMOVED_SCHEMA).drop("kept")
-    return _per_row(rows, texts, removed).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    report = _per_row(rows, texts, removed)
+    if not words:
+        return report.select(*columns)
+    by_bytes = stages.cut(report.select("digest", *columns))
+    stages.only(by_bytes)
+    rows, _, cut = repeated_spans(docs, stages, words)
+    # Equal texts are one: their copies are passages from end to end where they have the words.
+    one = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("whole"), F.max("wordy").alias("wordy"))
+    found = cut.mapInArrow(_removed, REMOVED_SCHEMA).dropDuplicates(["digest"]).select("digest", "n_removed", "n_spans")
+    one = one.join(found, "digest", "left")
+    copy, zero = (F.col("copies") > 1) & F.col("wordy"), F.lit(0).cast("bigint")
+    per_text = stages.cut(one.select(
+        "digest", F.when(copy, F.col("whole")).otherwise(F.coalesce("n_removed", zero)).alias("n_passage"),
+        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", zero)).alias("n_passages")))
+    stages.only(by_bytes, per_text)
+    return by_bytes.df.join(per_text.df, "digest").select(*columns, "n_passage", "n_passages")
 
 
 def remove_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
