@@ -27,13 +27,11 @@ Null counts as empty. Repeated rows are copies of each other. A text with long r
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +49,9 @@ CONTEXT_SCHEMA = "gram bigint, digest binary, at int, low int, high int, left bi
 FOUND_SCHEMA = "digest binary, start int, stop int"
 CUT_SCHEMA = "digest binary, text binary, spans array<struct<start:int,stop:int>>"
 EMPTY = hashlib.sha256(b"").digest()
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -76,10 +77,32 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1: n])
 
 
-def word_hashes(text: bytes) -> bytes:
-    """WORD bytes for each word."""
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words)).tobytes()
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For joined texts (a line feed between two): the bytes, first byte and end of each word, and number of words of each text."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edge = np.append(0, edge)
+    first, end = edge[::2], edge[1::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return data, first, end, np.diff(np.searchsorted(first, np.append(0, ends)))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """WORD bytes for each word of all texts, and the bytes of each text: a polynomial of the word's bytes, mixed."""
+    data, first, end, many = word_places(texts)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(data) + 1, _ODD))
+        total = np.append(np.uint64(0), np.cumsum(power[:-1] * (data.astype(np.uint64) + np.uint64(0x1F3))))
+        # Sums of powers from the word's place on, brought to place 0 by the inverse powers.
+        back = np.cumprod(np.full(len(data) + 1, _ODD_INVERSE))
+        h = (total[end] - total[first]) * back[first] + (end - first).astype(np.uint64)
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
+        h ^= h >> np.uint64(32)
+    return h.astype("<u8").tobytes(), many * WORD
 
 
 def anchors(data: bytes, lengths: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
@@ -108,10 +131,10 @@ def _anchored(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -
     for whole in batches:
         for batch in slices(whole, "text", BATCH):
             texts = batch.column("text").to_pylist()
-            coded = [word_hashes(t) for t in texts] if words else texts
-            n_bytes, lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (texts, coded))
+            n_bytes = np.fromiter(map(len, texts), np.int64, len(texts))
+            joined, lengths = word_hashes(texts) if words else (b"".join(texts), n_bytes)
             trimmed = np.fromiter((len(t.strip()) for t in texts), np.int64, len(texts)) if words else n_bytes
-            text, gram, at, low, high = anchors(b"".join(coded), lengths, span)
+            text, gram, at, low, high = anchors(joined, lengths, span)
             fields = pa.StructArray.from_arrays(
                 [pa.array(gram), *(pa.array(x.astype(np.int32)) for x in (at, low, high))], ["gram", "at", "low", "high"])
             offsets = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -131,7 +154,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], words: int | None, span: int) -
             fields = lists.flatten()
             gram, at, low, high = (fields.field(n).to_numpy() for n in ("gram", "at", "low", "high"))
             texts = batch.column("text").to_pylist()
-            texts = [word_hashes(t) for t in texts] if words else texts
+            if words:
+                joined, lengths = word_hashes(texts)
+                ends = np.cumsum(lengths).tolist()
+                texts = [joined[b - n: b] for b, n in zip(ends, lengths.tolist(), strict=True)]
             left = [texts[r][a - h: a][::-1] for r, a, h in zip(row.tolist(), at.tolist(), high.tolist(), strict=True)]
             right = [texts[r][a + GRAM: a - d + span] for r, a, d in zip(row.tolist(), at.tolist(), low.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -315,14 +341,22 @@ def _strings(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
 
 def _in_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Spans over word hashes as spans of the text, from the first to the last whole word; shorter ones go."""
-    for batch in batches:
-        spans = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            places = [m.span() for m in re.finditer(rb"\S+", text)]
-            whole = {(-(-s["start"] // WORD), s["stop"] // WORD) for s in found}
-            spans.append([{"start": places[a][0], "stop": places[b - 1][1]} for a, b in whole if b - a >= words])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.array(spans, kind)], ["digest", "text", "spans"])
+    for whole in batches:
+        for batch in slices(whole, "text", BATCH):
+            texts = batch.column("text").to_pylist()
+            _, first, end, many = word_places(texts)
+            text_at = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+            lists = batch.column("spans")
+            row = np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths()))
+            start, stop = (lists.flatten().field(n).to_numpy() for n in ("start", "stop"))
+            a, b = -(-start // WORD), stop // WORD  # whole words
+            keep = b - a >= words
+            row, a, b = row[keep], a[keep], b[keep]
+            word_at = (np.cumsum(many) - many)[row]
+            fields = [pa.array((x - text_at[row]).astype(np.int32)) for x in (first[word_at + a], end[word_at + b - 1])]
+            offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "stop"]))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), spans], ["digest", "text", "spans"])
 
 
 def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
