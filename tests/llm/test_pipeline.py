@@ -10,7 +10,7 @@ from tideline.llm.queries import QUERIES
 
 def test_queries_are_registered():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and {*QUERIES, "pipeline"} <= names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and {*QUERIES, "pipeline"} <= names
 
 
 def test_every_stage_keeps_the_columns(spark, small):
