@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 import pytest
 from panel_data import day, to_bars, walk
@@ -54,12 +56,49 @@ def test_topk_ties_and_hot_dates(spark):
 def test_held_tickers_are_not_bought_again(spark):
     rows = [pick("A", "2020-01-03", "2020-02-03"), pick("A", "2020-01-10", "2020-02-10"), pick("A", "2020-02-03", "2020-03-03"),
             pick("A", "2020-02-10", "2020-03-10"), pick("A", "2020-01-10", "2020-02-10", track="y"), pick("B", "2020-01-10", "2020-02-10")]
-    got = R.no_overlap_selection(spark.createDataFrame(rows, PICK))
+    got = R.no_overlap_selection(R.weekly_topk(spark.createDataFrame(rows, PICK), 9))
     # The second pick is blocked and does not block the third one in turn.
     assert sorted((r["track"], r["ticker"], r["anchor_date"].isoformat()) for r in got.collect()) == [
         ("x", "A", "2020-01-03"), ("x", "A", "2020-02-03"), ("x", "B", "2020-01-10"), ("y", "A", "2020-01-10")]
 
 
+def test_the_next_candidate_moves_up_for_a_held_one(spark):
+    """One place a week: A is held over three weeks, so B, then C come up; A is bought again from its exit on."""
+    weeks = ["2020-01-03", "2020-01-10", "2020-01-17", "2020-01-24"]
+    bars = to_bars(spark, *[walk(t, 40, i, "2020-01-01").assign(close=10.0) for i, t in enumerate("ABCD")])
+    rows = [pick(t, w, (pd.Timestamp(w) + pd.Timedelta(days=21)).date().isoformat(), score=float(9 - i))
+            for w in weeks for i, t in enumerate("ABCD")]
+    got = ledger(spark.createDataFrame(rows, PICK), bars, LedgerConfig(max_new_per_week=1)).orderBy("entry_date").collect()
+    assert [(r["entry_date"].isoformat(), r["ticker"]) for r in got] == list(zip(weeks, "ABCA"))
+
+
+def held_by_walking(rows, k):
+    """Day after day over plain lists: (track, day, ticker, free, score) -> what is bought."""
+    out = set()
+    for track in {r[0] for r in rows}:
+        held = {}
+        for day_ in sorted({r[1] for r in rows if r[0] == track}):
+            held, n = {t: f for t, f in held.items() if f > day_}, 0
+            for _, _, t, free, _ in sorted((r for r in rows if r[:2] == (track, day_)), key=lambda r: (-r[4], r[2])):
+                if n < k and t not in held:
+                    held[t], n = free, n + 1
+                    out.add((track, day_, t))
+    return out
+
+
+@pytest.mark.parametrize(("k", "seed"), [(1, 1), (2, 2), (5, 3)])
+def test_reach_and_selection_equal_a_walk(spark, k, seed):
+    g = random.Random(seed)
+    first = day("2020-01-03")
+    rows = [(track, first + pd.Timedelta(days=7 * w), f"T{i}", first + pd.Timedelta(days=7 * w + g.choice([3, 7, 10, 30, 90])), round(g.random(), 2))
+            for track in "xy" for w in range(30) for i in range(25) if g.random() < 0.8]
+    df = spark.createDataFrame(rows, "track string, anchor_date date, ticker string, resolution_date date, score double")
+    bounds = R.rank_bounds(df, k)
+    near = R.reachable(df, bounds)
+    got = {tuple(r) for r in R.no_overlap_selection(near, k).select("track", "anchor_date", "ticker").collect()}
+    assert got == held_by_walking(rows, k)
+
+
 def test_random_scores_do_not_depend_on_partitioning(spark):
     df = spark.createDataFrame([pick(f"T{i}", "2020-01-03", "2020-02-03") for i in range(50)], PICK).select("ticker", "anchor_date")
     one = dict(df.coalesce(1).select("ticker", R.random_score(5)).collect())

@@ -9,7 +9,8 @@ from tideline.config import LedgerConfig
 from tideline.functions.exprs import finite, uniform
 from tideline.operators.joins import dates_inside, next_bar_join
 from tideline.operators.quality import has_bars, with_bar_index
-from tideline.operators.ranking import no_overlap_selection, weekly_topk
+from tideline.operators.ranking import no_overlap_selection, rank_bounds, reachable
+from tideline.session import cut
 
 # Probability that an order of a liquidity tier is missed.
 HALT_RATES = {"micro": 0.018, "small": 0.008, "mid": 0.003, "large": 0.001}
@@ -121,19 +122,22 @@ def forced_close(trades: DataFrame, bars: DataFrame, tickers: DataFrame | None =
     }).drop("_final")
 
 
-def purchases(scores: DataFrame, bars: DataFrame | None, cfg: LedgerConfig = LedgerConfig(),
+def purchases(scores: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
               keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """The best candidates of each date among those that can be bought.
+    """The candidates that purchases can come to, with their rank and scheduled exit (null: none in the bars).
 
-    What fails a gate, is too small, is halted or gives no share takes no place: the next candidate moves up.
+    What fails a gate, is too small, is halted or gives no share takes no place. Of the others each date keeps as many as
+    its purchases can reach past tickers that are still held; a stop only frees tickers earlier.
     """
-    return weekly_topk(open_trades(scores, bars, cfg, keys), cfg.max_new_per_week, keys, "entry_date")
+    closed = cut(fixed_exit(open_trades(scores, bars, cfg, keys), bars))
+    bounds = rank_bounds(closed, cfg.max_new_per_week, keys, "entry_date", "exit_date")
+    return reachable(closed, cut(bounds), keys, "entry_date")
 
 
 def exits(trades: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(), keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """exit_date, exit_close and forced_close of each trade: the stop, the scheduled bar, or the end of all bars."""
     own = bars_of(bars, trades)
-    t = fixed_exit(trades, own)
+    t = trades if "exit_date" in trades.columns else fixed_exit(trades, own)
     if cfg.trailing_stop_pct > 0:
         stops = trailing_stop(t, own, cfg.trailing_stop_pct, keys)
         t = t.join(stops, [*keys, "ticker", "entry_date"], "left").withColumns({
@@ -143,13 +147,16 @@ def exits(trades: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig()
     return forced_close(t, bars, trades)
 
 
+def held_trades(candidates: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
+                keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """The trades that are made, with their exits: a held ticker is passed over until its real exit, the next moves up."""
+    return no_overlap_selection(exits(candidates, bars, cfg, keys), cfg.max_new_per_week, keys, "entry_date", "exit_date")
+
+
 def trade_ledger(bought: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
                  keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """All trades with both fills, costs and the return after costs. bought: purchases(), cut, as they are read often.
-
-    A purchase of a ticker that is still held is not made; the ticker is free again from its real exit on.
-    """
-    t = no_overlap_selection(exits(bought, bars, cfg, keys), keys, "entry_date", "exit_date")
+    """All trades with both fills, costs and the return after costs. bought: purchases(), cut, as they are read often."""
+    t = held_trades(bought, bars, cfg, keys)
     t = t.withColumn("exit_slippage_bps", slippage_bps(F.col("cost"), F.col("adv20_usd"), cfg))
     t = t.withColumn("exit_price", slipped(F.col("exit_close"), F.col("exit_slippage_bps"), "sell"))
     t = t.withColumn("proceeds", F.col("shares") * F.col("exit_price"))

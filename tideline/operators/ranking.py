@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.exprs import uniform
+from tideline.functions.exprs import bind, uniform
 
 # Baseline name and the feature behind it.
 BASELINES: dict[str, str] = {
@@ -47,23 +47,62 @@ def weekly_topk(scores: DataFrame, k: int = 5, keys: tuple[str, ...] = ("track",
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def no_overlap_selection(picks: DataFrame, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date",
+def rank_bounds(candidates: DataFrame, k: int, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date",
+                release: str = "resolution_date") -> DataFrame:
+    """(keys, entry, most): the rank down to which the k purchases of each date can reach.
+
+    A candidate is passed over only for a ticker that is still held, each earlier date has k purchases at most, and those
+    of a date are all free again by the last release among its candidates. So a date reaches no further than
+    k * (1 + earlier dates with a later last release). One row per key and date goes into the arrays.
+    """
+    open_end = F.coalesce(F.max(release), F.to_date(F.lit("9999-12-31")))
+    unresolved = F.count_if(F.col(release).isNull()) > 0
+    last = candidates.groupBy(*keys, entry).agg(
+        F.when(unresolved, F.to_date(F.lit("9999-12-31"))).otherwise(open_end).alias("_last"))
+    days = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(entry, "_last"))).alias("_d"))
+    still = lambda d: F.size(F.filter("_d", lambda e: (e[entry] < d[entry]) & (e["_last"] > d[entry])))
+    return days.select(*keys, F.inline(F.transform("_d", lambda d: F.struct(
+        d[entry].alias(entry), (k * (1 + still(d))).alias("most")))))
+
+
+def reachable(candidates: DataFrame, bounds: DataFrame, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date") -> DataFrame:
+    """The candidates of each date down to its bound, with their rank. bounds: rank_bounds of some of the keys."""
+    deepest = bounds.agg(F.max("most")).first()[0] or 0
+    on = [c for c in (*keys, entry) if c in bounds.columns]
+    return weekly_topk(candidates, deepest, keys, entry).join(bounds, on).filter("rank <= most").drop("most")
+
+
+def no_overlap_selection(candidates: DataFrame, k: int = 5, keys: tuple[str, ...] = ("track",), entry: str = "anchor_date",
                          release: str = "resolution_date") -> DataFrame:
-    """A ticker that is still held is not bought again: it is free from the release date of the kept pick on.
+    """The k best candidates of each date whose ticker is not held; a held one takes no place, the next moves up.
 
-    Picks of one ticker (at most one per week, so bounded by the calendar) are folded in date order.
+    A ticker is free from the release date of its purchase on. candidates: with `rank`, as many of each date as can be
+    reached, so that the dates of one key are one list as long as the calendar times the reach, walked in order. Only
+    ticker, dates and rank are gathered; the rest is joined back.
     """
-    rest = [c for c in picks.columns if c not in (*keys, "ticker", entry, release)]
-    row = F.struct(entry, release, *rest)
-    g = picks.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(row)).alias("p"))
-    start = F.struct(F.to_date(F.lit("0001-01-01")).alias("free"), F.slice("p", 1, 0).alias("kept"))
+    row = F.struct(F.col(entry).alias("day"), "rank", "ticker", F.col(release).alias("free"))
+    g = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    none = F.slice(F.transform("p", lambda x: F.struct(x["ticker"].alias("ticker"), x["free"].alias("free"))), 1, 0)
+    taken = F.slice(F.transform("p", lambda x: F.struct(x["day"].alias("day"), x["ticker"].alias("ticker"))), 1, 0)
+    start = F.struct(F.to_date(F.lit("0001-01-01")).alias("day"), F.lit(0).alias("n"), none.alias("held"), taken.alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        taken = F.struct(x[release].alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        return F.when(x[entry] >= acc["free"], taken).otherwise(acc)
+        fresh = x["day"] > acc["day"]
+
+        def decide(now: Column) -> Column:
+            buy = (now["n"] < k) & ~F.exists(now["held"], lambda h: h["ticker"] == x["ticker"])
+            holding, bought = F.struct(x["ticker"].alias("ticker"), x["free"].alias("free")), F.struct(x["day"].alias("day"), x["ticker"].alias("ticker"))
+            return F.struct(
+                x["day"].alias("day"), F.when(buy, now["n"] + 1).otherwise(now["n"]).alias("n"),
+                F.when(buy, F.concat(now["held"], F.array(holding))).otherwise(now["held"]).alias("held"),
+                F.when(buy, F.concat(acc["kept"], F.array(bought))).otherwise(acc["kept"]).alias("kept"))
+
+        held = F.when(fresh, F.filter(acc["held"], lambda h: h["free"] > x["day"])).otherwise(acc["held"])
+        return bind(F.struct(F.when(fresh, 0).otherwise(acc["n"]).alias("n"), held.alias("held")), decide)
 
     kept = F.aggregate("p", start, step, lambda acc: acc["kept"])
-    return g.select(*keys, "ticker", F.inline(kept)).select(*picks.columns)
+    bought = g.select(*keys, F.inline(kept)).withColumnRenamed("day", entry)
+    return candidates.join(bought, [*keys, entry, "ticker"]).select(*candidates.columns)
 
 
 def forward_topk(candidates: DataFrame, k: int = 5, min_adv: float = 5e6) -> DataFrame:

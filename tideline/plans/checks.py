@@ -191,17 +191,20 @@ CTES["picks"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trac
     FROM scores) WHERE rank <= 5"""
 
 
-def no_overlap_ctes(name: str, src: str, keys: str) -> dict[str, str]:
-    """Greedy holding rule by stepping through the purchases of each ticker: free again from the exit date on."""
+def no_overlap_ctes(name: str, src: str, keys: str, k: int) -> dict[str, str]:
+    """Day by day: what has been sold by today is free, the best k that are not held are bought and held."""
+    ks = [x.strip() for x in keys.split(",")]
+    dk, on = ", ".join("d." + x for x in ks), " AND ".join(f"d.{x} = w.{x}" for x in ks)
     return {
-        f"{name}_n": f"SELECT *, row_number() OVER (PARTITION BY {keys}, ticker ORDER BY entry_date) pn FROM {src}",
-        f"{name}_w": f"""SELECT {keys}, ticker, pn, exit_date free, true kept FROM {name}_n WHERE pn = 1
-            UNION ALL SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, p.ticker, p.pn,
-            CASE WHEN p.entry_date >= w.free THEN p.exit_date ELSE w.free END, p.entry_date >= w.free
-            FROM {name}_w w JOIN {name}_n p ON {' AND '.join(f'p.{k.strip()} = w.{k.strip()}' for k in keys.split(','))}
-            AND p.ticker = w.ticker AND p.pn = w.pn + 1""",
-        name: f"SELECT n.* FROM {name}_n n SEMI JOIN (SELECT * FROM {name}_w WHERE kept) k "
-              f"ON n.ticker = k.ticker AND n.pn = k.pn AND {' AND '.join(f'n.{k.strip()} = k.{k.strip()}' for k in keys.split(','))}",
+        f"{name}_d": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY entry_date) dn FROM (SELECT {keys}, entry_date,
+            list({{'ticker': ticker, 'free': exit_date}} ORDER BY score DESC, ticker) cands FROM {src} GROUP BY {keys}, entry_date)""",
+        f"{name}_w": f"""SELECT {keys}, entry_date, dn, cands[1:{k}] taken, cands[1:{k}] held FROM {name}_d WHERE dn = 1
+            UNION ALL SELECT {keys}, entry_date, dn, avail[1:{k}], list_concat(live, avail[1:{k}]) FROM (
+            SELECT *, list_filter(cands, lambda c: NOT list_contains(list_transform(live, lambda h: h.ticker), c.ticker)) avail FROM (
+            SELECT {dk}, d.entry_date, d.dn, d.cands, list_filter(w.held, lambda h: h.free > d.entry_date) live
+            FROM {name}_w w JOIN {name}_d d ON {on} AND d.dn = w.dn + 1))""",
+        name: f"""SELECT n.* FROM {src} n SEMI JOIN (SELECT {keys}, entry_date, unnest(taken).ticker ticker FROM {name}_w) k
+            ON n.ticker = k.ticker AND n.entry_date = k.entry_date AND {' AND '.join(f'n.{x} = k.{x}' for x in ks)}""",
     }
 
 
@@ -223,7 +226,7 @@ def halt_sql(seed: int, *keys: str) -> str:
 
 
 def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[str, str]:
-    """CTEs {p}open (all that can be bought), {p}top (the best of them per date), {p}exit, {p}held and {p}ledger."""
+    """CTEs {p}open (all that can be bought), {p}exit, {p}held (what is bought) and {p}ledger."""
     ks = [k.strip() for k in keys.split(",")]
     bps = (lambda pos: impact_sql(pos, "adv20_usd", c)) if c.use_impact else (lambda pos: f"{c.slippage_bps}")
     halt = f"AND NOT ({halt_sql(c.halt_seed, *ks)})" if c.halt_risk else ""
@@ -236,9 +239,7 @@ def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[
             SELECT *, least({c.start_equity * c.max_position_pct}, adv20_usd * {c.max_adv_pct}) target_usd FROM {src}
             WHERE adv20_usd >= {c.min_adv_usd} AND anchor_close > 0 {halt})
             WHERE target_usd >= {c.min_position_usd})) WHERE shares > 0""",
-        f"{p}top": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, entry_date ORDER BY score DESC, ticker) rank
-            FROM {p}open) WHERE rank <= {c.max_new_per_week}""",
-        f"{p}next": f"""SELECT t.*, b.date next_date, b.close next_close FROM {p}top t ASOF LEFT JOIN bars b
+        f"{p}next": f"""SELECT t.*, b.date next_date, b.close next_close FROM {p}open t ASOF LEFT JOIN bars b
             ON t.ticker = b.ticker AND t.resolution_date <= b.date""",
     }
     if c.trailing_stop_pct > 0:
@@ -255,7 +256,7 @@ def ledger_ctes(p: str, src: str, c: LedgerConfig, keys: str = "track") -> dict[
             stop_date IS NULL AND next_date IS NULL forced_close FROM (
             SELECT t.*, {stop_sel}, f.close final FROM {p}next t {stop_join}
             LEFT JOIN (SELECT ticker, close FROM bars WHERE date = (SELECT max(date) FROM bars)) f ON f.ticker = t.ticker) t"""
-    out |= no_overlap_ctes(f"{p}held", f"{p}exit", keys)
+    out |= no_overlap_ctes(f"{p}held", f"{p}exit", keys, c.max_new_per_week)
     out[f"{p}ledger"] = f"""SELECT *, (proceeds - commission_total - cost) / cost trade_return_pct FROM (
             SELECT *, {fee('proceeds')} commission_total FROM (
             SELECT *, shares * exit_price proceeds FROM (

@@ -57,7 +57,7 @@ class Study:
         return score_frame(self.features, self.lean, 40)
 
     def bought(self, cfg: LedgerConfig) -> DataFrame:
-        """Cut: at most five purchases per date and track, read by every step of the ledger."""
+        """Cut: the candidates that each date's purchases can reach, read by every step of the ledger."""
         if cfg not in self.purchased:
             self.purchased[cfg] = cut(purchases(self.scores, self.bars, cfg))
         return self.purchased[cfg]

@@ -226,8 +226,7 @@ def j07(spark, d) -> DataFrame:
 
 @query("j08_no_overlap_selection", sql("SELECT track, ticker, entry_date, exit_date FROM x_held"))
 def j08(spark, d) -> DataFrame:
-    closed = K.exits(C.bought(spark, d, C.REAL), C.bars(spark, d), C.REAL)
-    return R.no_overlap_selection(closed, entry="entry_date", release="exit_date").select("track", "ticker", "entry_date", "exit_date")
+    return K.held_trades(C.bought(spark, d, C.REAL), C.bars(spark, d), C.REAL).select("track", "ticker", "entry_date", "exit_date")
 
 
 @query("j09_forward_topk", sql(f"""SELECT ticker, anchor_date, {r('score')} score FROM (SELECT ticker, date anchor_date, close / ma score, adv
@@ -306,7 +305,7 @@ def k09(spark, d) -> DataFrame:
 
 @query("k10_trailing_stop", sql("SELECT track, ticker, entry_date, stop_date, stop_close FROM x_hit"))
 def k10(spark, d) -> DataFrame:
-    return K.trailing_stop(C.bought(spark, d, C.REAL), C.bars(spark, d), 0.18)
+    return K.trailing_stop(cut(K.open_trades(C.scores(spark, d), C.bars(spark, d), C.REAL)), C.bars(spark, d), 0.18)
 
 
 @query("k11_forced_close", sql("""SELECT a.ticker, a.anchor_date entry_date, coalesce(b.date, (SELECT max(date) FROM bars)) exit_date,

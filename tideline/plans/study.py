@@ -13,10 +13,10 @@ from tideline.operators.features import compute_features
 from tideline.operators.governance import trial_count
 from tideline.operators.inference import (bootstrap_ci, effective_sample_size, paired_gap, paired_returns, se_widening)
 from tideline.operators.joins import per_seed
-from tideline.operators.ledger import open_trades, sleeve_equity_curve, trade_ledger
+from tideline.operators.ledger import fixed_exit, open_trades, sleeve_equity_curve, trade_ledger
 from tideline.operators.metrics import compute_summary
 from tideline.operators.models import ModelConfig, fit_track, score_track
-from tideline.operators.ranking import forward_topk, random_score, weekly_topk
+from tideline.operators.ranking import forward_topk, random_score, rank_bounds, reachable
 from tideline.operators.splits import resolved_before
 from tideline.session import cut
 
@@ -29,16 +29,17 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
                       base_seed: int = 0, cfg: LedgerConfig = FREE) -> tuple[DataFrame, DataFrame]:
     """(summary, ledger) per holding period and seed; all seeds run as rows of one job.
 
-    What can be bought does not depend on the seed, so it is sized and priced once (orders are not halted here). Seeds
-    multiply keys and dates only; the top-k filter prunes each seed's rows before the shuffle.
+    What can be bought and when it is sold do not depend on the seed, so both are found once (orders are not halted here).
+    Seeds multiply keys and dates only; the rank filter prunes each seed's rows before the shuffle.
     """
     cells = F.array(*[F.struct(F.lit(h).alias("hold_days"), F.col(f"resolution_date_{h}d").alias("resolution_date"))
                       for h in horizons])
     base = labels.select("ticker", "anchor_date", "anchor_close", "anchor_idx", "adv20_usd", F.inline(cells))
-    opened = cut(open_trades(base, bars, replace(cfg, halt_risk=False), ("hold_days",)))
+    opened = cut(fixed_exit(open_trades(base, bars, replace(cfg, halt_risk=False), ("hold_days",)), bars))
+    bounds = cut(rank_bounds(opened, cfg.max_new_per_week, ("hold_days",), "entry_date", "exit_date"))
     drawn = per_seed(opened.select("hold_days", "ticker", F.col("entry_date").alias("anchor_date")), n_seeds, base_seed)
-    top = weekly_topk(drawn.withColumn("score", random_score("seed")), cfg.max_new_per_week, SEED_KEYS)
-    bought = cut(top.withColumnRenamed("anchor_date", "entry_date").join(opened, ["hold_days", "ticker", "entry_date"]))
+    drawn = drawn.withColumn("score", random_score("seed")).withColumnRenamed("anchor_date", "entry_date")
+    bought = cut(reachable(drawn, bounds, SEED_KEYS, "entry_date").join(opened, ["hold_days", "ticker", "entry_date"]))
     led = cut(trade_ledger(bought, bars, cfg, SEED_KEYS))
     return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS), led, SEED_KEYS), led
 
