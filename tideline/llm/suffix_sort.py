@@ -42,7 +42,7 @@ WORD = 8  #: bytes of a word's hash
 SHALLOW = 16  #: bytes ordered by multikey quicksort
 CROWD = 50_000
 CROWDED_MOST = 200_000  #: grams in a broadcast list
-BATCH = 1 << 21
+BATCH = 1 << 20
 
 ANCHOR_SCHEMA = "doc_id bigint, digest binary, n_bytes bigint, long boolean, wordy boolean, anchors array<struct<gram:bigint,at:int,low:int,high:int>>"
 CONTEXT_SCHEMA = "gram bigint, digest binary, at int, low int, high int, left binary, right binary"
@@ -93,11 +93,18 @@ def word_hashes(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     """WORD bytes for each word of all texts, and the bytes of each text: a polynomial of the word's bytes, mixed."""
     data, first, end, many = word_places(texts)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(data) + 1, _ODD))
-        total = np.append(np.uint64(0), np.cumsum(power[:-1] * (data.astype(np.uint64) + np.uint64(0x1F3))))
+        total = np.zeros(len(data) + 1, np.uint64)
+        power = np.full(len(data) + 1, _ODD)
+        np.cumprod(power, out=power)
+        total[1:] = data
+        total[1:] += np.uint64(0x1F3)
+        total[1:] *= power[:-1]
+        np.cumsum(total, out=total)
+        h = total[end] - total[first]
         # Sums of powers from the word's place on, brought to place 0 by the inverse powers.
-        back = np.cumprod(np.full(len(data) + 1, _ODD_INVERSE))
-        h = (total[end] - total[first]) * back[first] + (end - first).astype(np.uint64)
+        power[:] = _ODD_INVERSE
+        np.cumprod(power, out=power)
+        h = h * power[first] + (end - first).astype(np.uint64)
         for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
             h ^= h >> np.uint64(shift)
             h *= np.uint64(factor)
