@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.config import BARRIER_PAIRS, StudyConfig, pct_tag
 from tideline.functions.exprs import by_ticker, finite, flag, frame
 from tideline.operators.quality import with_bar_index
-
+from tideline.operators.ranges import Table, plus, with_tables
 
 
 def eligible_bars(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFrame:
@@ -20,16 +20,21 @@ def eligible_bars(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFram
     )
 
 
+def mark_anchors(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFrame:
+    """All bars with idx and anchor: the last eligible bar of each ISO week with at least min_week_bars eligible bars."""
+    n = F.count("*").over(Window.partitionBy("ticker"))
+    ok = (F.col("idx") >= cfg.warmup) & (F.col("idx") < F.col("_n_bars") - cfg.max_horizon - 1)
+    week = Window.partitionBy("ticker", "_week")
+    b = with_bar_index(bars).withColumns({"_n_bars": n, "_week": F.date_trunc("week", F.col("date")).cast("date")})
+    b = b.withColumn("_ok", ok).withColumns({
+        "_n": F.count_if("_ok").over(week), "_last": F.max(F.when(F.col("_ok"), F.col("date"))).over(week)})
+    chosen = F.col("_ok") & (F.col("_n") >= cfg.min_week_bars) & (F.col("date") == F.col("_last"))
+    return b.withColumn("anchor", F.coalesce(chosen, F.lit(False))).drop("_n_bars", "_week", "_ok", "_n", "_last")
+
+
 def weekly_anchors(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFrame:
     """Last eligible bar of each ISO week with at least min_week_bars eligible bars."""
-    week = F.date_trunc("week", F.col("date")).cast("date")
-    w = Window.partitionBy("ticker", "week")
-    return (
-        eligible_bars(bars, cfg).withColumn("week", week)
-        .withColumn("_n", F.count("*").over(w)).withColumn("_last", F.max("date").over(w))
-        .filter((F.col("_n") >= cfg.min_week_bars) & (F.col("date") == F.col("_last")))
-        .drop("_n", "_last", "n_bars", "week")
-    )
+    return mark_anchors(bars, cfg).filter("anchor").drop("anchor")
 
 
 def ma_extension(window: int = 250) -> Column:
@@ -63,30 +68,25 @@ def resolution_date(h: int) -> Column:
     return F.lead("date", h).over(by_ticker())
 
 
-def mfe(h: int) -> Column:
-    """Peak unrealised gain over the next h closes, at least 0."""
-    best = F.max("close").over(frame(1, h)) / F.col("close") - 1.0
-    return F.when(F.col("close") > 0, F.greatest(F.lit(0.0), best)).otherwise(0.0)
-
-
-def mae(h: int) -> Column:
-    """Peak unrealised loss over the next h closes, at most 0."""
-    worst = F.min("close").over(frame(1, h)) / F.col("close") - 1.0
-    return F.when(F.col("close") > 0, F.least(F.lit(0.0), worst)).otherwise(0.0)
+#: Bars of one block of a window join.
+BLOCK = 252
 
 
 def anchor_windows(bars: DataFrame, anchors: DataFrame, lo: int, hi: int, cols: list[str]) -> DataFrame:
     """Every anchor row with the bars at offsets lo..hi around it, as ``off`` and ``cols``.
 
-    An equi-join on ticker with a bound on the position. Both sides arrive hash-partitioned by
-    ticker, the pairs are never stored but flow into the aggregate that follows, and only anchors
-    pay for their window: a sliding frame would evaluate it for every bar.
+    Both sides are keyed by ticker and block of BLOCK bars, an anchor once for each block that its window meets, so an
+    anchor meets at most those blocks, whatever the length of the history, and a long ticker is spread over tasks. The
+    pairs are never stored but flow into the aggregate that follows, and only anchors pay for their window: a sliding
+    frame would evaluate it for every bar.
     """
-    b = bars.select(F.col("ticker").alias("_bticker"), F.col("idx").alias("_bidx"),
+    block = lambda i: F.floor(i / BLOCK)
+    b = bars.select(F.col("ticker").alias("_bticker"), F.col("idx").alias("_bidx"), block(F.col("idx")).alias("_bblock"),
                     *[F.col(c).alias(f"w_{c}") for c in cols])
+    a = anchors.withColumn("_block", F.explode(F.sequence(block(F.col("anchor_idx") + lo), block(F.col("anchor_idx") + hi))))
     off = F.col("_bidx") - F.col("anchor_idx")
-    joined = anchors.join(b, (F.col("ticker") == F.col("_bticker")) & off.between(lo, hi))
-    return joined.withColumn("off", off).drop("_bidx", "_bticker")
+    joined = a.join(b, (F.col("ticker") == F.col("_bticker")) & (F.col("_block") == F.col("_bblock")) & off.between(lo, hi))
+    return joined.withColumn("off", off).drop("_bidx", "_bticker", "_block", "_bblock")
 
 
 def path_label_columns(h: int) -> dict[str, Column]:
@@ -117,25 +117,31 @@ def anchor_frame(bars: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFrame
 
 
 def build_labels(bars: DataFrame, cfg: StudyConfig = StudyConfig(), prefilter_only: bool = False) -> DataFrame:
-    """All labels of every weekly anchor, in one pass over the anchor windows."""
-    anchors = anchor_frame(bars, cfg)
-    reach = max(cfg.ma_window, cfg.adv_window) - 1
-    win = anchor_windows(with_bar_index(bars), anchors, -reach, cfg.max_horizon, ["date", "close", "volume"])
-    off, close = F.col("off"), F.col("w_close")
-    aggs = [
-        F.avg(F.when(off.between(1 - cfg.ma_window, 0), close)).alias("_ma"),
-        F.count(F.when(off.between(1 - cfg.ma_window, 0), close)).alias("_ma_n"),
-        F.avg(F.when(off.between(1 - cfg.adv_window, 0), close * F.col("w_volume"))).alias("adv20_usd"),
-    ]
-    for h in cfg.horizons:
-        ahead = off.between(1, h)
-        aggs += [
-            F.max(F.when(off == h, close)).alias(f"_end_{h}"),
-            F.max(F.when(off == h, F.col("w_date"))).alias(f"resolution_date_{h}d"),
-            F.max(F.when(ahead, close)).alias(f"_hi_{h}"),
-            F.min(F.when(ahead, close)).alias(f"_lo_{h}"),
-        ]
-    g = win.groupBy("ticker", "anchor_date", "anchor_close", "anchor_idx").agg(*aggs)
+    """All labels of every weekly anchor from doubling tables over its ticker's bars: any horizon is two look-ups, any mean
+    a few. A ticker's bars are one row of arrays, as long as the calendar; look-ups are made at anchors only."""
+    row = F.struct("date", "close", "volume", "idx", "anchor")
+    packed = mark_anchors(bars, cfg).groupBy("ticker").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    paths = packed.select("ticker", "p", F.col("p.date").alias("_dates"), F.col("p.close").alias("_closes"),
+                          F.transform("p", lambda x: x["close"] * x["volume"]).alias("_dollars"))
+    close, dollars = F.col("_closes"), F.col("_dollars")
+    counted = lambda a: F.transform(a, lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+    hi, lo = Table("hi", close, F.greatest, cfg.max_horizon), Table("lo", close, F.least, cfg.max_horizon)
+    total, n = Table("sum", close, plus, cfg.ma_window), Table("n", counted(close), plus, cfg.ma_window)
+    usd, n_usd = Table("usd", dollars, plus, cfg.adv_window), Table("n_usd", counted(dollars), plus, cfg.adv_window)
+
+    def look(x: Column) -> Column:
+        i = x["idx"]
+        mean = lambda t, c, w: t.total(i - (w - 1), w) / F.nullif(c.total(i - (w - 1), w), F.lit(0.0))
+        found = {"anchor_date": x["date"], "anchor_close": x["close"], "anchor_idx": i,
+                 "_ma": mean(total, n, cfg.ma_window), "_ma_n": n.total(i - (cfg.ma_window - 1), cfg.ma_window),
+                 "adv20_usd": mean(usd, n_usd, cfg.adv_window)}
+        for h in cfg.horizons:
+            found |= {f"_end_{h}": F.get(close, i + h), f"resolution_date_{h}d": F.get(F.col("_dates"), i + h),
+                      f"_hi_{h}": hi.extreme(i + 1, h), f"_lo_{h}": lo.extreme(i + 1, h)}
+        return F.struct(*[c.alias(k) for k, c in found.items()])
+
+    chosen = F.filter("p", lambda x: x["anchor"] & (x["close"] > 0))
+    g = with_tables(paths, [hi, lo, total, n, usd, n_usd]).select("ticker", F.inline(F.transform(chosen, look)))
     base = F.col("anchor_close")
     g = g.withColumn("ratio_ma250", F.when(F.col("_ma_n") == cfg.ma_window, base / F.col("_ma")))
     level1 = {"prefilter_ma250_15": flag(F.col("ratio_ma250") > cfg.ma_extension).cast("tinyint")}

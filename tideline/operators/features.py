@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.exprs import by_ticker, frame, zero_if_bad
 from tideline.operators.anchors import anchor_windows
 from tideline.operators.quality import with_bar_index
+from tideline.operators.ranges import Table, deeper, deepest, falling, with_tables
 
 # The feature names, in the order models expect them.
 FEATURE_COLS = [
@@ -32,6 +33,7 @@ FEATURE_COLS = [
 ]
 
 LOOKBACK = 252
+PATHS = ["hi252", "hi60", "hi21", "lo60", "dd252", "days_since_252d_high", "days_since_60d_high", "dd_count_5pct_120d"]
 ANNUAL = math.sqrt(252.0)
 # Offset k is k bars before the anchor minus one, so ret_252d reaches the first bar of the window.
 RETURN_OFFSETS = {"ret_1d": 1, "ret_5d": 5, "ret_21d": 21, "ret_63d": 63, "ret_126d": 126, "ret_252d": 251}
@@ -86,18 +88,6 @@ def prepare_series(bars: DataFrame, market: DataFrame | None = None) -> DataFram
                     F.when(F.col("close") > F.col("ma200"), 1.0).otherwise(0.0).alias("above200"))
 
 
-def drawdown_fold(path: Column) -> Column:
-    """Deepest close/peak - 1 along an array of closes."""
-    zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("low"))
-
-    def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["low"], F.try_divide(x, peak) - 1.0).alias("low"))
-
-    # A window that starts at zero has no scale to fall from.
-    return F.when(path[0] > 0, F.aggregate(path, zero, step, lambda acc: acc["low"])).otherwise(0.0)
-
-
 def drawdown_entries(path: Column, enter: float = -0.05, leave: float = -0.005) -> Column:
     """How often an array of closes falls into a drawdown, re-armed once it has recovered."""
     zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0).alias("inside"), F.lit(0).alias("n"))
@@ -116,18 +106,13 @@ def drawdown_entries(path: Column, enter: float = -0.05, leave: float = -0.005)
     return F.aggregate(path, zero, step, lambda acc: acc["n"].cast("double"))
 
 
-def bars_since_high(path: Column) -> Column:
-    """Bars since the earliest maximum of an array."""
-    return (F.size(path) - F.array_position(path, F.array_max(path))).cast("double")
-
-
 def ticker_paths(bars: DataFrame, cols: list[str]) -> DataFrame:
     """One row per ticker with its columns as arrays in date order.
 
     A ticker has one bar per date, so an array is as long as the calendar (2,500 entries in ten
     years) and cannot be made longer by a busy ticker.
     """
-    packed = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", *cols))).alias("p"))
+    packed = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", *cols))).alias("p"))
     return packed.select("ticker", *[F.col("p")[c].alias(f"{c}_path") for c in cols])
 
 
@@ -149,17 +134,27 @@ def anchor_slices(bars: DataFrame, anchors: DataFrame, cols: list[str], length:
 
 
 def path_features(bars: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The four features that depend on the order of the closes."""
-    s = anchor_slices(bars, anchors, ["close"])
-    w = F.col("close_w")
-    tail = lambda n: F.slice(w, LOOKBACK - n + 1, n)
-    return s.select(
-        "ticker", "anchor_date", "anchor_idx",
-        drawdown_fold(w).alias("max_dd_252d"),
-        bars_since_high(w).alias("days_since_252d_high"),
-        drawdown_entries(tail(120)).alias("dd_count_5pct_120d"),
-        bars_since_high(tail(60)).alias("days_since_60d_high"),
-    )
+    """Anchors with a full lookback and what depends on the order of the closes: highs, lows and falls by doubling tables
+    over the ticker's closes, entries into drawdowns by a fold. Look-ups are made at anchors only."""
+    keys = [c for c in anchors.columns if c != "ticker"]
+    grouped = anchors.filter(F.col("anchor_idx") >= LOOKBACK - 1).groupBy("ticker").agg(F.collect_list(F.struct(*keys)).alias("a"))
+    paths = grouped.join(ticker_paths(bars, ["close"]), "ticker")
+    close = F.col("close_path")
+    placed = F.transform(close, lambda c, i: F.struct(c.alias("close"), (-i).alias("back")))  # the earliest of equal highs
+    top, low = Table("top", placed, F.greatest, LOOKBACK), Table("low", close, F.least, 60)
+    fall = Table("fall", falling(close), deeper, LOOKBACK)
+
+    def look(x: Column) -> Column:
+        i = x["anchor_idx"]
+        behind = lambda t, n: t.extreme(i - (n - 1), n)
+        since = lambda n: (i + behind(top, n)["back"]).cast("double")
+        found = {"hi252": behind(top, LOOKBACK)["close"], "hi60": behind(top, 60)["close"], "hi21": behind(top, 21)["close"],
+                 "lo60": behind(low, 60), "dd252": deepest(fall.parts(i - (LOOKBACK - 1), LOOKBACK)),
+                 "days_since_252d_high": since(LOOKBACK), "days_since_60d_high": since(60),
+                 "dd_count_5pct_120d": drawdown_entries(F.slice(close, i - 118, 120))}
+        return F.struct(*[x[k].alias(k) for k in keys], *[c.alias(k) for k, c in found.items()])
+
+    return with_tables(paths, [top, low, fall]).select("ticker", F.inline(F.transform("a", look)))
 
 
 def _window_aggregates() -> list[Column]:
@@ -176,7 +171,6 @@ def _window_aggregates() -> list[Column]:
     aggs |= {
         "sd_r_prior": F.stddev_pop(F.when(off.between(-119, -30), r)),
         "skew": F.skewness(last(251, r)), "kurt": F.kurtosis(last(251, r)),
-        "hi252": F.max(c), "hi21": F.max(last(21, c)), "hi60": F.max(last(60, c)), "lo60": F.min(last(60, c)),
         "ma20": F.avg(last(20, c)), "ma50": F.avg(last(50, c)), "ma200": F.avg(last(200, c)),
         "sd20": F.stddev_pop(last(20, c)),
         "ldv0": at(0, ldv), "ldv_avg": F.avg(ldv), "ldv_sd": F.stddev_pop(ldv),
@@ -204,9 +198,11 @@ def _features_from_aggregates() -> dict[str, Column]:
         f[name] = F.when(a(f"c{k}") > 0, F.ln(F.when(a("c0") > 0, a("c0") / a(f"c{k}")))).otherwise(0.0)
     for n, k in (("21d", 21), ("63d", 63), ("252d", 251)):
         f[f"vol_{n}"] = a(f"sd_r{k}") * ANNUAL
-    f["pct_from_252d_high"] = F.try_divide(a("c0"), a("hi252")) - 1.0
+    # A window that starts at zero has no scale to fall from.
+    f["max_dd_252d"] = F.when(a("c251") > 0, F.col("dd252")).otherwise(0.0)
+    f["pct_from_252d_high"] = F.try_divide(a("c0"), F.col("hi252")) - 1.0
     f["current_dd_from_peak"] = F.when(a("c251") > 0, f["pct_from_252d_high"])
-    f["pct_from_21d_high"] = F.try_divide(a("c0"), a("hi21")) - 1.0
+    f["pct_from_21d_high"] = F.try_divide(a("c0"), F.col("hi21")) - 1.0
     for n in (20, 50, 200):
         f[f"ratio_ma{n}"] = F.when(a(f"ma{n}") > 0, a("c0") / a(f"ma{n}")).otherwise(1.0)
     f["log_dollar_vol_z252"] = (a("ldv0") - a("ldv_avg")) / (a("ldv_sd") + 1e-9)
@@ -226,8 +222,8 @@ def _features_from_aggregates() -> dict[str, Column]:
     ssr = F.greatest(a("syy60") - a("slope60") * a("slope60") * a("sxx60"), F.lit(0.0))
     f["trendline_residual_z_60"] = (a("lp0") - a("icpt60")) / (F.sqrt(ssr / 60.0) + 1e-12)
     f["r2_log_60"] = 1.0 - ssr / (a("syy60") + 1e-12)
-    f["pct_from_60d_high"] = F.try_divide(a("c0"), a("hi60")) - 1.0
-    f["pct_from_60d_low"] = F.try_divide(a("c0"), a("lo60")) - 1.0
+    f["pct_from_60d_high"] = F.try_divide(a("c0"), F.col("hi60")) - 1.0
+    f["pct_from_60d_low"] = F.try_divide(a("c0"), F.col("lo60")) - 1.0
     f["swing_count_60d"] = a("swings")
     f["bb_width_pct_20"] = 4.0 * (a("sd20") + 1e-12) / F.greatest(a("ma20"), F.lit(1e-9))
     f["vol_of_vol_ratio_30_120"] = (a("sd_r30") + 1e-12) / (a("sd_r_prior") + 1e-12)
@@ -239,14 +235,13 @@ def _features_from_aggregates() -> dict[str, Column]:
 def compute_features(bars: DataFrame, anchors: DataFrame, market: DataFrame | None = None) -> DataFrame:
     """The 40 features of every anchor (ticker, anchor_date, anchor_idx).
 
-    Anchors without a full window, or whose ticker has no bars, vanish. Order-free features come from
-    one hash aggregate over the anchor windows, the order-dependent ones from folds over slices.
-    Ticker is the only key that is shuffled on.
+    Anchors without a full window, or whose ticker has no bars, vanish. Extremes and falls come from doubling tables over
+    the bars, sums and moments from one hash aggregate over the anchor windows, and a fold over slices counts drawdowns.
     """
     folds = path_features(bars, anchors)
     series = prepare_series(bars, market)
-    keys = ["ticker", "anchor_date", "anchor_idx",
-            "max_dd_252d", "days_since_252d_high", "dd_count_5pct_120d", "days_since_60d_high"]
+    keys = ["ticker", "anchor_date", "anchor_idx", *PATHS]
+    folds = folds.select(*keys)
     win = anchor_windows(series, folds, 1 - LOOKBACK, 0, ["close", "volume", "r", "mr", "swing", "above200"])
     g = win.groupBy(*keys).agg(*_window_aggregates())
     feats = _features_from_aggregates()
