@@ -13,9 +13,11 @@ from tideline.operators import joins as J
 from tideline.operators import ledger as K
 from tideline.operators import metrics as M
 from tideline.operators import models as ML
+from tideline.operators import moments as MO
 from tideline.operators import ranking as R
 from tideline.operators import splits as S
 from tideline.operators import vectors as V
+from tideline.operators.features import FEATURE_COLS
 from tideline.plans import common as C
 from tideline.plans import reports as P
 from tideline.plans import study as ST
@@ -107,7 +109,6 @@ def h09(spark, d) -> DataFrame:
 
 # --- I: models -----------------------------------------------------------------------------------
 
-SMALL = ML.ModelConfig(pca_dim=8, lr_iterations=50, trees=5, max_depth=3, min_leaf_rows=5)
 
 
 def _training(spark, d) -> DataFrame:
@@ -119,26 +120,52 @@ def _training(spark, d) -> DataFrame:
         "resolution_date", F.col("resolution_date_40d"))
     vec = V.chart_vectors(bars, a).select(*keys, "chart").join(
         V.volume_vectors(bars, a).select(*keys, "volume_vector"), keys)
-    rows = C.features(spark, d).drop("anchor_idx").join(lab, keys).join(vec, keys)
-    return cut(ML.with_vectors(rows))
+    return cut(C.features(spark, d).drop("anchor_idx").join(lab, keys).join(vec, keys))
 
 
-@query("i01_standardise")
+_UNNESTED = "SELECT vec_id, unnest(range(0, len(embedding))) component, unnest(embedding)::DOUBLE x FROM embeddings"
+
+
+def _embedding_moments(spark, d) -> tuple[DataFrame, MO.Moments]:
+    e = T.table(spark, d, "embeddings").withColumn("_fold", F.lit(0))
+    return e, MO.expanding(MO.moments_by_fold(e, "_fold", "embedding"), [0])[0]
+
+
+@query("i01_standardise", f"""SELECT vec_id, CAST(component AS INT) component, {r('(x - avg(x) OVER w) / stddev_pop(x) OVER w')} scaled FROM ({_UNNESTED})
+    WINDOW w AS (PARTITION BY component)""")
 def i01(spark, d) -> DataFrame:
-    from pyspark.ml.feature import StandardScaler
+    e, m = _embedding_moments(spark, d)
+    mean, sd = (F.array(*map(F.lit, x.tolist())) for x in (m.mean, m.deviation))
+    scaled = F.transform("embedding", lambda x, i: (x.cast("double") - F.get(mean, i)) / F.get(sd, i))
+    return e.select("vec_id", F.posexplode(scaled).alias("component", "scaled")).withColumn("scaled", rnd("scaled"))
 
-    v = V.to_vector(T.table(spark, d, "embeddings"), "embedding")
-    out = StandardScaler(inputCol="vector", outputCol="s", withMean=True, withStd=True).fit(v).transform(v)
-    return out.select("vec_id", ML.vector_to_array("s").alias("scaled"))
+
+@query("i01_fold_moments", sql(f"""SELECT fold_year, CAST(component AS INT) component, count(*) n_rows, {r('avg(x)')} mean, {r('stddev_pop(x)')} deviation FROM (
+    SELECT f.fold_year, unnest(range(0, {len(FEATURE_COLS)})) component, unnest([{', '.join(f'z.{c}' for c in FEATURE_COLS)}]) x
+    FROM folds f JOIN clean z USING (ticker, anchor_date) WHERE role = 'train') GROUP BY ALL""", folds=_FOLDS,
+    clean="SELECT ticker, anchor_date, " + ", ".join(f"coalesce(CASE WHEN isfinite({c}) THEN {c} END, 0)::DOUBLE {c}" for c in FEATURE_COLS) + " FROM feats"))
+def i01b(spark, d) -> DataFrame:
+    rows = C.features(spark, d).drop("anchor_idx").join(C.lean(spark, d), ["ticker", "anchor_date"]).select(
+        MO.first_fold(YEARS, H).alias("_first"), F.array(*FEATURE_COLS).alias("v"))
+    return C.rounded(MO.moment_table(spark, MO.expanding(MO.moments_by_fold(rows, "_first", "v"), YEARS)), ["mean", "deviation"])
 
 
 @query("i02_pca")
 def i02(spark, d) -> DataFrame:
-    from pyspark.ml import Pipeline
+    e, m = _embedding_moments(spark, d)
+    return e.select("vec_id", MO.projected(["embedding"], [MO.Basis.of(m, 16)]).alias("components"))
+
 
-    v = V.to_vector(T.table(spark, d, "embeddings"), "embedding")
-    out = Pipeline(stages=ML.vector_block("vector", "pc", 16)).fit(v).transform(v)
-    return out.select("vec_id", ML.vector_to_array("pc").alias("components"))
+# What any right answer shows: all variance kept, in falling order, by unit axes at right angles that the correlations only stretch.
+@query("i02_pca_checks", f"""SELECT 'variance' "check", {r('sum(s * s) / (SELECT count(*) FROM embeddings)')} "value" FROM (
+    SELECT (x - avg(x) OVER w) / stddev_pop(x) OVER w s FROM ({_UNNESTED}) WINDOW w AS (PARTITION BY component))
+    UNION ALL SELECT unnest(['disorder', 'angle', 'bend']), 0.0""")
+def i02b(spark, d) -> DataFrame:
+    e, m = _embedding_moments(spark, d)
+    b = MO.Basis.of(m, len(m.mean))
+    kept = e.select(F.explode(F.transform(MO.projected(["embedding"], [b]), lambda x: x * x)).alias("s")).agg(
+        (F.sum("s") / F.lit(m.n)).alias("value")).select(F.lit("variance").alias("check"), rnd("value").alias("value"))
+    return kept.unionByName(spark.createDataFrame([(k, round(v, 6) + 0.0) for k, v in b.errors(m).items()], "check string, value double"))
 
 
 @query("i03_balanced_weights", "SELECT label % 2 target, count(*) n, " + r(
@@ -159,8 +186,7 @@ def i05(spark, d) -> DataFrame:
 
 
 def _scores(spark, d, *tracks: str) -> DataFrame:
-    folds = S.yearly_folds(_training(spark, d), [2000, 2001], H)
-    return ML.score_folds(folds, "y", tracks, min_train=50, cfg=SMALL)
+    return ML.score_folds(_training(spark, d), "y", YEARS, H, tracks)
 
 
 @query("i07_lr_baseline")
@@ -705,11 +731,9 @@ def o02(spark, d) -> DataFrame:
 
 @query("o03_weekly_forward_picks")
 def o03(spark, d) -> DataFrame:
-    from tideline.config import StudyConfig
-
     return ST.weekly_forward_picks(
         C.bars(spark, d), T.market_bars(spark, d), "2001-06-15", threshold_pct=10, min_adv=1e6,
-        study=StudyConfig(min_train=50), models=SMALL, prefilter=False)
+        prefilter=False)
 
 
 @query("o04_bars_dedupe_stream", sql(f"""SELECT ticker, date, open, high, low,
