@@ -24,7 +24,7 @@ from tideline.llm.common import ranges
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Bytes of text split at once, and distinct words a worker remembers.
-BATCH, REMEMBERED = 1 << 22, 1 << 18
+BATCH, REMEMBERED = 1 << 20, 1 << 18
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 

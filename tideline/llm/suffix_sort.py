@@ -397,8 +397,15 @@ def repeated_spans(docs: DataFrame, stages: Stages, words: int | None = None) ->
     spans = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted, span=span), FOUND_SCHEMA)
     if crowded:
         strings = stages.cut(contexts.join(crowds, "gram", "left_semi").mapInArrow(partial(_strings, span=span), "string binary, digest binary, start int")).df
-        twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-        spans = spans.unionByName(strings.join(twice, "string").select("digest", "start", (F.col("start") + span).alias("stop")))
+        twice = stages.cut(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1")).df
+        hot = twice.filter(F.col("n") > CROWD).select("string")  # fewer than strings / CROWD
+        many = hot.count()
+        hot = F.broadcast(hot) if many <= CROWDED_MOST else hot
+        few = twice.filter(F.col("n") <= CROWD).select("string")
+        again = (strings.join(hot, "string", "left_anti") if many else strings).join(few, "string", "left_semi")
+        if many:
+            again = again.unionByName(strings.join(hot, "string", "left_semi"))
+        spans = spans.unionByName(again.select("digest", "start", (F.col("start") + span).alias("stop")))
     per_text = stages.cut(spans.groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     found = texts_wanted.df.select("digest", "text").join(per_text.df, "digest")
     cut = stages.cut(found.mapInArrow(partial(_in_bytes, words=words), CUT_SCHEMA) if words else found).df
