@@ -118,12 +118,16 @@ def a08(spark, d) -> DataFrame:
 @query("a09_artifact_sinks", sql(f"""SELECT 'scores' artifact, track, count(*) n, {r('sum(anchor_close)', 2)} total FROM scores GROUP BY track
     UNION ALL SELECT 'labels', 'all', count(*), {r('sum(anchor_close)', 2)} FROM outcomes
     UNION ALL SELECT 'summary', track, count(*), {r('sum(anchor_close)', 2)} FROM scores GROUP BY track
-    UNION ALL SELECT 'headline', 'all', count(*), {r('sum(anchor_close)', 2)} FROM scores"""))
+    UNION ALL SELECT 'headline', 'all', count(*), {r('sum(anchor_close)', 2)} FROM scores
+    UNION ALL SELECT 'features', 'all', count(*), {r('sum(ratio_ma200)', 2)} FROM feats
+    UNION ALL SELECT 'equity', track, count(*), {r('sum(equity)', 2)} FROM f_equity GROUP BY track
+    UNION ALL SELECT 'ledger', track, count(*), {r('sum(cost)', 2)} FROM f_ledger GROUP BY track"""))
 def a09(spark, d) -> DataFrame:
     sc, lab = C.scores(spark, d), C.labels(spark, d)
     base = scratch_path(spark, "run")
     per = sc.groupBy("track").agg(F.count("*").alias("n"), F.sum("anchor_close").alias("total"))
-    paths = artifacts.write_artifacts(base, labels=lab, scores=sc)
+    led = C.ledger(spark, d)
+    paths = artifacts.write_artifacts(base, labels=lab, scores=sc, features=C.features(spark, d), equity=C.equity(spark, d), ledger=led)
     stored = spark.read.parquet(paths["scores"])
     per = stored.groupBy("track").agg(F.count("*").alias("n"), F.sum("anchor_close").alias("total"))
     paths |= artifacts.write_artifacts(base, summary=per, headline=per.agg(
@@ -132,10 +136,17 @@ def a09(spark, d) -> DataFrame:
         F.lit(name).alias("artifact"), track.alias("track"), F.col("n").cast("bigint").alias("n"),
         rnd("total", 2).alias("total"))
     read_csv = spark.read.schema("track string, n bigint, total double").option("header", True).csv(paths["summary"])
+
+    def totals(name: str, col: str, track: str | None = None) -> DataFrame:
+        stored = spark.read.parquet(paths[name]).withColumn("_track", F.col(track) if track else F.lit("all"))
+        return out(stored.groupBy("_track").agg(F.count("*").alias("n"), F.sum(col).alias("total")), name, F.col("_track"))
+
     lab_back = spark.read.parquet(paths["labels"]).agg(F.count("*").alias("n"), F.sum("anchor_close").alias("total"))
     return (out(per, "scores", F.col("track")).unionByName(out(lab_back, "labels", F.lit("all")))
             .unionByName(out(read_csv, "summary", F.col("track")))
-            .unionByName(out(spark.read.schema("n bigint, total double").json(paths["headline"]), "headline", F.lit("all"))))
+            .unionByName(out(spark.read.schema("n bigint, total double").json(paths["headline"]), "headline", F.lit("all")))
+            .unionByName(totals("features", "ratio_ma200")).unionByName(totals("equity", "equity", "track"))
+            .unionByName(totals("ledger", "cost", "track")))
 
 
 @query("a10_sample_tickers", sql("SELECT ticker FROM univ ORDER BY md5('42|' || ticker), ticker LIMIT 8"))

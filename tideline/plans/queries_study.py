@@ -26,6 +26,7 @@ from tideline.plans.checks import (CTES, FLAT, PHI, REAL, TIER, draws_cte, equit
 from tideline.plans.registry import query
 from tideline.session import cut, scratch_path
 from tideline.sources import bars as B, tables as T
+from tideline.sources.artifacts import write_artifacts
 from tideline.streaming import settle as Z
 
 # --- H: splits -----------------------------------------------------------------------------------
@@ -483,6 +484,21 @@ def l12(spark, d) -> DataFrame:
     return M.leaderboard(C.summary(spark, d)).withColumn("end_equity", rnd("end_equity", 2)).withColumn("cagr", rnd("cagr"))
 
 
+def _fitted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Ledger and equity of a fitted track next to the baselines, on the dates that the fitted track was scored for."""
+    model = _scores(spark, d, "gbt_engineered").drop("fold_year")
+    dates = model.select("anchor_date").distinct()
+    scored = cut(model.unionByName(C.scores(spark, d).join(dates, "anchor_date", "left_semi")))
+    led = cut(K.trade_ledger(cut(K.purchases(scored, C.bars(spark, d))), C.bars(spark, d)))
+    return led, cut(K.sleeve_equity_curve(led, C.bars(spark, d)))
+
+
+@query("l12_leaderboard_fitted")
+def l12b(spark, d) -> DataFrame:
+    led, eq = _fitted(spark, d)
+    return M.leaderboard(M.compute_summary(eq, led))
+
+
 @query("l13_cost_impact", sql(f"""SELECT track, {r('a.cagr')} cagr_flat, {r('b.cagr')} cagr_real, {r('b.cagr - a.cagr')} delta_cagr,
     {r('b.max_drawdown - a.max_drawdown')} delta_drawdown FROM f_summary a JOIN x_summary b USING (track)"""))
 def l13(spark, d) -> DataFrame:
@@ -490,6 +506,14 @@ def l13(spark, d) -> DataFrame:
                      ["cagr_flat", "cagr_real", "delta_cagr", "delta_drawdown"])
 
 
+@query("l13_recosted_scores", sql(_summary_sql("costed", keys="rules, track"), costed="""SELECT 'flat' rules, * FROM f_summary
+    UNION ALL SELECT 'real', * FROM x_summary"""))
+def l13b(spark, d) -> DataFrame:
+    path = scratch_path(spark, "scores")
+    write_artifacts(path, scores=C.scores(spark, d))
+    return _summary_out(ST.recost(spark, f"{path}/scores", C.bars(spark, d), {"flat": C.FLAT, "real": C.REAL}), keys=("rules", "track"))
+
+
 @query("l14_oos_report", sql(_summary_sql("o_summary", keys="track, 'final' \"label\", 'oos_only_last_fold' report_type"),
     o_eq="SELECT * FROM f_equity WHERE year(date) = 2001", o_led="SELECT * FROM f_ledger WHERE year(entry_date) = 2001",
     **summary_ctes("o_summary", "o_eq", "o_led")))
@@ -568,17 +592,20 @@ def m05(spark, d) -> DataFrame:
                      ["gap_annualized", "gap_lo", "gap_med", "gap_hi", "p_value_gap_le_0"])
 
 
-_EMAX = "(sqrt(2 * ln(108)) - (ln(ln(108)) + 0.5772156649) / sqrt(2 * ln(108)))"
+_TRIALS = """SELECT event_id, ts, event_type model, 'ret_' || (user_id % 6) "label", user_id % 6 horizon_d,
+    CASE WHEN user_id % 5 <> 4 THEN user_id % 5 END threshold_q, 'all' universe, "value" headline_sharpe FROM events"""
+_NTRIALS = f"""SELECT greatest(count(*), 1) k FROM (SELECT DISTINCT model, "label", horizon_d, threshold_q, universe FROM ({_TRIALS}))"""
+_EMAX = "(SELECT CASE WHEN k <= 1 THEN 0 WHEN k <= 2 THEN sqrt(2 * ln(k)) ELSE sqrt(2 * ln(k)) - (ln(ln(k)) + 0.5772156649) / sqrt(2 * ln(k)) END FROM ntrials)"
 
 
 @query("m06_deflated_sharpe", sql(f"""SELECT track, {r('sr')} observed_sharpe_daily, {r('thr * sqrt(252)')} deflated_sharpe_threshold_annualized,
     {r(PHI('z'))} deflated_sharpe_p_value_significant FROM (SELECT *, (sr - thr) * sqrt(n - 1) / sqrt(1 + 0.5 * sr * sr) z FROM (
     SELECT *, {_EMAX} * sqrt((1 + 0.5 * sr * sr) / (n - 1)) thr FROM (
-    SELECT track, sharpe_annualized / sqrt(252) sr, (SELECT count(DISTINCT date) - 1 FROM bars) n FROM f_summary)))"""))
+    SELECT track, sharpe_annualized / sqrt(252) sr, (SELECT count(DISTINCT date) - 1 FROM bars) n FROM f_summary)))""", ntrials=_NTRIALS))
 def m06(spark, d) -> DataFrame:
     e = cut(C.equity(spark, d))
     s = M.equity_summary(e).join(e.groupBy("track").agg((F.count("*") - 1).alias("n_obs")), "track")
-    out = I.deflated_sharpe(s, n_trials=F.lit(108))
+    out = I.deflated_sharpe(s, n_trials=G.trial_count(T.trial_log(spark, d)).scalar())
     cols = ["observed_sharpe_daily", "deflated_sharpe_threshold_annualized", "deflated_sharpe_p_value_significant"]
     return C.rounded(out.select("track", *cols), cols)
 
@@ -612,10 +639,6 @@ def m09(spark, d) -> DataFrame:
     return C.rounded(p, ["pre_tax_cagr", "post_tax_cagr", "blended_rate", "years"])
 
 
-_TRIALS = """SELECT event_id, ts, event_type model, 'ret_' || (user_id % 6) "label", user_id % 6 horizon_d,
-    CASE WHEN user_id % 5 <> 4 THEN user_id % 5 END threshold_q, 'all' universe, "value" headline_sharpe FROM events"""
-
-
 @query("m10_trial_count", f"""SELECT greatest(count(*), 1) n_trials FROM (SELECT DISTINCT model, "label", horizon_d, threshold_q, universe FROM ({_TRIALS}))""")
 def m10(spark, d) -> DataFrame:
     return G.trial_count(T.trial_log(spark, d))
@@ -676,9 +699,8 @@ def n03b(spark, d) -> DataFrame:
 
 @query("n04_report_card_rows")
 def n04(spark, d) -> DataFrame:
-    led = C.ledger(spark, d)
-    eq = cut(K.sleeve_equity_curve(led, C.bars(spark, d)))
-    return ST.report_card_rows(M.compute_summary(eq, led), eq, led, T.trial_log(spark, d), "rank_252d_return",
+    led, eq = _fitted(spark, d)
+    return ST.report_card_rows(M.compute_summary(eq, led), eq, led, T.trial_log(spark, d), "gbt_engineered",
                                "rank_inv_60d_vol", N_BOOT, BLOCK)
 
 

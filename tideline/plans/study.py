@@ -13,7 +13,7 @@ from tideline.operators.features import compute_features
 from tideline.operators.governance import trial_count
 from tideline.operators.inference import (bootstrap_ci, effective_sample_size, paired_gap, paired_returns, se_widening)
 from tideline.operators.joins import per_seed
-from tideline.operators.ledger import fixed_exit, open_trades, sleeve_equity_curve, trade_ledger
+from tideline.operators.ledger import fixed_exit, open_trades, purchases, sleeve_equity_curve, trade_ledger
 from tideline.operators.metrics import compute_summary
 from tideline.operators.models import ModelConfig, fit_track, score_track
 from tideline.operators.ranking import forward_topk, random_score, rank_bounds, reachable
@@ -44,6 +44,17 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
     return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS), led, SEED_KEYS), led
 
 
+def recost(spark, scores_path: str, bars: DataFrame, rules: dict[str, LedgerConfig]) -> DataFrame:
+    """Summary of every track under each set of costs, from scores that an earlier run stored; nothing is scored again."""
+    out = None
+    for name, cfg in rules.items():
+        scores = spark.read.parquet(scores_path)
+        led = cut(trade_ledger(cut(purchases(scores, bars, cfg)), bars, cfg))
+        part = compute_summary(sleeve_equity_curve(led, bars, cfg), led).withColumn("rules", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def weekly_forward_picks(bars: DataFrame, market: DataFrame, today: str, horizon: int = 40, threshold_pct: int = 25,
                          k: int = 5, min_adv: float = 5e6, study: StudyConfig = StudyConfig(),
                          models: ModelConfig = ModelConfig(), prefilter: bool = True) -> DataFrame:
