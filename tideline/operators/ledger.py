@@ -156,8 +156,12 @@ def held_trades(candidates: DataFrame, bars: DataFrame, cfg: LedgerConfig = Ledg
 def trade_ledger(bought: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
                  keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """All trades with both fills, costs and the return after costs. bought: purchases(), cut, as they are read often."""
-    t = held_trades(bought, bars, cfg, keys)
-    t = t.withColumn("exit_slippage_bps", slippage_bps(F.col("cost"), F.col("adv20_usd"), cfg))
+    return booked(held_trades(bought, bars, cfg, keys), cfg, keys)
+
+
+def booked(trades: DataFrame, cfg: LedgerConfig = LedgerConfig(), keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """Ledger rows of trades that are made: the exit fill, costs and the return after costs."""
+    t = trades.withColumn("exit_slippage_bps", slippage_bps(F.col("cost"), F.col("adv20_usd"), cfg))
     t = t.withColumn("exit_price", slipped(F.col("exit_close"), F.col("exit_slippage_bps"), "sell"))
     t = t.withColumn("proceeds", F.col("shares") * F.col("exit_price"))
     t = t.withColumn("commission_total", commission(F.col("shares"), F.col("proceeds"), cfg))
@@ -201,13 +205,22 @@ def open_positions_by_day(ledger: DataFrame, bars: DataFrame, keys: tuple[str, .
         *keys, "date", "n_positions")
 
 
-def sleeve_equity_curve(ledger: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
-                        keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """Daily equity of a sleeve holding every open trade at a fixed weight, gross at most 100%."""
+def trade_returns(ledger: DataFrame, bars: DataFrame, keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """(keys, ticker, entry_date, exit_date, date, ret): each trade's return on every day it is held."""
     mtm = mark_to_market(ledger, bars, keys)
     prev = F.lag("value").over(Window.partitionBy(*keys, "ticker", "entry_date").orderBy("date"))
     # A trade that was worth nothing the day before has no further return.
-    daily = mtm.withColumn("ret", F.coalesce(F.try_divide(F.col("value"), F.coalesce(prev, "cost")) - 1.0, F.lit(0.0)))
+    ret = F.coalesce(F.try_divide(F.col("value"), F.coalesce(prev, "cost")) - 1.0, F.lit(0.0))
+    return mtm.select(*keys, "ticker", "entry_date", "exit_date", "date", ret.alias("ret"))
+
+
+def sleeve_equity_curve(ledger: DataFrame, bars: DataFrame, cfg: LedgerConfig = LedgerConfig(),
+                        keys: tuple[str, ...] = ("track",), daily: DataFrame | None = None) -> DataFrame:
+    """Daily equity of a sleeve holding every open trade at a fixed weight, gross at most 100%.
+
+    daily: the ledger's trade_returns, where the caller has them.
+    """
+    daily = trade_returns(ledger, bars, keys) if daily is None else daily
     per_day = daily.groupBy(*keys, "date").agg(
         F.sum("ret").alias("sum_ret"), F.count("*").alias("n_active"),
         F.count_if(F.col("date") < F.col("exit_date")).alias("n_open"))

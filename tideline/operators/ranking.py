@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tideline.functions.exprs import bind, uniform
+from tideline.functions.exprs import uniform
 
 # Baseline name and the feature behind it.
 BASELINES: dict[str, str] = {
@@ -76,32 +78,30 @@ def no_overlap_selection(candidates: DataFrame, k: int = 5, keys: tuple[str, ...
                          release: str = "resolution_date") -> DataFrame:
     """The k best candidates of each date whose ticker is not held; a held one takes no place, the next moves up.
 
-    A ticker is free from the release date of its purchase on. candidates: with `rank`, as many of each date as can be
-    reached, so that the dates of one key are one list as long as the calendar times the reach, walked in order. Only
-    ticker, dates and rank are gathered; the rest is joined back.
+    A ticker is free from the release date of its purchase on (none: from the next date on). candidates: with `rank`, as
+    many of each date as can be reached, so that the dates of one key are one list as long as the calendar times the reach.
+    Each purchase depends on all before it, which no window states, so the list is walked in an Arrow batch; only ticker,
+    dates and rank are gathered, the rest is joined back.
     """
-    row = F.struct(F.col(entry).alias("day"), "rank", "ticker", F.col(release).alias("free"))
-    g = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("p"))
-    none = F.slice(F.transform("p", lambda x: F.struct(x["ticker"].alias("ticker"), x["free"].alias("free"))), 1, 0)
-    taken = F.slice(F.transform("p", lambda x: F.struct(x["day"].alias("day"), x["ticker"].alias("ticker"))), 1, 0)
-    start = F.struct(F.to_date(F.lit("0001-01-01")).alias("day"), F.lit(0).alias("n"), none.alias("held"), taken.alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["day"] > acc["day"]
-
-        def decide(now: Column) -> Column:
-            buy = (now["n"] < k) & ~F.exists(now["held"], lambda h: h["ticker"] == x["ticker"])
-            holding, bought = F.struct(x["ticker"].alias("ticker"), x["free"].alias("free")), F.struct(x["day"].alias("day"), x["ticker"].alias("ticker"))
-            return F.struct(
-                x["day"].alias("day"), F.when(buy, now["n"] + 1).otherwise(now["n"]).alias("n"),
-                F.when(buy, F.concat(now["held"], F.array(holding))).otherwise(now["held"]).alias("held"),
-                F.when(buy, F.concat(acc["kept"], F.array(bought))).otherwise(acc["kept"]).alias("kept"))
-
-        held = F.when(fresh, F.filter(acc["held"], lambda h: h["free"] > x["day"])).otherwise(acc["held"])
-        return bind(F.struct(F.when(fresh, 0).otherwise(acc["n"]).alias("n"), held.alias("held")), decide)
-
-    kept = F.aggregate("p", start, step, lambda acc: acc["kept"])
-    bought = g.select(*keys, F.inline(kept)).withColumnRenamed("day", entry)
+    line = candidates.select(*keys, "ticker", "rank", F.unix_date(entry).alias("_day"), F.unix_date(release).alias("_free"))
+    schema = StructType([f for f in line.schema if f.name in (*keys, "ticker", "_day")])
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_day", "rank", "ticker"], kind="stable")
+        held: dict[str, float] = {}
+        kept, today, n = [], None, 0
+        for day, ticker, free in zip(rows["_day"], rows["ticker"], rows["_free"], strict=True):
+            if day != today:
+                held = {t: f for t, f in held.items() if f > day}
+                today, n = day, 0
+            buy = n < k and ticker not in held
+            if buy:
+                held[ticker] = free
+                n += 1
+            kept.append(buy)
+        return rows.loc[kept, schema.names]
+
+    bought = line.groupBy(*keys).applyInPandas(walk, schema).withColumn(entry, F.date_from_unix_date("_day")).drop("_day")
     return candidates.join(bought, [*keys, entry, "ticker"]).select(*candidates.columns)
 
 

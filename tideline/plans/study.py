@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from tideline.operators.features import compute_features
 from tideline.operators.governance import trial_count
 from tideline.operators.inference import (bootstrap_ci, effective_sample_size, paired_gap, paired_returns, se_widening)
 from tideline.operators.joins import per_seed
-from tideline.operators.ledger import fixed_exit, open_trades, purchases, sleeve_equity_curve, trade_ledger
+from tideline.operators.ledger import booked, exits, fixed_exit, open_trades, purchases, sleeve_equity_curve, trade_ledger, trade_returns
 from tideline.operators.metrics import compute_summary
 from tideline.operators.models import ModelConfig, fit_track, score_track
-from tideline.operators.ranking import forward_topk, random_score, rank_bounds, reachable
+from tideline.operators.ranking import forward_topk, no_overlap_selection, random_score
 from tideline.operators.splits import resolved_before
 from tideline.session import cut
 
@@ -29,19 +30,63 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
                       base_seed: int = 0, cfg: LedgerConfig = FREE) -> tuple[DataFrame, DataFrame]:
     """(summary, ledger) per holding period and seed; all seeds run as rows of one job.
 
-    What can be bought and when it is sold do not depend on the seed, so both are found once (orders are not halted here).
-    Seeds multiply keys and dates only; the rank filter prunes each seed's rows before the shuffle.
+    What can be bought, when it is sold and what it returns day by day do not depend on the seed, so all of it is found
+    once (orders are not halted here) and the seeds' purchases are joined with it.
     """
     cells = F.array(*[F.struct(F.lit(h).alias("hold_days"), F.col(f"resolution_date_{h}d").alias("resolution_date"))
                       for h in horizons])
     base = labels.select("ticker", "anchor_date", "anchor_close", "anchor_idx", "adv20_usd", F.inline(cells))
-    opened = cut(fixed_exit(open_trades(base, bars, replace(cfg, halt_risk=False), ("hold_days",)), bars))
-    bounds = cut(rank_bounds(opened, cfg.max_new_per_week, ("hold_days",), "entry_date", "exit_date"))
-    drawn = per_seed(opened.select("hold_days", "ticker", F.col("entry_date").alias("anchor_date")), n_seeds, base_seed)
-    drawn = drawn.withColumn("score", random_score("seed")).withColumnRenamed("anchor_date", "entry_date")
-    bought = cut(reachable(drawn, bounds, SEED_KEYS, "entry_date").join(opened, ["hold_days", "ticker", "entry_date"]))
-    led = cut(trade_ledger(bought, bars, cfg, SEED_KEYS))
-    return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS), led, SEED_KEYS), led
+    opened = fixed_exit(open_trades(base, bars, replace(cfg, halt_risk=False), ("hold_days",)), bars)
+    closed = exits(opened, bars, cfg, ("hold_days",)).withColumn("score", F.lit(0.0))
+    trades = cut(booked(closed, cfg, ("hold_days",)).drop("score"))
+    daily = cut(trade_returns(trades, bars, ("hold_days",)))
+    trade = ["hold_days", "ticker", "entry_date"]
+    bought = cut(random_purchases(trades, n_seeds, base_seed, cfg.max_new_per_week))
+    led = bought.join(trades, trade)
+    held = bought.select(*SEED_KEYS, "ticker", "entry_date").join(daily, trade)
+    return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS, held), led, SEED_KEYS), led
+
+
+def random_purchases(closed: DataFrame, n_seeds: int, base_seed: int = 0, k: int = 5, depth: int = 0) -> DataFrame:
+    """(hold_days, seed, ticker, entry_date, score) that each seed buys among the trades it could make, exits known.
+
+    The scores of n candidates of a date are uniform, so those of at least 1 - depth / n are about `depth` rows and whole
+    from the top: a filter before the shuffle, no sort. Seeds that fill all their places from them are done. For the
+    others, where held tickers left a place open and candidates lie below, the depth is doubled until it reaches
+    every candidate. depth: 0 for four times k.
+    """
+    counts = cut(closed.groupBy("hold_days", "entry_date").agg(F.count("*").alias("n")))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    rows = closed.select("hold_days", "ticker", "entry_date", "exit_date").join(counts, ["hold_days", "entry_date"])
+    # The seeds multiply the rows in place, so few rows still have to lie in many tasks.
+    rows = rows.repartition(int(closed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hold_days", "ticker", "entry_date")
+    keys = per_seed(counts.select("hold_days").distinct(), n_seeds, base_seed)
+    score = random_score("seed").alias("score")
+    depth, todo, parts = depth or 4 * k, None, []
+    while True:
+        seeded = per_seed(rows.withColumnRenamed("entry_date", "anchor_date"), n_seeds, base_seed)
+        if todo is not None:  # at most one row per holding period and seed
+            seeded = seeded.join(F.broadcast(todo), list(SEED_KEYS), "left_semi")
+        near = seeded.select(*SEED_KEYS, "ticker", F.col("anchor_date").alias("entry_date"), "exit_date", "n", score)
+        near = near.filter(F.col("score") >= 1.0 - depth / F.col("n")).withColumn("rank", -F.col("score"))
+        near = cut(near)  # read twice: hashes once
+        bought = cut(no_overlap_selection(near, k, SEED_KEYS, "entry_date", "exit_date"))
+        part = bought.select(*SEED_KEYS, "ticker", "entry_date", "score")
+        if depth >= most:
+            parts.append(part)
+            break
+        # Dates of which not all candidates were looked at must have given k purchases.
+        due = counts.filter(F.col("n") > depth).groupBy("hold_days").agg(F.count("*").alias("due"))
+        full = (bought.filter(F.col("n") > depth).groupBy(*SEED_KEYS, "entry_date").count().filter(F.col("count") == k)
+                .groupBy(*SEED_KEYS).agg(F.count("*").alias("full")))
+        state = keys if todo is None else todo
+        left = cut(state.join(due, "hold_days").join(full, list(SEED_KEYS), "left")
+                   .filter(F.col("due") > F.coalesce("full", F.lit(0))).select(*SEED_KEYS))
+        parts.append(part.join(F.broadcast(left), list(SEED_KEYS), "left_anti"))
+        if left.isEmpty():
+            break
+        todo, depth = left, 2 * depth
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recost(spark, scores_path: str, bars: DataFrame, rules: dict[str, LedgerConfig]) -> DataFrame:
