@@ -14,7 +14,8 @@ from tideline.operators import ledger as K
 from tideline.operators import metrics as M
 from tideline.operators import ranking as R
 from tideline.operators import splits as S
-from tideline.operators.joins import next_bar_join
+from tideline.operators.joins import next_bar_join, per_seed
+from tideline.plans import study as ST
 
 PICK = "track string, ticker string, anchor_date date, resolution_date date, anchor_close double, adv20_usd double, score double"
 
@@ -99,6 +100,29 @@ def test_reach_and_selection_equal_a_walk(spark, k, seed):
     assert got == held_by_walking(rows, k)
 
 
+@pytest.mark.parametrize("depth", [1, 3, 1000])
+def test_random_purchases_equal_a_walk_of_all_scores(spark, depth):
+    """Whatever depth the seeds start from, held tickers and short dates end in the walk over every candidate."""
+    rng = random.Random(5)
+    days = [f"2020-01-{d:02d}" for d in (1, 3, 6, 8, 13, 20)]
+    rows = [(h, f"T{t:02d}", day(d), day(f"2020-02-{rng.randrange(1, 28):02d}" if h == 40 else f"2020-01-{rng.randrange(21, 30)}"))
+            for h in (20, 40) for d in days for t in range(12) if rng.random() < (0.2 if d == days[2] else 0.8)]
+    closed = spark.createDataFrame(rows, "hold_days int, ticker string, entry_date date, exit_date date")
+    got = {tuple(r) for r in ST.random_purchases(closed, 4, 7, 2, depth).select(
+        "hold_days", "seed", "entry_date", "ticker").collect()}
+    scored = per_seed(closed.withColumnRenamed("entry_date", "anchor_date"), 4, 7).withColumn("score", R.random_score("seed"))
+    want, book = set(), {}
+    for r in scored.collect():
+        book.setdefault((r.hold_days, r.seed), []).append((r.anchor_date, -r.score, r.ticker, r.exit_date))
+    for key, rows in book.items():
+        held, bought = {}, {}
+        for d, _, t, free in sorted(rows):
+            if bought.get(d, 0) < 2 and not held.get(t, d) > d:
+                held[t], bought[d] = free, bought.get(d, 0) + 1
+                want.add((*key, d, t))
+    assert got == want and len(want) > 40
+
+
 def test_random_scores_do_not_depend_on_partitioning(spark):
     df = spark.createDataFrame([pick(f"T{i}", "2020-01-03", "2020-02-03") for i in range(50)], PICK).select("ticker", "anchor_date")
     one = dict(df.coalesce(1).select("ticker", R.random_score(5)).collect())
