@@ -59,3 +59,14 @@ def test_odd_rows(spark):
     assert T.nearest(spark.createDataFrame(huge, SCHEMA)).count() == 2
     wide = [(i, [float((i * j) % 7 - 3) for j in range(3000)], 0) for i in range(45)]
     assert got(spark.createDataFrame(wide, SCHEMA)) == want(wide)
+
+
+def test_cells_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 50)
+    monkeypatch.setattr(T, "QUERY_BLOCK", 5)
+    rows = vectors(3, 300)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no small partitions merged: equal keys must meet by their hash
+    try:
+        assert got(spark.createDataFrame(rows, SCHEMA)) == want(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

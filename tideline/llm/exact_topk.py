@@ -130,7 +130,8 @@ def nearest(vectors: DataFrame, best: int = BEST, every: int = EVERY) -> DataFra
     query_blocks = max(1, -(-sizes["queries"] // min(QUERY_BLOCK, most)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-sizes["n"] // min(BLOCK, most)), min(-(-2 * parts // query_blocks), -(-sizes["n"] // 1024)), 1)
-    block = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n))
+    # Both sides' block numbers must have one type: cogroup does not widen its keys, and an int and a long hash apart.
+    block = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # The stated queries against all rows, in blocks: a query goes to each candidate block, a candidate to each query block.
     renamed = lambda p: [F.col(c).alias(p + c) for c in ("row", "vec_id", "weights")]
