@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -263,3 +264,12 @@ def test_positions_equity_and_summary_agree(spark, book):
     assert s["profit_factor"] == pytest.approx(t[t > 0].sum() / -t[t <= 0].sum())
     assert s["median_trade_return"] == pytest.approx(t.median())
     assert s["avg_cash_pct"] == pytest.approx((e["cash"] / e["equity"]).mean())
+
+
+def test_only_trades_of_some_seed_are_marked_day_by_day(spark, monkeypatch):
+    from tideline.plans import common as C
+
+    study, marked, returns = C.Study(spark, "/root/testdata/sf0.001"), [], ST.trade_returns
+    monkeypatch.setattr(ST, "trade_returns", lambda trades, *a: marked.append(trades.count()) or returns(trades, *a))
+    summary, led = ST.random_portfolios(study.lean, study.bars, (20,), 1, cfg=replace(ST.FREE, max_new_per_week=1))
+    assert marked == [led.count()] and summary.count() == 1

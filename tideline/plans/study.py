@@ -31,7 +31,7 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
     """(summary, ledger) per holding period and seed; all seeds run as rows of one job.
 
     What can be bought, when it is sold and what it returns day by day do not depend on the seed, so all of it is found
-    once (orders are not halted here) and the seeds' purchases are joined with it.
+    once (orders are not halted here), the last for trades that some seed makes, and the seeds' purchases are joined with it.
     """
     cells = F.array(*[F.struct(F.lit(h).alias("hold_days"), F.col(f"resolution_date_{h}d").alias("resolution_date"))
                       for h in horizons])
@@ -39,10 +39,12 @@ def random_portfolios(labels: DataFrame, bars: DataFrame, horizons: tuple[int, .
     opened = fixed_exit(open_trades(base, bars, replace(cfg, halt_risk=False), ("hold_days",)), bars)
     closed = exits(opened, bars, cfg, ("hold_days",)).withColumn("score", F.lit(0.0))
     trades = cut(booked(closed, cfg, ("hold_days",)).drop("score"))
-    daily = cut(trade_returns(trades, bars, ("hold_days",)))
     trade = ["hold_days", "ticker", "entry_date"]
     bought = cut(random_purchases(trades, n_seeds, base_seed, cfg.max_new_per_week))
-    led = bought.join(trades, trade)
+    # Seeds, dates and places bound what is bought, however many tickers there are: only that is marked day by day.
+    made = cut(trades.join(bought.select(*trade).distinct(), trade, "left_semi"))
+    daily = cut(trade_returns(made, bars, ("hold_days",)))
+    led = bought.join(made, trade)
     held = bought.select(*SEED_KEYS, "ticker", "entry_date").join(daily, trade)
     return compute_summary(sleeve_equity_curve(led, bars, cfg, SEED_KEYS, held), led, SEED_KEYS), led
 
@@ -57,18 +59,23 @@ def random_purchases(closed: DataFrame, n_seeds: int, base_seed: int = 0, k: int
     """
     counts = cut(closed.groupBy("hold_days", "entry_date").agg(F.count("*").alias("n")))
     most = counts.agg(F.max("n")).first()[0] or 0
-    rows = closed.select("hold_days", "ticker", "entry_date", "exit_date").join(counts, ["hold_days", "entry_date"])
-    # The seeds multiply the rows in place, so few rows still have to lie in many tasks.
-    rows = rows.repartition(int(closed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hold_days", "ticker", "entry_date")
+    rows = closed.select("hold_days", "ticker", "entry_date", "exit_date").join(F.broadcast(counts), ["hold_days", "entry_date"])
+    # The score of a seed is the same for all holding periods, so these lie in one row: one hash for them. The seeds
+    # multiply the rows in place, so few rows still have to lie in many tasks.
+    rows = rows.repartition(int(closed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker", "entry_date").groupBy(
+        "ticker", F.col("entry_date").alias("anchor_date")).agg(
+        F.collect_list(F.struct("hold_days", "exit_date", "n")).alias("cells"), F.min("n").alias("least"))
     keys = per_seed(counts.select("hold_days").distinct(), n_seeds, base_seed)
-    score = random_score("seed").alias("score")
     depth, todo, parts = depth or 4 * k, None, []
     while True:
-        seeded = per_seed(rows.withColumnRenamed("entry_date", "anchor_date"), n_seeds, base_seed)
-        if todo is not None:  # at most one row per holding period and seed
-            seeded = seeded.join(F.broadcast(todo), list(SEED_KEYS), "left_semi")
-        near = seeded.select(*SEED_KEYS, "ticker", F.col("anchor_date").alias("entry_date"), "exit_date", "n", score)
+        seeded = per_seed(rows, n_seeds, base_seed)
+        if todo is not None:  # at most one row per seed
+            seeded = seeded.join(F.broadcast(todo.select("seed").distinct()), "seed", "left_semi")
+        near = seeded.withColumn("score", random_score("seed")).filter(F.col("score") >= 1.0 - depth / F.col("least"))
+        near = near.select("seed", "ticker", F.col("anchor_date").alias("entry_date"), "score", F.inline("cells"))
         near = near.filter(F.col("score") >= 1.0 - depth / F.col("n")).withColumn("rank", -F.col("score"))
+        if todo is not None:  # at most one row per holding period and seed
+            near = near.join(F.broadcast(todo), list(SEED_KEYS), "left_semi")
         near = cut(near)  # read twice: hashes once
         bought = cut(no_overlap_selection(near, k, SEED_KEYS, "entry_date", "exit_date"))
         part = bought.select(*SEED_KEYS, "ticker", "entry_date", "score")
