@@ -68,3 +68,15 @@ def test_extremes_pass_over_missing_closes(spark):
             assert r["fwd_ret_2d"] == (None if np.isnan(c[i + 2]) else pytest.approx(c[i + 2] / c[i] - 1))
             assert r["resolution_date_2d"] == df["date"][i + 2]
     assert any(np.isnan(c[i + 1:i + 6]).any() for i in got)
+
+
+def test_curves_go_to_the_draws(spark):
+    from tideline.operators.inference import resampled
+
+    returns = spark.createDataFrame([(t, float(i), i, 30) for t in "ab" for i in range(30)], "track string, r double, i int, n bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes shall not decide it
+    try:
+        plan = executed(resampled(returns, 50, 5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan
