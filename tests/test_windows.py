@@ -80,3 +80,14 @@ def test_curves_go_to_the_draws(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+
+
+def test_raw_bars_make_the_panel_once(spark):
+    from tideline.sources.bars import bars_normalize
+    from tideline.sources.tables import raw_bars
+
+    raw = raw_bars(spark, "/root/testdata/sf0.001")
+    plan = executed(bars_normalize(raw))
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan and "SortAggregate" not in plan
+    r = {x["seq"]: x for x in raw.orderBy("ticker", "date").limit(3).collect()}
+    assert r[2]["Close"] is None and r[0]["Close"] is not None and raw.count() == 3 * raw.filter("seq = 0").count()

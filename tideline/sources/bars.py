@@ -38,8 +38,8 @@ def bars_normalize(df: DataFrame, seq: str = "seq") -> DataFrame:
         "ticker", F.col("date").cast("date").alias("date"),
         *[F.col(c).cast("double").alias(c) for c in keep], F.col(seq).alias("_seq"),
     ).dropna(how="all", subset=keep).dropna(subset=["close"])
-    best = clean.groupBy("ticker", "date").agg(F.max_by(F.struct(*keep), "_seq").alias("b"))
-    return best.select("ticker", "date", "b.*")
+    # Column by column, each over the same rows in the same order: numbers fit a hash aggregate, a struct would be sorted.
+    return clean.groupBy("ticker", "date").agg(*[F.max_by(c, "_seq").alias(c) for c in keep])
 
 
 def bars_sink(df: DataFrame, path: str, skip_existing: bool = True, requested: DataFrame | None = None,
