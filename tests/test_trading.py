@@ -10,12 +10,15 @@ import pytest
 from panel_data import day, to_bars, walk
 from pyspark.sql import functions as F
 
-from tideline.config import LedgerConfig
+from tideline.config import LedgerConfig, StudyConfig
+from tideline.operators import anchors as A
 from tideline.operators import ledger as K
 from tideline.operators import metrics as M
 from tideline.operators import ranking as R
 from tideline.operators import splits as S
+from tideline.operators.features import compute_features
 from tideline.operators.joins import next_bar_join, per_seed
+from tideline.plans import common as C
 from tideline.plans import study as ST
 
 PICK = "track string, ticker string, anchor_date date, resolution_date date, anchor_close double, adv20_usd double, score double"
@@ -273,3 +276,25 @@ def test_only_trades_of_some_seed_are_marked_day_by_day(spark, monkeypatch):
     monkeypatch.setattr(ST, "trade_returns", lambda trades, *a: marked.append(trades.count()) or returns(trades, *a))
     summary, led = ST.random_portfolios(study.lean, study.bars, (20,), 1, cfg=replace(ST.FREE, max_new_per_week=1))
     assert marked == [led.count()] and summary.count() == 1
+
+
+def test_scores_exits_and_outcomes_come_from_one_pass(spark):
+    """The same rows as features joined with labels and the exit looked up in the bars; a null close at the exit gives the next one."""
+    cfg = StudyConfig(horizons=(20, 40), warmup=240)
+    frames = [walk("A", 420, 1), walk("B", 330, 2), walk("C", 100, 3)]
+    frames[0].loc[range(300, 420, 7), "close"] = None
+    bars = to_bars(spark, *frames).replace(float("nan"), None)
+    got = R.scored_anchors(bars, cfg, 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    lab = A.build_labels(bars, cfg)
+    want = K.fixed_exit(R.score_frame(compute_features(bars, A.anchor_frame(bars, cfg)), lab, 40), bars.select("ticker", "date", "close"))
+    want = want.join(
+        lab.select("ticker", "anchor_date", F.col("fwd_ret_40d").alias("fwd_ret")), ["ticker", "anchor_date"]).select(*got.columns)
+    rows = sorted(map(repr, got.collect()))
+    assert len(rows) > 100 and rows == sorted(map(repr, want.collect()))
+
+
+def test_the_study_does_not_join_scores(spark):
+    plan = C.Study(spark, "/root/testdata/sf0.001").scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
