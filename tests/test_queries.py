@@ -13,11 +13,14 @@ from compare import compare, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tideline.operators import anchors as A
 from tideline.operators import models as ML
 from tideline.operators import splits as S
+from tideline.operators import vectors as V
 from tideline.operators.features import FEATURE_COLS
 from tideline.plans import queries_study as Q
 from tideline.session import cut
+from tideline.sources.tables import panel_bars
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["a02_bars_normalize", "b10_snapshot_diff", "b09_partition_fingerprint", "c03_weekly_anchors", "c12_threshold_grid",
@@ -64,3 +67,18 @@ def test_calibration_is_monotone(spark):
     raw = fit.classifier.transform(ML.track_features(train, fit.track, fit.bases)).select("ticker", ML.positive("probability").alias("raw"))
     pairs = sorted((r["raw"], r["score"]) for r in ML.score_track(fit, train).join(raw, "ticker").collect())
     assert all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:])) and pairs[0][1] < pairs[-1][1]
+
+
+def test_the_linear_track_makes_no_features_it_does_not_see(spark):
+    """The anchors and labels are those of the rows with features; both vectors come from one cut of the windows."""
+    d = "/root/testdata/sf0.001"
+    keys = ["ticker", "anchor_date", "anchor_idx", "y", "chart", "volume_vector"]
+    lean, whole = Q._training(spark, d, engineered=False), Q._training(spark, d)
+    assert "ret_1d" not in lean.columns and "ret_1d" in whole.columns
+    rows = sorted(map(repr, lean.select(keys).collect()))
+    assert rows and rows == sorted(map(repr, whole.select(keys).collect()))
+    bars = panel_bars(spark, d)
+    a = A.anchor_frame(bars)
+    apart = V.chart_vectors(bars, a).select("ticker", "anchor_date", "chart").join(V.volume_vectors(bars, a), ["ticker", "anchor_date"])
+    cols = ["ticker", "anchor_date", "chart", "volume_vector"]
+    assert sorted(map(repr, V.window_vectors(bars, a).select(cols).collect())) == sorted(map(repr, apart.select(cols).collect()))
