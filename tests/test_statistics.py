@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tideline.functions.normal import norm_cdf
 from tideline.operators import governance as G
 from tideline.operators import inference as I
+from tideline.plans import common as C
+from tideline.sources import tables as T
 from tideline.streaming import settle as Z
 
 
@@ -189,3 +191,21 @@ def test_corrected_bars_replace_old_ones(spark, tmp_path):
         Z.bars_dedupe_stream(spark, f"{base}/in", f"{base}/store", f"{base}/ck").awaitTermination()
     now = Z.bars_current(spark, f"{base}/store")
     assert now.count() == 5 and now.filter("close = 7.0").count() == 1
+
+
+def test_the_newest_emission_is_found_without_a_sort(spark, tmp_path):
+    """A later batch wins, within it the larger seq, a null seq first; nulls of the winner stay. Numbers only, so the log is hashed."""
+    cols = "ticker string, date date, open double, high double, low double, close double, volume double, seq int"
+    for batch, rows in enumerate(([("A", 1.0, 9), ("B", 2.0, None), ("C", 3.0, -5)], [("A", 4.0, 0), ("C", 5.0, -1), ("C", 6.0, -2**31), ("D", None, 7)],
+                                  [("B", 7.0, -3), ("B", 8.0, None)])):
+        data = [(t, day("2020-01-02"), None, c, c, c, 1.0, s) for t, c, s in rows]
+        spark.createDataFrame(data, cols).write.parquet(f"{tmp_path}/log/batch={batch}")
+    now = Z.bars_current(spark, f"{tmp_path}/log")
+    plan = now._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+    assert sorted((r["ticker"], r["open"], r["close"]) for r in now.collect()) == [("A", None, 4.0), ("B", None, 7.0), ("C", None, 5.0)]
+
+
+def test_the_feed_does_not_make_the_panel_for_every_delivery(spark):
+    plan = T.raw_bars(spark, "/root/testdata/sf0.001", C.bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan

@@ -140,6 +140,7 @@ def bars_current(spark: SparkSession, store_dir: str, tickers: DataFrame | None
     if tickers is not None:
         log = log.join(tickers, "ticker", "left_semi")
     cols = ["open", "high", "low", "close", "volume"]
-    order = F.struct("batch", "seq")
-    return log.filter("close IS NOT NULL").groupBy("ticker", "date").agg(
-        F.max_by(F.struct(*cols), order).alias("b")).select("ticker", "date", "b.*")
+    # (batch, seq) as one number, a null seq first: with numbers only, column by column, the log is hashed and not sorted.
+    place = F.coalesce(F.col("seq").cast("bigint") + 2**31 + 1, F.lit(0))
+    log = log.filter("close IS NOT NULL").withColumn("_order", F.col("batch") * 2**33 + place)
+    return log.groupBy("ticker", "date").agg(*[F.max_by(c, "_order").alias(c) for c in cols])
