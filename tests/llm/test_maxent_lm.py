@@ -74,3 +74,13 @@ def test_odd_rows(odd, empty):
     got = L.model_scores(odd).collect()
     assert len(got) == odd.count() and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in got)
     assert L.model_scores(empty).count() == 0
+
+
+def test_sums_of_runs_of_any_length():
+    r = np.random.default_rng(3)
+    for lengths in ([1] * 300, [7], list(range(1, 400)), [1, 5000, *[3] * 290, 17, 16, 2], r.integers(1, 40, 700).tolist()):
+        lengths = np.array(lengths)
+        x = r.normal(size=(lengths.sum(), 5)).astype(np.float32)
+        first = np.cumsum(lengths) - lengths
+        want = np.add.reduceat(x.astype(float), first, axis=0)
+        assert np.allclose(L.run_sums(x.copy(), first, lengths), want, atol=1e-3)

@@ -200,12 +200,33 @@ def learn(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, tokens: To
             order = np.argsort(r, kind="stable")  # 16 bits: by radix
             r = r[order]
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            touched = r[first]
+            touched, times = r[first], np.diff(np.append(first, len(r)))
             np.take(gradient, order, axis=0, out=ordered, mode="clip")
-            step(weights, squares, seen, touched, np.add.reduceat(ordered, first, axis=0), np.diff(np.append(first, len(r))))
+            step(weights, squares, seen, touched, run_sums(ordered, first, times), times)
         step(weights, squares, seen, np.array([ROWS - 1]), gradient.sum(axis=0, keepdims=True), len(target))
 
 
+def run_sums(x: np.ndarray, first: np.ndarray, lengths: np.ndarray, few: int = 256, long: int = 16) -> np.ndarray:
+    """Sums of the runs of rows of x, which is spent. numpy walks short runs value by value; here all of them are halved
+    together, whole rows at a time. Long runs, and a few runs, are summed as they are."""
+    if len(first) <= few:
+        return np.add.reduceat(x, first, axis=0)
+    far = np.flatnonzero(lengths > long)
+    sums = [x[a:b].sum(axis=0) for a, b in zip(first[far].tolist(), (first + lengths)[far].tolist(), strict=True)]
+    some = (lengths > 1) & (lengths <= long)
+    start, left = first[some], lengths[some]
+    while len(start):
+        half = left >> 1
+        into = ranges(start, half)
+        left = left - half
+        x[into] += x[into + np.repeat(left, half)]
+        start, left = start[left > 1], left[left > 1]
+    out = x[first]
+    if sums:
+        out[far] = sums
+    return out
+
+
 def step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, touched: np.ndarray, change: np.ndarray, times) -> None:
     size = squares[touched] + np.einsum("ij,ij->i", change, change) / np.float32(change.shape[1])
     squares[touched] = size
