@@ -77,6 +77,13 @@ def test_long_training_texts_are_cut(spark):
     assert len(long) == sum(-(-len(text.encode()) // C.SAMPLE_BYTES) for i in range(30) if i % 2 and not C.is_held(i))
 
 
+def test_workers_get_texts_a_few_megabytes_at_a_time(spark):
+    docs = spark.range(1500).selectExpr("id as doc_id", "repeat('some words ', 1000) as text", "'en' as lang").coalesce(1)
+    C.fitted(spark, docs.limit(3))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 1500 and max(r["n"] for r in sizes) * 11_000 < 6 << 20
+
+
 def test_language_of_odd_rows(odd, empty):
     got = {r["doc_id"]: r for r in C.languages(odd).collect()}
     assert all(got[k]["lang_pred"] == C.UNKNOWN and got[k]["score"] == 0 for k in (1, 3, 6, 8)) and got[2]["lang_pred"] in ("en", "es", "fr")

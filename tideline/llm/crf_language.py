@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ranges, slices, text_bytes
+from tideline.llm.common import ranges, slices, small_batches, text_bytes
 
 FOLDS, HELD = 3, 1
 FEATURES = 1 << 17
@@ -325,6 +325,7 @@ def _predicted(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def fitted(spark: SparkSession, docs: DataFrame):
     """Broadcast of the field fitted to docs; its size is set by FEATURES, the labels and the sample."""
+    small_batches(spark)
     samples = training_sample(docs)
     return spark.sparkContext.broadcast(fit(samples) if samples else Field([]))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stages, column, ranges, run_starts, slices, text_bytes, unwrapped, whole_groups, wrapped
+from tideline.llm.common import Stages, column, ranges, run_starts, slices, small_batches, text_bytes, unwrapped, whole_groups, wrapped
 from tideline.llm.components import components
 
 WIDTH, BANDS, DEPTH, LIKE, LEAST = 6, 16, 5, 0.8, 1
@@ -473,6 +473,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_lines(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
     """docs (doc_id, text and others) with the lines that do not stay cut from text, and n_lines, n_removed added."""
     stages = stages or Stages(docs.sparkSession, "lines")
+    small_batches(docs.sparkSession)
     dropped = stages.cut(dropped_lines(docs, stages).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("dropped"))
                          .withColumnRenamed("doc_id", "of_doc")).df
     marked = _marked(docs)
