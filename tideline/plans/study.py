@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import LedgerConfig, StudyConfig
 from tideline.operators.anchors import build_labels, latest_candidates
-from tideline.operators.features import compute_features
+from tideline.operators.features import FEATURE_COLS, compute_features
 from tideline.operators.governance import trial_count
 from tideline.operators.inference import (bootstrap_ci, effective_sample_size, paired_gap, paired_returns, se_widening)
 from tideline.operators.joins import per_seed
@@ -111,16 +111,19 @@ def weekly_forward_picks(bars: DataFrame, market: DataFrame, today: str, horizon
                          k: int = 5, min_adv: float = 5e6, study: StudyConfig = StudyConfig(),
                          models: ModelConfig = ModelConfig(), prefilter: bool = True) -> DataFrame:
     """Train on everything resolved before ``today`` and rank what can be bought on it."""
-    labels = build_labels(bars, study, prefilter)
-    feats = compute_features(bars, labels.select("ticker", "anchor_date", "anchor_idx"), market)
-    train = resolved_before(feats.join(labels.drop("anchor_idx"), ["ticker", "anchor_date"]), today, horizon)
-    train = cut(train)
+    # Of all labels the fit reads one; the longest horizon stays, as it tells which bars are anchors.
+    label = f"ret_{horizon}d_ge_{threshold_pct}pct"
+    one = replace(study, horizons=tuple(sorted({horizon, study.max_horizon})), thresholds=(threshold_pct / 100,))
+    labels = build_labels(bars, one, prefilter)
+    known = resolved_before(labels, today, horizon).select("ticker", "anchor_date", "anchor_idx", label)
+    feats = compute_features(bars, known.select("ticker", "anchor_date", "anchor_idx"), market)
+    train = cut(feats.join(known.drop("anchor_idx"), ["ticker", "anchor_date"]).select("ticker", "anchor_date", label, *FEATURE_COLS))
     cand = latest_candidates(bars, today, study, prefilter)
     cand_feats = compute_features(bars, cand.select("ticker", "anchor_date", "anchor_idx"), market)
     rows = cand_feats.join(cand.drop("anchor_idx"), ["ticker", "anchor_date"])
     if train.count() < study.min_train:
         return rows.limit(0).select("ticker", "anchor_date", "anchor_close", "adv20_usd")
-    fit = fit_track(train, f"ret_{horizon}d_ge_{threshold_pct}pct", "gbt_engineered", models)
+    fit = fit_track(train, label, "gbt_engineered", models)
     picks = forward_topk(score_track(fit, rows), k, min_adv)
     return picks.select("ticker", "anchor_date", "anchor_close", "adv20_usd", "score",
                         F.lit(today).alias("pick_generated"), F.lit(horizon).alias("horizon_days"),
